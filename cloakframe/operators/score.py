@@ -22,6 +22,18 @@ from cloakframe.schema import _map, compatible_sql, level_sql
 DOC = ("doc_id",)
 
 
+def _glue(base: DataFrame, parts: Sequence[DataFrame], keys: Sequence[str] = ()) -> DataFrame:
+    """Put small summary tables side by side: joined on ``keys``, or one row each."""
+    if keys:
+        for part in parts:
+            base = base.join(part, list(keys), "left")
+        return base
+    base = base.withColumn("_k", F.lit(0))
+    for part in parts:
+        base = base.join(F.broadcast(part.withColumn("_k", F.lit(0))), "_k", "left")
+    return base.drop("_k")
+
+
 def types_compatible(pairs: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
     return pairs.withColumn("compatible", F.expr(compatible_sql(f"`{left}`", f"`{right}`")))
 
@@ -167,11 +179,7 @@ def score_layered(
         F.count_if(F.expr("outcome <> 'FP' AND should_redact")).alias("redact_gold"),
         F.count_if(F.expr("outcome = 'TP' AND should_redact")).alias("redact_covered"),
     )
-    parts = base
-    for part in (hits, leak, over):
-        # Without slices each part is one row; with slices they join on the slice columns.
-        parts = parts.join(part, list(slices), "left") if slices else parts.join(F.broadcast(part))
-    parts = parts.fillna(0, ["relaxed_hits", "leaked_chars", "overredacted_chars"])
+    parts = _glue(base, (hits, leak, over), slices).fillna(0, ["relaxed_hits", "leaked_chars", "overredacted_chars"])
     ratio = lambda a, b, empty: F.round(F.expr(f"if({b} > 0, {a} / ({b}), {empty}D)"), 6)
     return prf(parts).select(
         *slices, "tp", "fp", "fn", "precision", "recall", "f1",
@@ -198,9 +206,7 @@ def score_semantic(gold: DataFrame, pred: DataFrame, by: Sequence[str] = DOC) ->
         F.count_if(~F.col("pos")).alias("fp"),
         F.count_if("neg").alias("overreach"),
     )
-    return left.join(F.broadcast(missed.agg(F.count_if(~F.col("hit")).alias("fn")))).select(
-        "tp", "fp", "fn", "overreach"
-    )
+    return _glue(left, [missed.agg(F.count_if(~F.col("hit")).alias("fn"))]).select("tp", "fp", "fn", "overreach")
 
 
 # --- thresholds, models, reports ---------------------------------------------------------------
@@ -320,17 +326,34 @@ def negative_gate(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Nearest-rank percentile with index round-half-even(f * (n - 1)).
 
-    Values are counted first, so the ordered window runs over distinct values only.
+    Two levels: counts per bucket of nearby values (the leading bits of the number, so the
+    bucket order is the value order), then ranks only inside the buckets that hold a wanted
+    rank. No window sees more than one bucket's distinct values or one row per bucket.
     """
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by).orderBy(value)
-    ranked = hist.withColumn("_hi", F.sum("_n").over(w)).withColumn(
-        "_total", F.sum("_n").over(W.partitionBy(*by))
-    )
-    cuts = ranked.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-    rank = "cast(bround(fraction * (_total - 1)) AS bigint) + 1"
-    return cuts.filter(F.expr(f"_hi >= {rank} AND _hi - _n < {rank}")).select(
-        *by, "fraction", F.col(value).alias("percentile")
+    v = f"cast({value} AS double)"
+    # Sign, binary exponent and 1/64 steps of the mantissa, monotone in the value.
+    exp = f"if({v} = 0, -1100, floor(log2(abs({v}))))"
+    step = f"floor(abs({v}) / power(2D, {exp}) * 64)"
+    bucket = f"if({v} = 0, 0L, cast(sign({v}) AS bigint) * cast(({exp} + 1100) * 256 + {step} + 1 AS bigint))"
+    hist = (
+        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+        .withColumn("_b", F.expr(bucket))
+    )
+    whole = W.partitionBy(*by)
+    sizes = (
+        hist.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
+        .withColumn("_total", F.sum("_m").over(whole))
+        .withColumn("_before", F.sum("_m").over(whole.orderBy("_b")) - F.col("_m"))
+        .withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+        .withColumn("_rank", F.expr("cast(bround(fraction * (_total - 1)) AS bigint) + 1"))
+        .filter("_rank > _before AND _rank <= _before + _m")
+    )
+    inside = W.partitionBy(*by, "fraction", "_b").orderBy(value)
+    return (
+        hist.join(sizes, [*by, "_b"])
+        .withColumn("_hi", F.col("_before") + F.sum("_n").over(inside))
+        .filter("_hi >= _rank AND _hi - _n < _rank")
+        .select(*by, "fraction", F.col(value).alias("percentile"))
     )
 
 
@@ -487,9 +510,10 @@ def category_recall(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
 def surface_summary(scores: DataFrame, roundtrip: DataFrame) -> DataFrame:
     """Macro averages over documents, failed round trips and residual characters."""
     failed = roundtrip.agg(F.count_if(~F.col("same")).alias("roundtrip_failures"))
-    return scores.agg(
+    means = scores.agg(
         F.round(F.avg("identity_recall"), 6).alias("identity_recall"),
         F.round(F.avg("identity_precision"), 6).alias("identity_precision"),
         F.sum("residual_chars").alias("residual_chars"),
         F.count("*").alias("docs"),
-    ).join(F.broadcast(failed))
+    )
+    return _glue(means, [failed])
