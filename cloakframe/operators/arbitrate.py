@@ -9,6 +9,8 @@ one very long document spreads over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,7 +20,6 @@ from cloakframe.functions.spans import utf16_length
 from cloakframe.schema import SPAN_COLUMNS, SPAN_T, label_sql, level_sql, priority_sql, rank_sql
 
 _SPANS = f"array<{SPAN_T}>"
-BLOCK = 4096
 
 
 def _span(**changes: str) -> str:
@@ -187,34 +188,19 @@ def dedupe_spans(spans: DataFrame) -> DataFrame:
     )
 
 
-def overlap_runs(spans: DataFrame, out: str = "run") -> DataFrame:
-    """Number the runs of chained overlapping spans of each document.
+def overlap_runs(spans: DataFrame, by: Sequence[str] = ("doc_id",), out: str = "run") -> DataFrame:
+    """Name each run of chained overlapping spans by the start of its first span.
 
-    A running maximum of ``end`` in two levels: inside blocks of the document, and over
-    one row per block, so that no window holds all spans of a hot document.
+    A running maximum of ``end`` in start order, in one sorted pass and without a self-join
+    that would repeat the scan behind ``spans``. Expects distinct spans: one text then has few
+    of them, since the intake limit bounds its length, and repeats were absorbed map-side.
     """
-    blocked = spans.withColumn("_b", F.floor(F.col("start") / BLOCK))
-    before = W.partitionBy("doc_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        blocked.groupBy("doc_id", "_b").agg(F.max("end").alias("_m")).withColumn("_carry", F.max("_m").over(before))
-    ).drop("_m")
-    inside = (
-        W.partitionBy("doc_id", "_b").orderBy("start", "end", "type", "ord").rowsBetween(W.unboundedPreceding, -1)
-    )
-    opened = blocked.join(carry, ["doc_id", "_b"]).withColumn(
-        "_reach", F.greatest(F.max("end").over(inside), F.col("_carry"))
-    )
-    # A run is named by the start of its first span: the latest opening at or before it.
-    opens = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
-    upto = (
-        W.partitionBy("doc_id", "_b").orderBy("start", "end", "type", "ord").rowsBetween(W.unboundedPreceding, 0)
-    )
-    marked = opened.withColumn("_open", opens).withColumn("_in", F.max("_open").over(upto))
-    last = (
-        marked.groupBy("doc_id", "_b").agg(F.max("_open").alias("_m")).withColumn("_from", F.max("_m").over(before))
-    ).drop("_m")
-    return marked.join(last, ["doc_id", "_b"]).select(
-        *spans.columns, F.coalesce("_in", "_from").cast("int").alias(out)
+    order = W.partitionBy(*by).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.expr("if(_reach IS NULL OR start >= _reach, start, NULL)")
+    marked = spans.withColumn("_reach", reach).withColumn("_open", opens)
+    return marked.withColumn(out, F.max("_open").over(order.rowsBetween(W.unboundedPreceding, 0))).drop(
+        "_reach", "_open"
     )
 
 

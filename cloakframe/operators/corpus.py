@@ -168,8 +168,7 @@ def gold_integrity(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def gold_overlaps(spans: DataFrame, allow_same_span: bool = False) -> DataFrame:
     """Spans that overlap another of their document; optionally equal spans of two types are fine."""
     distinct = spans.select("doc_id", "start", "end", "type").distinct() if allow_same_span else spans
-    keyed = distinct.select("doc_id", "start", "end", "type").withColumn("ord", F.lit(0))
-    runs = overlap_runs(keyed)
+    runs = overlap_runs(distinct.select("doc_id", "start", "end", "type"))
     size = runs.groupBy("doc_id", "run").agg(
         F.count("*").alias("_n"), F.min("start").alias("_a"), F.max("start").alias("_c"), F.min("end").alias("_d"),
         F.max("end").alias("_e"),

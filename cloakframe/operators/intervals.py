@@ -61,11 +61,8 @@ def flag_overlaps(
 def coverage(spans: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The union of the spans of each document as disjoint intervals."""
     distinct = spans.filter("end > start").select(*by, "start", "end").distinct()
-    keyed = distinct.select(
-        F.struct(*by).alias("doc_id"), "start", "end", F.lit("").alias("type"), F.lit(0).alias("ord")
-    )
-    runs = overlap_runs(keyed).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return runs.select("doc_id.*", "start", "end")
+    runs = overlap_runs(distinct, by)
+    return runs.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def covered_chars(targets: DataFrame, cover: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
