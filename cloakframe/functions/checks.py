@@ -142,6 +142,7 @@ def jwt_header(v: str) -> str:
     kind = lambda key: f"schema_of_variant(try_variant_get({doc}, '$.{key}', 'variant'))"
     return _all(
         f"size({parts}) = 3",
+        f"NOT array_contains({parts}, '')",
         f"length({head}) % 4 <> 1",
         f"startswith(schema_of_variant({doc}), 'OBJECT')",
         f"{kind('alg')} = 'STRING'",

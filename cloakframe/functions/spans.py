@@ -10,7 +10,7 @@ string per rule keeps building the plan cheap.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "\u0001", "\u0002"
@@ -70,3 +70,16 @@ def overlapping_starts(text: str, fragment: str) -> str:
 def utf16_length(s: str) -> str:
     """Length in UTF-16 code units: one more for each character beyond U+FFFF."""
     return f"(length({s}) + length(regexp_replace({s}, '[^\\\\x{{10000}}-\\\\x{{10FFFF}}]', '')))"
+
+
+def once(df: DataFrame, **columns: str) -> DataFrame:
+    """Add or replace columns whose (costly) expressions run exactly once per row.
+
+    They pass through a one-row ``explode_outer``. Filters on the new columns are not pushed
+    below it, where the optimizer would copy the expression into the filter and, over
+    several such steps, multiply it.
+    """
+    fields = ", ".join(f"{q(name)}, {sql}" for name, sql in columns.items())
+    kept = [c for c in df.columns if c not in columns]
+    staged = df.select(*df.columns, F.explode_outer(F.expr(f"array(named_struct({fields}))")).alias("_once"))
+    return staged.select(*kept, *[F.col(f"_once.{name}").alias(name) for name in columns])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cloakframe import fixed
-from cloakframe.functions.spans import utf16_length
+from cloakframe.functions.spans import once, utf16_length
 from cloakframe.schema import SPAN_COLUMNS, SPAN_T, label_sql, level_sql, priority_sql, rank_sql
 
 _SPANS = f"array<{SPAN_T}>"
@@ -116,13 +116,10 @@ def arbitrate(docs: DataFrame, policy: str | None = None, spans: str = "spans")
     """Array form of the whole step: merge, level, then policy, in this order.
 
     The policy comes last on purpose: a low-level winner may suppress an overlapping
-    high-level loser. Three projections, since each result is used more than once.
+    high-level loser.
     """
-    return (
-        docs.withColumn(spans, F.expr(merge_array(spans)))
-        .withColumn(spans, F.expr(level_array(spans)))
-        .withColumn(spans, F.expr(policy_array(spans, policy)))
-    )
+    merged = once(docs, **{spans: merge_array(spans)})
+    return once(merged, **{spans: policy_array(level_array(spans), policy)})
 
 
 def counts_array(spans: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cloakframe import fixed
-from cloakframe.functions.spans import q
+from cloakframe.functions.spans import once, q
 from cloakframe.operators import detect
 from cloakframe.operators.arbitrate import arbitrate, merge_array
 from cloakframe.schema import label_sql
@@ -104,11 +104,12 @@ def vault_array(items: str) -> str:
 
 def mask_spans(docs: DataFrame, spans: str = "spans") -> DataFrame:
     """Add ``items``, ``status``, ``masked`` (null unless ok) and ``vault`` to documents with merged spans."""
-    return (
-        docs.withColumn("items", F.expr(items_array(spans)))
-        .withColumn("status", F.expr(status_array("text", "items")))
-        .withColumn("masked", F.expr(f"if(status = '{OK}', {mask_array('text', 'items')}, NULL)"))
-        .withColumn("vault", F.expr(f"filter({vault_array('items')}, v -> status = '{OK}')"))
+    made = once(docs, items=items_array(spans))
+    judged = once(made, status=status_array("text", "items"))
+    return once(
+        judged,
+        masked=f"if(status = '{OK}', {mask_array('text', 'items')}, NULL)",
+        vault=f"filter({vault_array('items')}, v -> status = '{OK}')",
     )
 
 
@@ -209,7 +210,7 @@ def restore_array(reply: str, vault: str) -> str:
 def restore_columns(df: DataFrame, reply: str = "reply", vault: str = "vault") -> DataFrame:
     """Restore where reply and vault are in one row: text, counts, unknown and missing tokens."""
     return (
-        df.withColumn("_r", F.expr(restore_array(reply, vault)))
+        once(df, _r=restore_array(reply, vault))
         .withColumn("restored", F.col("_r.out"))
         .withColumn("replaced", F.col("_r.replaced"))
         .withColumn("unknown", F.expr(f"regexp_extract_all(_r.out, {q(UNKNOWN)}, 0)"))
@@ -246,8 +247,9 @@ def fixed_form_items(spans: str) -> str:
 def fast_mask(docs: DataFrame, rules=None, text: str = "text", out: str = "masked") -> DataFrame:
     """Rule spans only, merged, masked with fixed-form tokens. Adds ``out``."""
     found = detect.scan(docs, rules, extraction=False, text=text, out="_s")
-    merged = found.withColumn("_s", F.expr(merge_array("_s"))).withColumn("_i", F.expr(fixed_form_items("_s")))
-    return merged.withColumn(out, F.expr(mask_array(text, "_i"))).drop("_s", "_i")
+    merged = once(found, _s=merge_array("_s"))
+    items = once(merged, _i=fixed_form_items("_s"))
+    return once(items, **{out: mask_array(text, "_i")}).drop("_s", "_i")
 
 
 def idempotence_gate(docs: DataFrame, rules=None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from cloakframe import fixed
 from cloakframe.functions.checks import strip
-from cloakframe.functions.spans import literal_spans, overlapping_starts, q
+from cloakframe.functions.spans import literal_spans, once, overlapping_starts, q
 from cloakframe.schema import PREDICTION_DDL, _map, level_sql
 
 # --- occurrences --------------------------------------------------------------------
@@ -333,8 +333,8 @@ def resolve_spans(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     )
     placed = (
         _packed(candidates, docs)
-        .withColumn("cands", F.expr(usable))
-        .withColumn("placed", F.expr(f"aggregate(cands, {begin}, (a, c) -> {step}, a -> a.out)"))
+        .transform(once, cands=usable)
+        .transform(once, placed=f"aggregate(cands, {begin}, (a, c) -> {step}, a -> a.out)")
         .select("doc_id", F.explode(F.arrays_zip("cands", "placed")).alias("z"))
         .select("doc_id", "z.cands.*", F.col("z.placed.start").alias("start"), F.col("z.placed.reason").alias("reason"))
     )
@@ -356,8 +356,8 @@ def align_sequential(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     begin = "named_struct('cursor', 0, 'out', cast(array() AS array<struct<seq:int,start:int,reason:string>>))"
     return (
         _packed(candidates, docs)
-        .withColumn("cands", F.expr("filter(cands, c -> length(c.text) > 0)"))
-        .withColumn("placed", F.expr(f"aggregate(cands, {begin}, (a, c) -> {step}, a -> a.out)"))
+        .transform(once, cands="filter(cands, c -> length(c.text) > 0)")
+        .transform(once, placed=f"aggregate(cands, {begin}, (a, c) -> {step}, a -> a.out)")
         .select("doc_id", F.explode(F.arrays_zip("cands", "placed")).alias("z"))
         .select(
             "doc_id", "z.cands.seq", F.col("z.placed.start").alias("start"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakframe import fixed
 from cloakframe.functions.checks import strip
+from cloakframe.functions.spans import once
 from cloakframe.operators.mask import mask_spans, token_sql
 from cloakframe.schema import _map
 
@@ -80,9 +81,10 @@ def apply_reviews(docs: DataFrame, actions: DataFrame) -> DataFrame:
     fold = f"aggregate(_acts, named_struct('items', _first, 'refused', 0), (z, c) -> {step})"
     return (
         masked.join(packed, "doc_id", "left")
-        .withColumn("_acts", F.expr(f"coalesce(_acts, {empty})"))
-        .withColumn("_first", F.expr(f"cast(transform(items, x -> {first}) AS {REVIEW_T})"))
-        .withColumn("_z", F.expr(fold))
+        .transform(
+            once, _acts=f"coalesce(_acts, {empty})", _first=f"cast(transform(items, x -> {first}) AS {REVIEW_T})"
+        )
+        .transform(once, _z=fold)
         .withColumn("review", F.expr(f"array_sort(_z.items, {order})"))
         .withColumn("refused", F.col("_z.refused"))
         .drop("_acts", "_first", "_z", "items", "masked", "vault", "status")
