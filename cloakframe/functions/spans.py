@@ -40,14 +40,19 @@ def fenced_spans(fenced: str) -> str:
     )
 
 
-def regex_spans(text: str, before: str, value: str, after: str = "", flags: str = "dU") -> str:
-    """All leftmost non-overlapping matches of ``before value after``; the span is ``value``.
+def fence(text: str, before: str, value: str, after: str = "", flags: str = "dU") -> str:
+    """The text with the value of every match of ``before value after`` fenced.
 
     ``before`` and ``after`` hold no capture groups of their own. Groups inside
     ``value`` are numbered from 3, and ``after`` is a named group.
     """
     pattern = f"(?{flags})({before})({value})(?<tail>{after})"
-    return fenced_spans(f"regexp_replace({text}, {q(pattern)}, '$1{OPEN}$2{CLOSE}${{tail}}')")
+    return f"regexp_replace({text}, {q(pattern)}, '$1{OPEN}$2{CLOSE}${{tail}}')"
+
+
+def regex_spans(text: str, before: str, value: str, after: str = "", flags: str = "dU") -> str:
+    """All leftmost non-overlapping matches of ``before value after``; the span is ``value``."""
+    return fenced_spans(fence(text, before, value, after, flags))
 
 
 def literal_spans(text: str, fragment: str) -> str:

@@ -238,10 +238,11 @@ def parse_generated(raw: DataFrame) -> DataFrame:
             ),
         )
         .withColumn("c", F.expr(f"regexp_replace(c, {comma}, '$1')"))
-        .withColumn("j", F.expr("try_parse_json(c)"))
+        # In brackets, so that text after a first value makes the parse fail.
+        .withColumn("j", F.expr("try_variant_get(try_parse_json(concat('[', c, ']')), '$', 'array<variant>')"))
     )
     salvage = f"transform(regexp_extract_all(c, {q('[{][^{}]*[}]')}, 0), x -> try_parse_json(x))"
-    items = f"if(j IS NULL, {salvage}, try_variant_get(j, '$', 'array<variant>'))"
+    items = f"if(j IS NULL OR size(j) <> 1, {salvage}, try_variant_get(j[0], '$', 'array<variant>'))"
     one = cleaned.select("doc_id", "text", F.posexplode_outer(F.expr(items)).alias("seq", "v"))
     level = f"upper({strip(_field('v', 'privacy_level', 'level', 'pl', 'risk_level'))})"
     key = "lower(raw_type)"

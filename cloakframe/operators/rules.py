@@ -4,6 +4,8 @@ A rule is data: a pattern in three parts (before, value, after; the span is the
 value), a confidence, an optional check and a gate. The gate is a set of literal
 substrings of which a matching text must contain at least one, so that a text
 without them is skipped by a plain substring search instead of a regex pass.
+``digit`` says that every match holds a digit; texts without any skip all such rules.
+``foreign`` says the same of non-Latin script.
 ``order`` is the position in the list and the last tie-break of arbitration.
 """
 
@@ -40,6 +42,8 @@ class Rule:
     validated: bool = False
     gate: tuple[str, ...] = ()
     gate_regex: str | None = None
+    digit: bool = False
+    foreign: bool = False
     post: tuple[str, ...] = ()
     sources: tuple[str, ...] = ("rules",)
     order: int = field(default=0)
@@ -559,6 +563,13 @@ def date_rules():
     )
 
 
+# Every match of these rules holds a digit.
+_WITH_DIGIT = (
+    "B27", "B29", "B30", "B31", "B33", "B34", "B35", "B36", "B37", "B39", "B45", "B46", "B47", "B48", "B49", "B54", "B55",
+    "B58", "B72a", "B72b", "B72c",
+)
+
+
 def built_in_rules(surnames: str = SURNAMES + MORE_SURNAMES, compound=COMPOUND + MORE_COMPOUND) -> tuple[Rule, ...]:
     """The whole deterministic list in arbitration order."""
     rules = (
@@ -569,7 +580,7 @@ def built_in_rules(surnames: str = SURNAMES + MORE_SURNAMES, compound=COMPOUND +
         + address_rules()
         + date_rules()
     )
-    return tuple(replace(r, order=i) for i, r in enumerate(rules))
+    return tuple(replace(r, order=i, digit=r.key in _WITH_DIGIT, foreign=r.key == "B37") for i, r in enumerate(rules))
 
 
 # --- Chinese extraction (second built-in detector) ---------------------------
@@ -611,12 +622,12 @@ def extraction_name_rules(first_order: int = 1000) -> tuple[Rule, ...]:
             ("通知", "联系", "找", "转交给", "拜访", "采访", "陪同"),
         ),
     )
-    return tuple(replace(r, order=first_order + i) for i, r in enumerate(rules))
+    return tuple(replace(r, order=first_order + i, foreign=True) for i, r in enumerate(rules))
 
 
 EXTRACTION_ADDRESS_RULE = Rule(
     "B82", "CN_ADDRESS", 0.90,
     rf"(?:{_PROVINCE})(?:{_ADMIN})?(?:[^\s，。；;！？\n]{{1,25}}(?:{_STEP}))+(?:[^\s，。；;！？\n]{{0,40}}{_DETAIL})*",
     r"(?:(?:住在|寄往|寄到|送往|送至|发往|地址(?:是|为|：|:)?)\s*)?",
-    ignore_case=True, gate=tuple(_PROVINCE.split("|")), sources=_IE, order=1006,
+    ignore_case=True, gate=tuple(_PROVINCE.split("|")), sources=_IE, order=1006, foreign=True,
 )

@@ -182,8 +182,8 @@ _SPACED = "CASE c_custkey % 3 WHEN 0 THEN '  ab' || c_custkey || ' ' WHEN 1 THEN
 )
 def trim_spans_query(spark, d):
     rows = derived(spark, d, "customer", "c_custkey AS doc_id", f"{_SPACED} AS v")
-    one = "array(named_struct('start', 7, 'end', 7 + length(v), 'text', v))"
-    return rows.select("doc_id", F.explode(F.expr(detect.trim_spans(one))).alias("s")).select("doc_id", "s.*")
+    spans = rows.withColumn("s", F.expr("named_struct('start', 7, 'end', 7 + length(v), 'text', v, 'idx', 0)"))
+    return spans.select("doc_id", F.expr(detect.trim_span()).alias("s")).select("doc_id", "s.start", "s.end", "s.text")
 
 
 def _filter_query(name: str, value: str, keep_sql: str, keep: str) -> None:
@@ -234,9 +234,8 @@ def password_ok_query(spark, d):
 def trim_password_query(spark, d):
     value = "CASE c_custkey % 3 WHEN 0 THEN 'abc;,' WHEN 1 THEN 'abc。' ELSE ';a;b' END"
     rows = derived(spark, d, "customer", "c_custkey AS doc_id", f"{value} AS v")
-    one = "array(named_struct('start', 0, 'end', length(v), 'text', v))"
-    cut = detect.rtrim_spans(one, detect.PASSWORD_TAIL, keep_whole=True)
-    return rows.select("doc_id", F.expr(f"element_at({cut}, 1).text").alias("text"))
+    spans = rows.withColumn("s", F.expr("named_struct('start', 0, 'end', length(v), 'text', v, 'idx', 0)"))
+    return spans.select("doc_id", F.expr(f"({detect.rtrim_span(detect.PASSWORD_TAIL, keep_whole=True)}).text").alias("text"))
 
 
 # --- validators: value from the order key, expected result in SQL --------------------------------
