@@ -50,20 +50,21 @@ def items_array(spans: str) -> str:
 
 
 def allocate_tokens(spans: DataFrame) -> DataFrame:
-    """Table form: number distinct values by their first start, then join back.
+    """Table form: number the distinct values of a (document, type) by their first start.
 
-    The window runs over distinct values of one (document, type), after a partial
-    aggregation; repeats never reach it.
+    Two windows over one exchange and no self-join, which would run the plan behind
+    ``spans`` twice. The values of one document are bounded by the intake limit.
     """
-    firsts = spans.groupBy("doc_id", "type", "text").agg(F.min("start").alias("_first"))
-    order = W.partitionBy("doc_id", "type").orderBy("_first", "text")
-    numbered = firsts.withColumn("_n", F.row_number().over(order)).drop("_first")
+    first = F.min("start").over(W.partitionBy("doc_id", "type", "text"))
+    number = F.dense_rank().over(W.partitionBy("doc_id", "type").orderBy("_first", "text"))
     label = label_sql() if "label" not in spans.columns else "label"
     return (
-        spans.join(numbered, ["doc_id", "type", "text"])
+        spans.repartition("doc_id", "type")
+        .withColumn("_first", first)
+        .withColumn("_n", number)
         .withColumn("label", F.expr(label))
         .withColumn("token", F.expr(token_sql("type", "label", "text", "_n")))
-        .drop("_n")
+        .drop("_n", "_first")
     )
 
 

@@ -138,18 +138,36 @@ def outcome_level() -> Column:
 # --- characters ---------------------------------------------------------------------------
 
 
-def _outside(rows: DataFrame, cover: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    """Sum, per text, of the characters of each row that the cover does not hold."""
-    inside = covered_chars(rows, coverage(cover, by), by)
-    joined = rows.select(*by, "start", "end").join(inside, [*by, "start", "end"])
-    return joined.groupBy(*by).agg(F.sum(F.expr("end - start - covered")).cast("long").alias(name))
+def _with_outside(matches: DataFrame, gold: DataFrame, pred: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add ``outside`` to misses and false hits: their characters that the other side does not cover.
+
+    Misses are held against predictions and false hits against gold in one interval join,
+    keyed by the kind of row, so the matches are read twice and each side once more.
+    """
+    keys = (*by, "_kind")
+    kind = lambda df, k: df.select(*by, F.lit(k).alias("_kind"), "start", "end")
+    cover = coverage(kind(pred, "FN").unionByName(kind(gold, "FP")), keys)
+    marked = matches.withColumn("_kind", F.col("outcome"))
+    inside = covered_chars(marked.filter("_kind <> 'TP'"), cover, keys)
+    joined = marked.join(inside, [*keys, "start", "end"], "left")
+    return joined.withColumn("outside", F.expr("if(_kind = 'TP', 0, end - start - coalesce(covered, 0))")).drop(
+        "_kind", "covered"
+    )
+
+
+def _chars(outcome: str, extra: str = "true") -> Column:
+    total = F.sum(F.expr(f"if(outcome = '{outcome}' AND {extra}, outside, 0)")).cast("long")
+    return F.coalesce(total, F.lit(0).cast("long"))
 
 
 def char_leakage(matches: DataFrame, gold: DataFrame, pred: DataFrame, by: Sequence[str] = DOC) -> DataFrame:
     """Per text: missed gold characters under no prediction, and false characters over no gold."""
-    leaked = _outside(matches.filter("outcome = 'FN'"), pred, by, "leaked_chars")
-    over = _outside(matches.filter("outcome = 'FP'"), gold, by, "overredacted_chars")
-    return leaked.join(over, list(by), "full_outer").fillna(0, ["leaked_chars", "overredacted_chars"])
+    return (
+        _with_outside(matches, gold, pred, by)
+        .filter("outcome <> 'TP'")
+        .groupBy(*by)
+        .agg(_chars("FN").alias("leaked_chars"), _chars("FP").alias("overredacted_chars"))
+    )
 
 
 # --- layered score ---------------------------------------------------------------------------
@@ -169,17 +187,15 @@ def score_layered(
         compatible_sql("r_type", "gold_type"),
     )
     hits = relaxed.groupBy(*slices).agg(F.count_if("relaxed").alias("relaxed_hits"))
-    leak = _outside(matches.filter("outcome = 'FN' AND should_redact"), pred, by, "leaked_chars")
-    over = _outside(matches.filter("outcome = 'FP'"), redact, by, "overredacted_chars")
-    leak = leak.groupBy(*slices).agg(F.sum("leaked_chars").alias("leaked_chars"))
-    over = over.groupBy(*slices).agg(F.sum("overredacted_chars").alias("overredacted_chars"))
-    base = matches.groupBy(*slices).agg(
+    base = _with_outside(matches, redact, pred, by).groupBy(*slices).agg(
         *counts(),
         F.count_if(F.expr("outcome = 'TP' AND gold_type = pred_type")).alias("type_correct"),
         F.count_if(F.expr("outcome <> 'FP' AND should_redact")).alias("redact_gold"),
         F.count_if(F.expr("outcome = 'TP' AND should_redact")).alias("redact_covered"),
+        _chars("FN", "should_redact").alias("leaked_chars"),
+        _chars("FP").alias("overredacted_chars"),
     )
-    parts = _glue(base, (hits, leak, over), slices).fillna(0, ["relaxed_hits", "leaked_chars", "overredacted_chars"])
+    parts = _glue(base, [hits], slices).fillna(0, ["relaxed_hits"])
     ratio = lambda a, b, empty: F.round(F.expr(f"if({b} > 0, {a} / ({b}), {empty}D)"), 6)
     return prf(parts).select(
         *slices, "tp", "fp", "fn", "precision", "recall", "f1",
@@ -433,14 +449,16 @@ def norm_surface(text: str) -> str:
 
 
 def _surface_hits(gold_forms: DataFrame, surface_forms: DataFrame) -> DataFrame:
-    """Distinct (doc_id, f, s) where one normal form contains the other."""
-    f, s = gold_forms.select("doc_id", "f").distinct(), surface_forms.select("doc_id", "s").distinct()
-    inside = contained_pairs(f.withColumnRenamed("f", "s"), s.withColumnRenamed("s", "b"))
-    around = contained_pairs(s, f.withColumnRenamed("f", "b"))
-    return (
-        inside.select("doc_id", F.col("s").alias("f"), F.col("b").alias("s"))
-        .unionByName(around.select("doc_id", F.col("b").alias("f"), "s"))
-        .distinct()
+    """Rows (doc_id, f, s, …) where one normal form contains the other; equal forms come twice.
+
+    Further columns of both inputs are carried along.
+    """
+    gf, sf = gold_forms, surface_forms
+    inside = contained_pairs(gf.withColumn("s", F.col("f")), sf.withColumnRenamed("s", "b"))
+    around = contained_pairs(sf, gf.withColumn("b", F.col("f")))
+    more = [c for c in (*gf.columns, *sf.columns) if c not in ("doc_id", "f", "s")]
+    return inside.select("doc_id", "f", F.col("b").alias("s"), *more).unionByName(
+        around.select("doc_id", "f", "s", *more)
     )
 
 
@@ -454,15 +472,15 @@ def score_surfaces(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
     """
     g = gold.withColumn("f", F.expr(norm_surface("text")))
     s = surfaces.withColumn("s", F.expr(norm_surface("surface")))
-    hits = _surface_hits(g, s)
-    red = g.filter("should_redact").select("doc_id", "f").distinct()
-    public = g.filter("NOT should_redact").select("doc_id", "f").distinct()
+    forms = g.groupBy("doc_id", "f").agg(
+        F.bool_or("should_redact").alias("red"), F.bool_or(~F.col("should_redact")).alias("public")
+    )
     first = s.groupBy("doc_id", "s").agg(F.min("sid").alias("sid"))
-    red_hits = hits.join(red, ["doc_id", "f"])
-    claimed = red_hits.join(first, ["doc_id", "s"]).groupBy("doc_id", "f").agg(F.min("sid").alias("sid"))
-    covered = claimed.select("doc_id", "f").withColumn("_cov", F.lit(True))
+    hits = _surface_hits(forms, first)
+    # One row per redactable fragment: the list place of the surface that counts for it.
+    claimed = hits.filter("red").groupBy("doc_id", "f").agg(F.min("sid").alias("sid"))
     per_gold = (
-        g.join(covered, ["doc_id", "f"], "left")
+        g.join(claimed.withColumn("_cov", F.lit(True)).drop("sid"), ["doc_id", "f"], "left")
         .fillna(False, ["_cov"])
         .groupBy("doc_id")
         .agg(
@@ -472,11 +490,10 @@ def score_surfaces(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
             F.count_if(F.expr("context_class = 'quasi_identifier'")).alias("_quasi"),
         )
     )
-    flag = lambda df, name: df.select("doc_id", "s").distinct().withColumn(name, F.lit(True))
+    met = hits.groupBy("doc_id", "s").agg(F.bool_or("red").alias("_red"), F.bool_or("public").alias("_public"))
     judged = (
         s.join(claimed.select("doc_id", "sid").distinct().withColumn("_used", F.lit(True)), ["doc_id", "sid"], "left")
-        .join(flag(red_hits, "_red"), ["doc_id", "s"], "left")
-        .join(flag(hits.join(public, ["doc_id", "f"]), "_public"), ["doc_id", "s"], "left")
+        .join(met, ["doc_id", "s"], "left")
         .fillna(False, ["_used", "_red", "_public"])
     )
     per_surface = judged.groupBy("doc_id").agg(
@@ -486,20 +503,19 @@ def score_surfaces(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
     )
     out = per_gold.join(per_surface, "doc_id", "full_outer").fillna(0)
     ratio = lambda a, b: F.round(F.expr(f"if({b} > 0, ({a}) / {b}, 1D)"), 6)
-    quasi = "if(_quasi > 0, covered / _quasi, NULL)"
     return out.select(
         "doc_id", "gold", "covered", "surfaces", "over_public", "over_no_gold", "residual_chars",
         ratio("covered", "gold").alias("identity_recall"),
         ratio("surfaces - over_public - over_no_gold", "surfaces").alias("identity_precision"),
-        F.round(F.expr(quasi), 6).alias("quasi_recall"),
+        F.round(F.expr("if(_quasi > 0, covered / _quasi, NULL)"), 6).alias("quasi_recall"),
     )
 
 
 def category_recall(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Covered and all redactable fragments per category."""
     g = gold.filter("should_redact").withColumn("f", F.expr(norm_surface("text")))
-    s = surfaces.select("doc_id", F.expr(norm_surface("surface")).alias("s"))
-    hit = _surface_hits(g, s).select("doc_id", "f").distinct().withColumn("_cov", F.lit(True))
+    s = surfaces.select("doc_id", F.expr(norm_surface("surface")).alias("s")).distinct()
+    hit = _surface_hits(g.select("doc_id", "f").distinct(), s).select("doc_id", "f").distinct().withColumn("_cov", F.lit(True))
     return (
         g.join(hit, ["doc_id", "f"], "left")
         .groupBy(F.expr(f"coalesce(element_at({_map(fixed.SURFACE_CATEGORY)}, type), 'other')").alias("category"))
