@@ -138,17 +138,21 @@ def outcome_level() -> Column:
 # --- characters ---------------------------------------------------------------------------
 
 
-def _with_outside(matches: DataFrame, gold: DataFrame, pred: DataFrame, by: Sequence[str]) -> DataFrame:
+def _with_outside(
+    matches: DataFrame, gold: DataFrame, pred: DataFrame, by: Sequence[str], over: DataFrame | None = None
+) -> DataFrame:
     """Add ``outside`` to misses and false hits: their characters that the other side does not cover.
 
-    Misses are held against predictions and false hits against gold in one interval join,
-    keyed by the kind of row, so the matches are read twice and each side once more.
+    Every gold span is held against predictions and every prediction against gold in one
+    interval join keyed by the kind of row. It reads the two inputs, not the matches, so the
+    matching behind those runs once.
     """
     keys = (*by, "_kind")
+    over = gold if over is None else over  # the gold that excuses a false hit
     kind = lambda df, k: df.select(*by, F.lit(k).alias("_kind"), "start", "end")
-    cover = coverage(kind(pred, "FN").unionByName(kind(gold, "FP")), keys)
+    cover = coverage(kind(pred, "FN").unionByName(kind(over, "FP")), keys)
+    inside = covered_chars(kind(gold, "FN").unionByName(kind(pred, "FP")), cover, keys)
     marked = matches.withColumn("_kind", F.col("outcome"))
-    inside = covered_chars(marked.filter("_kind <> 'TP'"), cover, keys)
     joined = marked.join(inside, [*keys, "start", "end"], "left")
     return joined.withColumn("outside", F.expr("if(_kind = 'TP', 0, end - start - coalesce(covered, 0))")).drop(
         "_kind", "covered"
@@ -187,7 +191,7 @@ def score_layered(
         compatible_sql("r_type", "gold_type"),
     )
     hits = relaxed.groupBy(*slices).agg(F.count_if("relaxed").alias("relaxed_hits"))
-    base = _with_outside(matches, redact, pred, by).groupBy(*slices).agg(
+    base = _with_outside(matches, gold, pred, by, redact).groupBy(*slices).agg(
         *counts(),
         F.count_if(F.expr("outcome = 'TP' AND gold_type = pred_type")).alias("type_correct"),
         F.count_if(F.expr("outcome <> 'FP' AND should_redact")).alias("redact_gold"),

@@ -122,9 +122,10 @@ def gold_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pred_spans(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
-    moved = lines.filter("l_suppkey % 7 <> 0").selectExpr(*_expr(PRED))
-    return _named(moved.unionByName(lines.filter("l_suppkey % 6 = 0").selectExpr(*_expr(EXTRA))))
+    struct = lambda shape: "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in shape) + ")"
+    both = f"array(if(l_suppkey % 7 <> 0, {struct(PRED)}, NULL), if(l_suppkey % 6 = 0, {struct(EXTRA)}, NULL))"
+    rows = _lines(spark, d).select(F.explode(F.expr(both)).alias("x")).filter("x IS NOT NULL")
+    return _named(rows.select("x.*"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
