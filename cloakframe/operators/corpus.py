@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cloakframe.functions.spans import literal_spans, utf16_length
+from cloakframe.functions.spans import literal_spans, q, utf16_length
 from cloakframe.operators import detect
 from cloakframe.operators.arbitrate import overlap_runs
 from cloakframe.operators.rules import EXACT_AND_CONTEXT
@@ -100,16 +100,10 @@ def pad_documents(docs: DataFrame, notice: str, target: int = PAD_TO) -> DataFra
     """Lengthen texts to at least ``target`` by a neutral notice; ``{n}`` in it is the length so far."""
     before, _, after = notice.partition("{n}")
     steps = f"sequence(1, cast(ceil({target} / {len(before) + len(after) + 1}) AS int) + 1)"
-    add = f"concat(a, {_lit(before)}, length(a), {_lit(after)})"
+    add = f"concat(a, {q(before)}, length(a), {q(after)})"
     return docs.withColumn("text", F.expr(f"aggregate({steps}, text, (a, i) -> if(length(a) < {target}, {add}, a))"))
 
 
-def _lit(s: str) -> str:
-    from cloakframe.functions.spans import q
-
-    return q(s)
-
-
 def length_band(text: str = "text") -> str:
     cases = " ".join(f"WHEN length({text}) < {n} THEN '{name}'" for n, name in BANDS if n)
     return f"CASE {cases} ELSE '{BANDS[-1][1]}' END"

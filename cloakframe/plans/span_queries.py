@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from cloakframe import fixed
 from cloakframe.functions.checks import CHECKS, check
-from cloakframe.functions.spans import q
 from cloakframe.operators import arbitrate, detect, mask, registry
 from cloakframe.operators.review import apply_reviews
-from cloakframe.operators.rules import Rule, built_in_rules
+from cloakframe.operators.rules import Rule
 from cloakframe.plans import shapes as S
 from cloakframe.plans.catalog import DUCK_LUHN, add, derived, query, table
-from cloakframe.schema import compatible_pairs, compatible_sql, dim_entity_type, label_sql, level_sql
+from cloakframe.schema import compatible_pairs, compatible_sql, dim_entity_type
 from cloakframe.sources.texts import intake_guard, scan_texts
 
 SPAN_OUT = ("doc_id", "start", "end", "type", "text", "confidence", "validated")
@@ -474,7 +473,6 @@ def preview_query(spark, d):
     return rows.select("doc_id", F.expr(mask.mask_preview("v")).alias("preview"))
 
 
-_FAST_TOKEN = "'⟦' || type || '_01_' || substr(sha1(type || text), 1, 8) || '⟧'"
 _FAST_CTE = S.DOC_MASK_CTE.replace("JOIN nums USING (doc_id, type, text) JOIN", "JOIN").replace(
     S.DOC_MASK_CTE[S.DOC_MASK_CTE.index("'⟦' || regexp_replace") : S.DOC_MASK_CTE.index(" AS token")],
     "'⟦' || m.type || '_01_' || substr(sha1(m.type || m.text), 1, 8) || '⟧'",
