@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that ``spark.checkpoint.dir`` names.
+    """A new folder name below the shared one that ``spark.checkpoint.dir`` names.
 
-    Only where the setting is missing, as in local tests, a local folder is made instead.
+    On a cluster the setting is required. A local master, as in tests, falls back to the session's own
+    ``spark.local.dir``, which all its threads share.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    shared = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
+        shared = os.path.join(spark.sparkContext.getConf().get("spark.local.dir") or os.environ.get("SPARK_LOCAL_DIRS", "/tmp"),
+                              f"{spark.sparkContext.applicationId}-stored")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
