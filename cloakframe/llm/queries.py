@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chat_format, mixing, topk, url_filter
-from cloakframe.llm.common import table
+from cloakframe.llm import chat_format, language_id, mixing, quality, topk, toxicity, url_filter
+from cloakframe.llm.common import crc_mod, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,32 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "url")
     listed = pages.filter("page_id % 16 = 0").select("url")
     return url_filter.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+# --- language, quality, toxicity ---------------------------------------------------------
+
+
+@query("op1_crf_language")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every whole text; learnt from the rows outside the held-out fold."""
+    docs = table(spark, d, "documents")
+    model = language_id.train(docs.filter(crc_mod("doc_id", 4) != 2))
+    return language_id.predict(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_ordinal_toxicity")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    """Expected severity of every whole text; a quarter of the labelled rows is held out."""
+    docs = table(spark, d, "documents")
+    model = toxicity.train(docs.filter(crc_mod("doc_id", 4) != 2), table(spark, d, "labels"))
+    return toxicity.predict(docs, model).select(
+        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "severity", "grade", "score", (F.col("score") >= 0.5).cast("int").alias("toxic"))
+
+
+@query("op9_conv_quality")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of every whole text; learnt from labelled rows outside the held-out fold."""
+    docs = table(spark, d, "documents")
+    net = quality.train(docs.filter(crc_mod("doc_id", 4) != 2), table(spark, d, "labels"))
+    return quality.predict(docs, net).select(
+        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
