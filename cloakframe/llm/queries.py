@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chat_format, language_id, mixing, quality, topk, toxicity, url_filter
+from cloakframe.llm import chat_format, decontaminate, jaccard_join, language_id, mixing, quality, topk, toxicity, url_filter
 from cloakframe.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -155,3 +155,18 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     net = quality.train(docs.filter(crc_mod("doc_id", 4) != 2), table(spark, d, "labels"))
     return quality.predict(docs, net).select(
         "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+# --- near copies and benchmark passages --------------------------------------------------
+
+
+@query("op4_forest_jaccard")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard_join.near_copies(table(spark, d, "documents"))
+
+
+@query("op8_cgk_decontamination")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its edits and place."""
+    return decontaminate.find_items(table(spark, d, "documents"), table(spark, d, "benchmark"))

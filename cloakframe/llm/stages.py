@@ -1,27 +1,54 @@
-"""Pipeline stages: (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents."""
+"""Pipeline stages: (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents.
+
+A stage reads nothing of an input column but id, text, language and source; rows without an id pass the stages that
+decide by id. Empty input gives empty output, with the columns of the input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakframe.llm import decontaminate, jaccard_join, language_id, mixing, quality
+from cloakframe.llm.common import crc_mod, stored, table
+from cloakframe.llm.membership import matching, without
+
+#: Least mean probability of the language of a text that stays.
+MIN_LANGUAGE = 0.5
+
 
-from cloakframe.llm import mixing
-from cloakframe.llm.common import stored  # noqa: F401
+def _rejected(docs: DataFrame, judged: DataFrame, reject) -> DataFrame:
+    return without(docs, judged.filter(reject).select("doc_id"), "doc_id")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Texts without a letter, and those of no prevailing language, go."""
+    model = language_id.train(docs.filter(crc_mod("doc_id", 4) != 2))
+    judged = stored(language_id.predict(docs, model))
+    return _rejected(docs, judged, (F.col("lang_pred") == "und") | (F.col("score") < MIN_LANGUAGE))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Texts that the quality model does not predict to be good go."""
+    net = quality.train(docs.filter(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
+    judged = stored(quality.predict(docs, net))
+    return _rejected(docs, judged, F.col("score") < quality.THRESHOLD)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """The document with the smallest id of each group of near copies stays."""
+    groups = stored(jaccard_join.near_copies(docs))
+    left = _rejected(docs, groups, "class_id <> doc_id")
+    again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    once = without(left, again, "doc_id")
+    twice = matching(left, again, "doc_id").select(left.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(twice)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Documents that hold a benchmark item, word for word or with few edits, go."""
+    hits = stored(decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")))
+    return without(docs, hits.select("doc_id").distinct(), "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,16 @@ def bloom_filter(listed: DataFrame, url: str = "canon") -> DataFrame:
     return listed.groupBy(_block(url).alias("__block")).agg(*words)
 
 
+def may_hold(rows: DataFrame, filter_: DataFrame, value: Column, flag: str) -> DataFrame:
+    """``rows`` plus a boolean: false if the filter rules the value out. The filter's fixed size lets it be broadcast."""
+    rows = rows.withColumn("__value", value).withColumn("__block", F.coalesce(_block("__value"), F.lit(-1)))
+    probed = rows.join(F.broadcast(filter_), "__block", "left")
+    hit = F.col("__value").isNotNull()
+    for k in range(WORDS):
+        hit = hit & (F.col(f"__w{k}").bitwiseAND(_mask("__value", k)) == _mask("__value", k))
+    return probed.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__value", "__block", *[f"__w{k}" for k in range(WORDS)])
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, verdict, maybe_listed (the filter's word) and listed (the exact one).
 
@@ -83,13 +93,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULE
     rule, action = rule_column(rules)
     own = with_parts(pages.drop("rule", "verdict", "maybe_listed", "listed"), url)
     own = own.withColumn("rule", rule).withColumn("__action", action).withColumn("__canon", canonical())
-    own = own.withColumn("__block", F.coalesce(_block("__canon"), F.lit(-1)))
-    probed = own.join(F.broadcast(bloom_filter(bad)), "__block", "left")
-    hit = F.lit(True)
-    for k in range(WORDS):
-        hit = hit & (F.col(f"__w{k}").bitwiseAND(_mask("__canon", k)) == _mask("__canon", k))
-    probed = probed.withColumn("maybe_listed", F.coalesce(hit & F.col("__canon").isNotNull(), F.lit(False)))
-    probed = probed.drop("__url", "__rest", "__block", *[f"__w{k}" for k in range(WORDS)])
+    probed = may_hold(own, bloom_filter(bad), F.col("__canon"), "maybe_listed").drop("__url", "__rest")
     clear = probed.filter(~F.col("maybe_listed")).withColumn("listed", F.lit(False))
     exact = bad.select(F.col("canon").alias("__canon"), F.lit(True).alias("listed"))
     doubt = probed.filter("maybe_listed").join(exact, "__canon", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
