@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chat_format, decontaminate, jaccard_join, language_id, mixing, quality, topk, toxicity, url_filter
+from cloakframe.llm import chat_format, decontaminate, jaccard_join, language_id, lm_score, mixing, quality, topk, toxicity, url_filter
 from cloakframe.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -170,3 +170,13 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 def op8(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark item that a document holds, with its edits and place."""
     return decontaminate.find_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+# --- LM scoring --------------------------------------------------------------------------
+
+
+@query("op5_log_bilinear")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    """log10 probability of every whole text, learnt from the rows outside the held-out fold."""
+    scored = lm_score.score_texts(table(spark, d, "documents"), crc_mod("doc_id", 7) == 2)
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
