@@ -13,17 +13,17 @@ from cloakframe.llm.url_filter import bloom_filter, may_hold
 
 
 def _suspects(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return may_hold(rows, bloom_filter(ids.select(F.col(key).cast("bigint").alias("canon"))), F.col(key).cast("bigint"), "__hit")
+    return may_hold(rows, bloom_filter(ids.select(F.col(key).cast("bigint").alias("canon"))), F.col(key).cast("bigint"))
 
 
 def matching(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Inner join of ``rows`` with ``wanted`` on ``key``."""
-    return _suspects(rows, wanted, key).filter("__hit").drop("__hit").join(wanted, key)
+    return _suspects(rows, wanted, key).filter("hit").select("row.*").join(wanted, key)
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """``rows`` whose ``key`` is not in ``ids``."""
-    probed, cols = _suspects(rows, ids, key), rows.columns
-    bad = ids.select(F.col(key).cast("bigint").alias("__bad")).distinct()
-    doubt = probed.filter("__hit").join(bad, F.col(key).cast("bigint") == F.col("__bad"), "left_anti")
-    return probed.filter("NOT __hit").select(cols).unionByName(doubt.select(cols))
+    probed = _suspects(rows, ids, key)
+    bad = ids.select(F.col(key).cast("bigint").alias("bad")).distinct()
+    doubt = probed.filter("hit").join(bad, F.col("row")[key].cast("bigint") == F.col("bad"), "left_anti")
+    return probed.filter("NOT hit").select("row.*").unionByName(doubt.select("row.*"))

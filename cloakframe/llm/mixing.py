@@ -63,9 +63,11 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
     copies = F.lit(0)
     for name, rate in rates(sizes, weights, growth).items():
         steps = F.array(*[F.lit(t) for t in thresholds(rate)])
-        copies = F.when(group == name, F.size(F.filter(steps, lambda t: t < F.col("__u")))).otherwise(copies)
-    out = docs.drop("copy_no").withColumn("__u", unit(seed, key)).withColumn("__k", copies).filter("__k > 0")
-    out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__k"))))
+        copies = F.when(F.col("g") == name, F.size(F.filter(steps, lambda t: t < F.col("u")))).otherwise(copies)
     salt = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("bigint"))
-    out = out.withColumn("__place", F.xxhash64(F.lit(seed), F.col(key), F.col("copy_no"), salt))
-    return out.drop("__u", "__k").repartition("__place").sortWithinPartitions("__place").drop("__place")
+    row = F.struct(*[F.col(c) for c in docs.columns if c != "copy_no"]).alias("row")
+    out = docs.select(row, F.col(key).alias("id"), salt.alias("salt"), unit(seed, key).alias("u"), group.alias("g"))
+    out = out.select("row", "id", "salt", copies.alias("k")).filter("k > 0")
+    out = out.select("row", "id", "salt", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy_no"))
+    out = out.withColumn("place", F.xxhash64(F.lit(seed), "id", "copy_no", "salt"))
+    return out.repartition("place").sortWithinPartitions("place").select("row.*", "copy_no")

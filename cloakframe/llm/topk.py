@@ -88,7 +88,7 @@ def search_tile(blocks: list[tuple], queries: np.ndarray, own: np.ndarray, k: in
             break
         for block in np.unique(b):
             rows = live[b == block]
-            s = np.rint(qs[rows] @ mats[block].T).astype(np.int64)
+            s = (qs[rows] @ mats[block].T).astype(np.int64)
             cand = np.broadcast_to(blocks[block][0], s.shape)
             s = np.where(cand == own[rows, None], none, s)
             all_s, all_i = np.concatenate([score[rows], s], 1), np.concatenate([ids[rows], cand], 1)

@@ -73,14 +73,14 @@ def bloom_filter(listed: DataFrame, url: str = "canon") -> DataFrame:
     return listed.groupBy(_block(url).alias("__block")).agg(*words)
 
 
-def may_hold(rows: DataFrame, filter_: DataFrame, value: Column, flag: str) -> DataFrame:
-    """``rows`` plus a boolean: false if the filter rules the value out. The filter's fixed size lets it be broadcast."""
-    rows = rows.withColumn("__value", value).withColumn("__block", F.coalesce(_block("__value"), F.lit(-1)))
-    probed = rows.join(F.broadcast(filter_), "__block", "left")
-    hit = F.col("__value").isNotNull()
+def may_hold(rows: DataFrame, filter_: DataFrame, value: Column) -> DataFrame:
+    """(row, hit): each row as a struct, and false where the filter rules its value out. The filter's fixed size lets it be broadcast."""
+    own = rows.select(F.struct("*").alias("row"), value.alias("value")).withColumn("__block", F.coalesce(_block("value"), F.lit(-1)))
+    probed = own.join(F.broadcast(filter_), "__block", "left")
+    hit = F.col("value").isNotNull()
     for k in range(WORDS):
-        hit = hit & (F.col(f"__w{k}").bitwiseAND(_mask("__value", k)) == _mask("__value", k))
-    return probed.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__value", "__block", *[f"__w{k}" for k in range(WORDS)])
+        hit = hit & (F.col(f"__w{k}").bitwiseAND(_mask("value", k)) == _mask("value", k))
+    return probed.select("row", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
@@ -91,12 +91,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULE
     first = listed.columns[0]
     bad = with_parts(listed.select(F.col(first).alias("u")), "u").select(canonical().alias("canon")).filter("canon IS NOT NULL").distinct()
     rule, action = rule_column(rules)
-    own = with_parts(pages.drop("rule", "verdict", "maybe_listed", "listed"), url)
-    own = own.withColumn("rule", rule).withColumn("__action", action).withColumn("__canon", canonical())
-    probed = may_hold(own, bloom_filter(bad), F.col("__canon"), "maybe_listed").drop("__url", "__rest")
-    clear = probed.filter(~F.col("maybe_listed")).withColumn("listed", F.lit(False))
-    exact = bad.select(F.col("canon").alias("__canon"), F.lit(True).alias("listed"))
-    doubt = probed.filter("maybe_listed").join(exact, "__canon", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    both = clear.unionByName(doubt)
-    verdict = F.coalesce("__action", F.when(F.col("listed"), "block").otherwise("allow"))
-    return both.withColumn("verdict", verdict).drop("__action", "__canon")
+    own = with_parts(pages.select(F.struct("*").alias("page"), F.col(url).alias("u")), "u")
+    own = own.select("page", "host", "path", rule.alias("rule"), action.alias("action"), canonical().alias("canon"))
+    probed = may_hold(own, bloom_filter(bad), F.col("canon")).select("row.*", F.col("hit").alias("maybe_listed"))
+    clear = probed.filter("NOT maybe_listed").withColumn("listed", F.lit(False))
+    doubt = probed.filter("maybe_listed").join(bad.withColumn("listed", F.lit(True)), "canon", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    new = {"host": "host", "path": "path", "rule": "rule", "maybe_listed": "maybe_listed", "listed": "listed"}
+    verdict = F.coalesce("action", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")
+    kept = [F.col("page")[c].alias(c) for c in pages.columns if c not in new and c != "verdict"]
+    return clear.unionByName(doubt).select(*kept, *new, verdict)
