@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cloakframe import fixed
-from cloakframe.functions.spans import once, utf16_length
+from cloakframe.functions.spans import grouped, let, once, running, utf16_length
 from cloakframe.schema import SPAN_COLUMNS, SPAN_T, label_sql, level_sql, priority_sql, rank_sql
 
 _SPANS = f"array<{SPAN_T}>"
@@ -44,16 +44,12 @@ def dedupe_array(spans: str) -> str:
     """Join spans of equal (start, end, type): sources united, confidence the maximum,
     everything else from the first in detector order."""
     ordered = f"array_sort({spans}, {_order('@.start', '@.end', '@.type', '@.ord')})"
-    same = "size(z) > 0 AND last.start = x.start AND last.end = x.end AND last.type = x.type"
-    joined = _span(
-        type="last.type", text="last.text", validated="last.validated", privacy_level="last.privacy_level",
-        semantic_type="last.semantic_type", ord="last.ord", confidence="greatest(last.confidence, x.confidence)",
-        sources="array_sort(array_union(last.sources, x.sources))",
-    )
-    step = (
-        f"if({same}, array_append(slice(z, 1, size(z) - 1), {joined}), array_append(z, x))"
-    ).replace("last.", "element_at(z, -1).")
-    return f"aggregate({ordered}, cast(array() AS {_SPANS}), (z, x) -> {step})"
+    same = grouped(ordered, "gl.start <> gr.start OR gl.end <> gr.end OR gl.type <> gr.type", SPAN_T)
+    joined = let("g[0]", "x", _span(
+        confidence="array_max(transform(g, y -> y.confidence))",
+        sources="array_sort(array_distinct(flatten(transform(g, y -> y.sources))))",
+    ))
+    return f"transform({same}, g -> if(size(g) = 1, g[0], {joined}))"
 
 
 _QUALITY = ("-@.prio", "-@.confidence", "-(@.end - @.start)", "@.start", "@.ord", "@.type")
@@ -79,17 +75,17 @@ def _by_position(spans: str) -> str:
     return f"array_sort({spans}, {_order('@.start', '@.end', '@.ord')})"
 
 
+def runs_array(ordered: str) -> str:
+    """Spans in start order cut into runs: one opens where a span starts at or behind all ends before it."""
+    reach = running("transform(ms, x -> x.end)", "greatest(ra, rx)", "-1")
+    opens = "filter(sequence(1, size(ms)), mi -> if(mi = 1, true, element_at(ms, mi).start >= element_at(mr, greatest(mi - 1, 1))))"
+    parts = "transform(mo, (mp, mk) -> slice(ms, mp, if(mk + 1 < size(mo), element_at(mo, mk + 2), size(ms) + 1) - mp))"
+    return let(ordered, "ms", f"if(size(ms) = 0, array(ms), {let(reach, 'mr', let(opens, 'mo', parts))})")
+
+
 def merge_array(spans: str) -> str:
     """Duplicates joined, then overlaps resolved run by run (a run: spans chained by overlap)."""
-    runs = (
-        f"aggregate({_by_position(dedupe_array(spans))}, "
-        f"named_struct('done', cast(array() AS array<{_SPANS}>), 'run', cast(array() AS {_SPANS}), 'reach', -1), "
-        "(a, x) -> if(x.start < a.reach, "
-        "named_struct('done', a.done, 'run', array_append(a.run, x), 'reach', greatest(a.reach, x.end)), "
-        "named_struct('done', if(size(a.run) > 0, array_append(a.done, a.run), a.done), 'run', array(x), "
-        "'reach', x.end)), "
-        "a -> if(size(a.run) > 0, array_append(a.done, a.run), a.done))"
-    )
+    runs = runs_array(_by_position(dedupe_array(spans)))
     pick = f"transform({runs}, run -> if(size(run) = 1, run, {_by_position(_greedy('run'))}))"
     return f"if(size({spans}) = 0, {spans}, flatten({pick}))"
 
@@ -124,7 +120,7 @@ def arbitrate(docs: DataFrame, policy: str | None = None, spans: str = "spans")
 
 def counts_array(spans: str) -> str:
     """Count by type as a map, in order of first appearance."""
-    types = f"transform({spans}, x -> x.type)"
+    types = f"transform({spans}, x -> x.type)"  # at most as many as there are types
     return (
         f"map_from_entries(transform(array_distinct({types}), t -> struct(t, size(filter({spans}, x -> x.type = t)))))"
     )

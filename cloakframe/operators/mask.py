@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cloakframe import fixed
-from cloakframe.functions.spans import once, q
+from cloakframe.functions.spans import cut, grouped, let, once, pieces, q
 from cloakframe.operators import detect
-from cloakframe.operators.arbitrate import arbitrate, merge_array
-from cloakframe.schema import label_sql
+from cloakframe.operators.arbitrate import arbitrate, merge_array, runs_array
+from cloakframe.schema import SPAN_T, label_sql
 
 OK, COLLISION, OVERLAP, BAD_SPAN = "ok", "token_collision", "overlap", "bad_span"
 ITEM_T = "array<struct<start:int,end:int,type:string,text:string,label:string,token:string>>"
@@ -36,16 +36,19 @@ def token_sql(type_: str, label: str, text: str, number: str) -> str:
 
 def items_array(spans: str) -> str:
     """Spans with label and token, in document order."""
-    types = f"array_distinct(transform({spans}, x -> x.type))"
-    texts = f"transform({types}, t -> array_distinct(transform(filter({spans}, x -> x.type = t), x -> x.text)))"
-    number = "cast(array_position(element_at(b, x.type), x.text) AS int)"
+    by = lambda *keys: "(l, r) -> CASE " + " ".join(
+        f"WHEN {k.replace('@', 'l')} < {k.replace('@', 'r')} THEN -1 WHEN {k.replace('@', 'l')} > {k.replace('@', 'r')} THEN 1" for k in keys
+    ) + " ELSE 0 END"
+    # One group per value, values by first appearance, one group of values per type: a value's place there is its number.
+    values = grouped(f"array_sort({spans}, {by('@.type', '@.text', '@.start')})", "gl.type <> gr.type OR gl.text <> gr.text", SPAN_T)
+    types = grouped(f"array_sort({values}, {by('@[0].type', '@[0].start', '@[0].text')})", "gl[0].type <> gr[0].type", f"array<{SPAN_T}>")
     item = (
         f"named_struct('start', x.start, 'end', x.end, 'type', x.type, 'text', x.text, "
-        f"'label', {label_sql('x.type')}, 'token', {token_sql('x.type', label_sql('x.type'), 'x.text', number)})"
+        f"'label', {label_sql('x.type')}, 'token', {token_sql('x.type', label_sql('x.type'), 'x.text', '(n + 1)')})"
     )
+    made = f"flatten(transform({types}, t -> flatten(transform(t, (g, n) -> transform(g, x -> {item})))))"
     return (
-        f"if(size({spans}) = 0, cast(array() AS {ITEM_T}), cast(element_at(transform(array(map_from_arrays({types}, "
-        f"{texts})), b -> transform({spans}, x -> {item})), 1) AS {ITEM_T}))"
+        f"if(size({spans}) = 0, cast(array() AS {ITEM_T}), cast(array_sort({made}, {by('@.start', '@.end', '@.type')}) AS {ITEM_T}))"
     )
 
 
@@ -73,34 +76,32 @@ def allocate_tokens(spans: DataFrame) -> DataFrame:
 
 def mask_array(text: str, items: str) -> str:
     """Substitute spans left to right."""
-    return (
-        f"aggregate({items}, named_struct('pos', 0, 'out', ''), "
-        f"(a, x) -> named_struct('pos', x.end, 'out', concat(a.out, substring({text}, a.pos + 1, x.start - a.pos), "
-        "x.token)), "
-        f"a -> concat(a.out, substring({text}, a.pos + 1)))"
-    )
+    gap = cut("tp", "if(i = 0, 0, element_at(ti, greatest(i, 1)).end)", "x.start")
+    rest = cut("tp", "if(size(ti) = 0, 0, element_at(ti, -1).end)", f"length({text})")
+    joined = f"concat(array_join(transform(ti, (x, i) -> concat({gap}, x.token)), ''), {rest})"
+    return let(items, "ti", f"if(size(ti) = 0, {text}, {let(pieces(text), 'tp', joined)})")
 
 
 def status_array(text: str, items: str) -> str:
     """Fail closed: one token for two values, or overlapping spans, make the document invalid."""
-    pairs = f"array_distinct(transform({items}, x -> struct(x.token, x.text)))"
-    tokens = f"array_distinct(transform({items}, x -> x.token))"
-    walk = (
-        f"aggregate({items}, named_struct('pos', 0, 'bad', false), "
-        "(a, x) -> named_struct('pos', x.end, 'bad', a.bad OR x.start < a.pos), a -> a.bad)"
-    )
-    outside = f"exists({items}, x -> x.start < 0 OR x.end <= x.start OR x.end > length({text}))"
+    by_token = f"array_sort({items}, (l, r) -> CASE WHEN l.token < r.token THEN -1 WHEN l.token > r.token THEN 1 ELSE 0 END)"
+    shared = let(by_token, "si", "exists(sequence(1, size(si)), i -> if(i < 2, false, element_at(si, i).token = element_at(si, i - 1).token "
+                 "AND element_at(si, i).text <> element_at(si, i - 1).text))")
+    walk = let(items, "si", "exists(sequence(1, size(si)), i -> element_at(si, i).start < if(i < 2, 0, element_at(si, i - 1).end))")
+    outside = let(f"length({text})", "tn", f"exists({items}, x -> x.start < 0 OR x.end <= x.start OR x.end > tn)")
     return (
-        f"CASE WHEN size({pairs}) <> size({tokens}) THEN '{COLLISION}' WHEN {walk} THEN '{OVERLAP}' "
+        f"CASE WHEN size({items}) = 0 THEN '{OK}' WHEN {shared} THEN '{COLLISION}' WHEN {walk} THEN '{OVERLAP}' "
         f"WHEN {outside} THEN '{BAD_SPAN}' ELSE '{OK}' END"
     )
 
 
 def vault_array(items: str) -> str:
-    return (
-        f"array_distinct(transform({items}, x -> named_struct('token', x.token, 'value', x.text, "
-        "'type', x.type, 'label', x.label)))"
-    )
+    """One entry per token, in document order."""
+    by = "(l, r) -> CASE WHEN l.token < r.token THEN -1 WHEN l.token > r.token THEN 1 WHEN l.start < r.start THEN -1 WHEN l.start > r.start THEN 1 ELSE 0 END"
+    item = ITEM_T.removeprefix("array<").removesuffix(">")
+    first = f"transform({grouped(f'array_sort({items}, {by})', 'gl.token <> gr.token OR gl.text <> gr.text', item)}, g -> g[0])"
+    placed = f"array_sort({first}, (l, r) -> CASE WHEN l.start < r.start THEN -1 WHEN l.start > r.start THEN 1 ELSE 0 END)"
+    return f"transform({placed}, x -> named_struct('token', x.token, 'value', x.text, 'type', x.type, 'label', x.label))"
 
 
 def mask_spans(docs: DataFrame, spans: str = "spans") -> DataFrame:
@@ -131,21 +132,27 @@ def redacted_segments(docs: DataFrame, items: str = "items") -> DataFrame:
     piece = lambda kind, text, a, b, label: (
         f"named_struct('kind', {kind}, 'text', {text}, 'source_start', {a}, 'source_end', {b}, 'label', {label})"
     )
-    gap = piece("'text'", "substring(text, a.pos + 1, x.start - a.pos)", "a.pos", "x.start", "cast(NULL AS string)")
-    token = piece("'token'", "x.token", "x.start", "x.end", "x.label")
-    rest = piece("'text'", "substring(text, a.pos + 1)", "a.pos", "length(text)", "cast(NULL AS string)")
     kind = "array<struct<kind:string,text:string,source_start:int,source_end:int,label:string>>"
-    walk = (
-        f"aggregate(array_sort({items}, (l, r) -> CASE WHEN l.start < r.start THEN -1 WHEN l.start > r.start THEN 1 "
-        "WHEN l.end < r.end THEN -1 WHEN l.end > r.end THEN 1 ELSE 0 END), "
-        f"named_struct('pos', 0, 'out', cast(array() AS {kind})), "
-        "(a, x) -> if(x.start < a.pos OR x.end <= x.start OR x.end > length(text), a, "
-        "named_struct('pos', x.end, 'out', concat(a.out, "
-        f"if(x.start > a.pos, array({gap}), cast(array() AS {kind})), array({token})))), "
-        f"a -> if(a.pos < length(text), array_append(a.out, {rest}), a.out))"
+    ordered = (
+        f"array_sort({let('length(text)', 'tn', f'filter({items}, x -> x.start >= 0 AND x.end > x.start AND x.end <= tn)')}, (l, r) -> CASE "
+        "WHEN l.start < r.start THEN -1 WHEN l.start > r.start THEN 1 WHEN l.end < r.end THEN -1 WHEN l.end > r.end THEN 1 ELSE 0 END)"
+    )
+    # Inside a run of overlapping items each counts that starts behind the last counted one.
+    pick = (
+        f"aggregate(run, named_struct('pos', 0, 'out', cast(array() AS {ITEM_T})), (a, x) -> if(x.start < a.pos, a, "
+        "named_struct('pos', x.end, 'out', array_append(a.out, cast(named_struct("
+        + ", ".join(f"'{f}', x.{f}" for f in ("start", "end", "type", "text", "label", "token")) + f") AS {ITEM_T[6:-1]})))), a -> a.out)"
     )
-    cut = docs.select("doc_id", F.expr(walk).alias("_p"))
-    return cut.select("doc_id", F.posexplode_outer("_p").alias("seq", "p")).filter("p IS NOT NULL").select(
+    kept = f"flatten(transform({runs_array(ordered)}, run -> {pick}))"
+    here = "if(i = 0, 0, element_at(k, greatest(i, 1)).end)"
+    gap = piece("'text'", cut("tp", here, "x.start"), here, "x.start", "cast(NULL AS string)")
+    token = piece("'token'", "x.token", "x.start", "x.end", "x.label")
+    end = "if(size(k) = 0, 0, element_at(k, -1).end)"
+    rest = piece("'text'", cut("tp", end, "length(text)"), end, "length(text)", "cast(NULL AS string)")
+    parts = f"flatten(transform(k, (x, i) -> concat(if(x.start > {here}, array({gap}), cast(array() AS {kind})), array({token}))))"
+    walk = let(kept, "k", let(pieces("text"), "tp", f"concat(cast({parts} AS {kind}), if({end} < length(text), array({rest}), cast(array() AS {kind})))"))
+    segments = docs.select("doc_id", F.expr(walk).alias("_p"))
+    return segments.select("doc_id", F.posexplode_outer("_p").alias("seq", "p")).filter("p IS NOT NULL").select(
         "doc_id", "seq", "p.*"
     )
 
@@ -193,7 +200,42 @@ UNKNOWN = r"⟦[^⟦⟧\n]{2,80}⟧"
 
 
 def restore_array(reply: str, vault: str) -> str:
-    """Replace tokens by their values, longer tokens first, one after the other."""
+    """Replace tokens by their values; the reply is cut at its placeholders once, and each is looked up.
+
+    Where a value or a token holds a placeholder inside, order matters: longer tokens are then replaced first, one after
+    the other. Both ways give the same result otherwise.
+    """
+    return f"if(exists({vault}, v -> contains(v.value, '⟦') OR NOT rlike(v.token, {q(WHOLE)})), {_one_by_one(reply, vault)}, {_looked_up(reply, vault)})"
+
+
+_RESTORED = "struct<out:string,replaced:int,missing:array<string>>"
+WHOLE = r"^⟦[^⟦⟧]*⟧$"
+
+
+def _looked_up(reply: str, vault: str) -> str:
+    # Marks are cut off the reply; sorted together with the vault's tokens, equal ones stand side by side.
+    marks = f"regexp_extract_all({reply}, '⟦[^⟦⟧]*⟧', 0)"
+    row = "named_struct('token', {0}, 'at', {1}, 'value', {2})"
+    rows = (
+        f"concat(transform({vault}, v -> {row.format('v.token', '-1', 'v.value')}), "
+        f"transform(lm, (m, i) -> {row.format('m', 'i', 'cast(NULL AS string)')}))"
+    )
+    by = "(l, r) -> CASE WHEN l.token < r.token THEN -1 WHEN l.token > r.token THEN 1 WHEN l.at < r.at THEN -1 WHEN l.at > r.at THEN 1 WHEN l.value < r.value THEN -1 WHEN l.value > r.value THEN 1 ELSE 0 END"
+    same = grouped(f"array_sort({rows}, {by})", "gl.token <> gr.token", "struct<token:string,at:int,value:string>")
+    filled = (
+        "array_sort(flatten(transform(lg, g -> transform(filter(g, x -> x.at >= 0), x -> named_struct('at', x.at, "
+        "'hit', g[0].at < 0, 'value', if(g[0].at < 0, g[0].value, x.token))))), (l, r) -> l.at - r.at)"
+    )
+    lost = "transform(filter(lg, g -> g[0].at < 0 AND element_at(g, -1).at < 0), g -> g[0].token)"
+    ordered = "array_sort({0}, (l, r) -> CASE WHEN length(l) > length(r) THEN -1 WHEN length(l) < length(r) THEN 1 WHEN l < r THEN -1 WHEN l > r THEN 1 ELSE 0 END)"
+    text = f"concat(array_join(zip_with(slice(lt, 1, size(lf)), lf, (t, f) -> concat(t, f.value)), ''), element_at(lt, -1))"
+    body = (
+        f"named_struct('out', {text}, 'replaced', size(filter(lf, f -> f.hit)), 'missing', {ordered.format(lost)})"
+    )
+    return let(marks, "lm", let(same, "lg", let(filled, "lf", let(f"split({reply}, '⟦[^⟦⟧]*⟧', -1)", "lt", f"cast({body} AS {_RESTORED})"))))
+
+
+def _one_by_one(reply: str, vault: str) -> str:
     ordered = (
         f"array_sort({vault}, (l, r) -> CASE WHEN length(l.token) > length(r.token) THEN -1 "
         "WHEN length(l.token) < length(r.token) THEN 1 WHEN l.token < r.token THEN -1 "
@@ -201,7 +243,7 @@ def restore_array(reply: str, vault: str) -> str:
     )
     hits = "cast((length(a.out) - length(replace(a.out, x.token, ''))) / length(x.token) AS int)"
     return (
-        f"aggregate({ordered}, named_struct('out', {reply}, 'replaced', 0, 'missing', cast(array() AS array<string>)), "
+        f"aggregate({ordered}, cast(named_struct('out', {reply}, 'replaced', 0, 'missing', cast(array() AS array<string>)) AS {_RESTORED}), "
         "(a, x) -> if(contains(a.out, x.token), "
         f"named_struct('out', replace(a.out, x.token, x.value), 'replaced', a.replaced + {hits}, 'missing', a.missing), "
         "named_struct('out', a.out, 'replaced', a.replaced, 'missing', array_append(a.missing, x.token))))"

@@ -437,11 +437,16 @@ NOT_NAMES = (
     "黄河", "长江", "东方", "黄金", "方针", "严厉", "金钱", "周报", "徐徐", "武力", "王道", "李子",
     "杨树", "林木", "蔡司", "夏天",
 )
-# Further family names for labelled names; callers extend both by parameter.
-MORE_SURNAMES = (
-    "常温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪"
-    "梅童凌毕单季裴霍涂成苗谷盛曲翁冉骆蓝路游辛靳管柴蒙鲍华喻祁房滕屈饶解牟艾尤阳时穆农司卓古吉"
+# Single-character family names of labelled names, in the order of the classical list of family names.
+LABELLED_SURNAMES = (
+    "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳鲍史唐费"
+    "廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧计伏成戴谈宋茅庞熊纪舒屈项祝董梁杜"
+    "阮蓝闵席季麻强贾路娄危江童颜郭梅盛林刁钟徐邱骆高夏蔡田樊胡凌霍虞万支柯昝管卢莫经房裘缪干解应宗宣丁邓郁单杭洪包诸左石崔吉龚程嵇邢"
+    "裴陆荣翁荀羊於惠甄曲封芮储靳汲邴糜松井段富巫乌焦巴弓牧隗山谷车侯宓蓬全郗班仰秋仲伊宫宁仇栾暴甘钭厉戎祖武符刘景詹束龙叶幸司韶黎乔"
+    "苍双闻莘党翟谭贡劳逄姬申扶堵冉宰郦雍郤璩桑桂濮牛寿通边扈燕冀郏浦尚农温别庄晏柴瞿阎充慕连茹习宦艾鱼容向古易慎戈廖庾终暨居衡步都耿"
+    "满弘匡国文寇广禄阙东欧殳沃利蔚越夔隆师巩厍聂晁勾敖融冷訾辛阚那简饶空曾毋沙乜养鞠须丰巢关蒯相查后荆红游竺权逯盖益桓公"
 )
+# Further compound family names of labelled names.
 MORE_COMPOUND = (
     "太史", "端木", "独孤", "南宫", "万俟", "闻人", "夏侯", "尉迟", "公羊", "赫连", "澹台", "宗政",
     "濮阳", "公冶", "太叔", "申屠", "公孙", "慕容", "仲孙", "钟离", "长孙", "宇文", "司徒", "鲜于",
@@ -453,14 +458,14 @@ CJK = r"[一-鿿]"
 _BUILTIN = ("multilingual_rules",)
 
 
-def cn_name_value(surnames: str = SURNAMES + MORE_SURNAMES, compound=COMPOUND + MORE_COMPOUND) -> str:
+def cn_name_value(surnames: str = LABELLED_SURNAMES, compound=COMPOUND + MORE_COMPOUND) -> str:
     return (
         rf"(?:(?:{'|'.join(compound)}){CJK}{{1,2}}|[{surnames}]{CJK}{{1,2}}"
         r"|[一-鿿]{2,4}·[A-Za-z一-鿿·]{1,12})"
     )
 
 
-def cn_name_rules(surnames: str = SURNAMES + MORE_SURNAMES, compound=COMPOUND + MORE_COMPOUND):
+def cn_name_rules(surnames: str = LABELLED_SURNAMES, compound=COMPOUND + MORE_COMPOUND):
     """Chinese names by label, predicate, self-introduction and title."""
     name = cn_name_value(surnames, compound)
     # Role labels and titles.
@@ -485,7 +490,7 @@ _CYR_WORD = r"(?:[А-ЯЁ]\.|[А-ЯЁ](?:[А-Яа-яЁё'’-]*[А-Яа-яЁё])
 _CYR_NAME = rf"{_CYR_WORD}(?:[ \t]+{_CYR_WORD}){{1,4}}"
 
 
-def person_rules(surnames: str = SURNAMES + MORE_SURNAMES, compound=COMPOUND + MORE_COMPOUND):
+def person_rules(surnames: str = LABELLED_SURNAMES, compound=COMPOUND + MORE_COMPOUND):
     """Self-introductions and labelled names in nine languages."""
     mk = lambda key, before, value, gate, after="", ic=True: Rule(
         key, "PRIVATE_PERSON", 0.90, value, before, after, ic, gate=gate, sources=_BUILTIN
@@ -570,7 +575,7 @@ _WITH_DIGIT = (
 )
 
 
-def built_in_rules(surnames: str = SURNAMES + MORE_SURNAMES, compound=COMPOUND + MORE_COMPOUND) -> tuple[Rule, ...]:
+def built_in_rules(surnames: str = LABELLED_SURNAMES, compound=COMPOUND + MORE_COMPOUND) -> tuple[Rule, ...]:
     """The whole deterministic list in arbitration order."""
     rules = (
         EXACT_AND_CONTEXT

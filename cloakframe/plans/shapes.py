@@ -9,7 +9,7 @@ from cloakframe import fixed
 from cloakframe.functions.spans import q
 from cloakframe.operators.rules import built_in_rules
 from cloakframe.plans.catalog import DUCK_LUHN, derived, duck_spans, table
-from cloakframe.sources.texts import intake_guard, scan_texts, spread
+from cloakframe.sources.texts import dealt, intake_guard, scan_texts
 
 TYPES = ("PERSON", "EMAIL", "USERNAME", "CN_BANK_CARD", "SECRET", "PHONE", "CN_NAME", "MEDICAL")
 
@@ -79,8 +79,9 @@ def _select(shape) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in shape)
 
 
-# A line number may occur twice in an order; one span per (order, line) keeps the sides 1:1.
-_ONE = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS _r FROM lineitem) x WHERE _r = 1) li"
+# A line number may occur twice in an order; each line item gets a place of its own, so spans are distinct.
+_PLACE = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"
+_ONE = f"(SELECT * REPLACE ({_PLACE} AS l_linenumber) FROM lineitem) li"
 GOLD_SQL = f"SELECT {_select(GOLD)} FROM {_ONE} WHERE l_orderkey % 5 <> 0"
 PRED_SQL = (
     f"SELECT {_select(PRED)} FROM {_ONE} WHERE l_suppkey % 7 <> 0 "
@@ -110,11 +111,7 @@ def raw_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    first = F.min_by(F.struct("l_partkey", "l_suppkey"), F.struct("l_partkey", "l_suppkey"))
-    return (
-        table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first.alias("x"))
-        .select("l_orderkey", "l_linenumber", "x.*")
-    )
+    return derived(spark, d, "lineitem", "l_orderkey", f"{_PLACE} AS l_linenumber", "l_partkey", "l_suppkey")
 
 
 def gold_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +126,7 @@ def pred_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return intake_guard(spread(scan_texts(spark, d, "documents")))[0]
+    return intake_guard(dealt(scan_texts(spark, d, "documents")))[0]
 
 
 # --- SQL pieces --------------------------------------------------------------------------

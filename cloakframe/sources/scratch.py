@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,14 +12,13 @@ SETTING = "spark.checkpoint.dir"
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name below the shared one that ``spark.checkpoint.dir`` names.
 
-    On a cluster the setting is required. A local master, as in tests, falls back to the session's own
-    ``spark.local.dir``, which all its threads share.
+    On a cluster the setting is required. A local master, as in tests, falls back to the folder that its one
+    process uses for shuffle files; Spark clears it when the session ends.
     """
-    shared = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    context = spark.sparkContext
+    shared = spark.conf.get(SETTING, None) or context.getConf().get(SETTING)
     if not shared:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
-        shared = os.path.join(spark.sparkContext.getConf().get("spark.local.dir") or os.environ.get("SPARK_LOCAL_DIRS", "/tmp"),
-                              f"{spark.sparkContext.applicationId}-stored")
+        shared = context._jvm.org.apache.spark.util.Utils.getLocalDir(context._jsc.sc().conf())
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"

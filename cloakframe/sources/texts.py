@@ -7,7 +7,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe import fixed
 from cloakframe.functions.spans import CLOSE, OPEN
 
 _FIELD = {
@@ -19,17 +18,15 @@ _FIELD = {
 _BLANK = r"(?U)^\s*$"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a read that has fewer partitions than there are cores.
+#: Session setting: deal the texts of a scan over this many partitions. For tables kept in fewer row groups than there
+#: are cores; unset (the default), a text is never shuffled just to be scanned.
+SCAN_PARTITIONS = "cloakframe.scan.partitions"
 
-    A large table already has enough splits and is returned as it is: its text is never
-    shuffled just to be scanned.
-    """
-    sc = df.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(4 * cores)
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out as the session's ``SCAN_PARTITIONS`` says."""
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def scan_texts(spark: SparkSession, directory: str, name: str = "documents") -> DataFrame:
@@ -45,15 +42,14 @@ def scan_texts(spark: SparkSession, directory: str, name: str = "documents") ->
     return rows.filter(F.col("text").isNotNull() & ~F.col("text").rlike(_BLANK))
 
 
-def reject_reason(text: str = "text", limit: int = fixed.MAX_TEXT_CHARS) -> str:
-    return (
-        f"CASE WHEN {text} IS NULL THEN 'null_text' WHEN rlike({text}, '(?U)^\\\\s*$') THEN 'blank_text' "
-        f"WHEN length({text}) > {limit} THEN 'too_long' END"
-    )
+def reject_reason(text: str = "text", limit: int | None = None) -> str:
+    """Why a text is not scanned; length is no reason unless the caller sets a limit."""
+    long = "" if limit is None else f"WHEN length({text}) > {int(limit)} THEN 'too_long' "
+    return f"CASE WHEN {text} IS NULL THEN 'null_text' WHEN rlike({text}, '(?U)^\\\\s*$') THEN 'blank_text' {long}END"
 
 
-def intake_guard(docs: DataFrame, limit: int = fixed.MAX_TEXT_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Split into accepted and rejected texts; a rejected one carries its reason.
+def intake_guard(docs: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split into accepted and rejected texts; a rejected one carries its reason. Texts of any length pass by default.
 
     The two fence characters of the span scan are turned into blanks, so offsets still fit.
     """
