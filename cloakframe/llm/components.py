@@ -13,6 +13,11 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """(u, m): the smallest of a node and its neighbours. Written out, so that the join with it can be split at hot nodes."""
+    return stored(links.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) of every end of a link: the smallest id it is connected with. Ids are longs.
 
@@ -24,10 +29,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(
+        low = _least(both)
+        large = stored(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        small = large.join(_least(large), "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         now = stored(small.filter("u <> v").distinct())
         seen, mark = mark, _mark(now)
