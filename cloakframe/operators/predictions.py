@@ -509,4 +509,5 @@ def infer(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[list[di
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "model_id", "label", "start", "end", "text", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, PREDICTION_DDL)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, PREDICTION_DDL.replace("doc_id BIGINT", f"doc_id {kind}"))

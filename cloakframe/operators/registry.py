@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.operators import detect
-from cloakframe.operators.arbitrate import merge_spans, policy_filter, resolve_level
+from cloakframe.operators.arbitrate import merge_spans, policy_filter, resolve_level, span_row
 from cloakframe.operators.rules import Rule, built_in_rules
 from cloakframe.schema import SPAN_COLUMNS
 
@@ -26,10 +26,49 @@ NOT_READY = "optional_models_not_ready"
 
 @dataclass(frozen=True)
 class Detector:
+    """A plug-in: ``run`` maps documents to a span table; ``batch`` maps texts to lists of span dicts inside the tasks.
+
+    The registry calls ``batch`` itself, so a text on which it fails costs a warning of that document, not the job.
+    """
+
     slot: str
     name: str
-    run: Callable[[DataFrame], DataFrame]
+    run: Callable[[DataFrame], DataFrame] | None = None
     ready: bool = True
+    batch: Callable[[list[str]], list[list[dict]]] | None = None
+
+
+def guarded(docs: DataFrame, detector: Detector) -> DataFrame:
+    """(doc_id, span columns, warning) of a ``batch`` detector; a document that it fails on has one row with the warning only."""
+    fields = ("start", "end", "type", "text", "confidence")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            texts = pdf["text"].tolist()
+            try:
+                found = [(spans, None) for spans in detector.batch(texts)]
+            except Exception:  # find the texts that fail
+                found = []
+                for text in texts:
+                    try:
+                        found.append((detector.batch([text])[0], None))
+                    except Exception as err:
+                        found.append(([], f"detector_failed:{detector.name}:{type(err).__name__}"))
+            for doc, (spans, warning) in zip(pdf["doc_id"], found, strict=True):
+                rows += [(doc, *(s.get(f) for f in fields), None) for s in spans]
+                if warning:
+                    rows.append((doc, *[None] * len(fields), warning))
+            yield pd.DataFrame(rows, columns=["doc_id", *fields, "warning"]).astype({"start": "Int32", "end": "Int32"})
+
+    out = docs.select("doc_id", "text").mapInPandas(
+        run, f"doc_id {kind}, `start` int, `end` int, type string, text string, confidence double, warning string")
+    spans = span_row(start="start", end="end", type="type", text="text", confidence=F.coalesce("confidence", F.lit(1.0)),
+                     sources=F.array(F.lit(detector.name)), ord=F.lit(5000))
+    return out.select("doc_id", *spans, "warning")
 
 
 class Registry:
@@ -79,13 +118,12 @@ class Registry:
     # -- selection
 
     def active_slots(self, slots: Sequence[str] | None = None, use_model: bool = False) -> list[str]:
-        """Built-in and extraction always; general PII by flag; anything else only when named."""
-        chosen = [BUILT_IN, CHINESE_IE]
+        """The rules always. Named slots and the flag for general PII overrule the switches; without either the switches decide."""
         if slots is not None:
-            chosen += [s for s in slots if s not in chosen]
-        elif use_model:
-            chosen.append(GENERAL_PII)
-        return chosen
+            return [BUILT_IN, CHINESE_IE, *(s for s in slots if s not in (BUILT_IN, CHINESE_IE))]
+        if use_model:
+            return [BUILT_IN, CHINESE_IE, GENERAL_PII]
+        return self.enabled_slots()
 
     def enabled_slots(self) -> list[str]:
         return [s for s, on in self._enabled.items() if on]
@@ -108,18 +146,30 @@ def combine_detectors(
     spans come first in tie order.
     """
     plugins, warnings = registry.plan(slots, use_model)
-    spans = detect.explode_spans(detect.scan(docs, registry.rules, extraction=True))
-    engines = [ENGINE[BUILT_IN], ENGINE[CHINESE_IE]]
+    extraction = CHINESE_IE in registry.active_slots(slots, use_model)
+    spans = detect.explode_spans(detect.scan(docs, registry.rules, extraction=extraction))
+    engines = [ENGINE[BUILT_IN], *([ENGINE[CHINESE_IE]] if extraction else [])]
     for d in plugins:
         try:
-            spans = spans.unionByName(d.run(docs).select("doc_id", *SPAN_COLUMNS))
-        except Exception as err:  # a broken plug-in must not lose the documents
+            found = guarded(docs, d).filter("warning IS NULL") if d.batch else d.run(docs)
+            spans = spans.unionByName(found.select("doc_id", *SPAN_COLUMNS))
+        except Exception as err:  # a plug-in whose plan cannot be built must not lose the documents
             warnings.append(f"detector_failed:{d.name}:{type(err).__name__}")
             continue
         engines.append(d.name)
     return spans, engines, warnings
 
 
+def document_warnings(docs: DataFrame, registry: Registry, slots: Sequence[str] | None = None, use_model: bool = False) -> DataFrame:
+    """(doc_id, warning): one row for each document and ``batch`` detector that failed on it."""
+    plugins, _ = registry.plan(slots, use_model)
+    out = docs.select("doc_id", F.lit(None).cast("string").alias("warning")).limit(0)
+    for d in plugins:
+        if d.batch:
+            out = out.unionByName(guarded(docs, d).filter("warning IS NOT NULL").select("doc_id", "warning"))
+    return out
+
+
 def detect_documents(
     docs: DataFrame,
     registry: Registry,
@@ -135,13 +185,7 @@ def detect_documents(
 
     plugins, _ = registry.plan(slots, use_model)
     if not plugins:
-        return detect.explode_spans(arbitrate(detect.scan(docs, registry.rules), policy))
+        extraction = CHINESE_IE in registry.active_slots(slots, use_model)
+        return detect.explode_spans(arbitrate(detect.scan(docs, registry.rules, extraction=extraction), policy))
     spans, _, _ = combine_detectors(docs, registry, slots, use_model)
     return policy_filter(resolve_level(merge_spans(spans)), policy)
-
-
-def engines_of(docs: DataFrame, engines: Sequence[str], warnings: Sequence[str] = ()) -> DataFrame:
-    """Attach the engines that ran and the warnings to every document."""
-    return docs.withColumn("engines", F.array(*[F.lit(e) for e in engines])).withColumn(
-        "warnings", F.array(*[F.lit(w) for w in warnings]).cast("array<string>")
-    )

@@ -12,6 +12,7 @@ from cloakframe.operators.detect import rule_spans
 from cloakframe.operators.rules import (
     CN_ADDRESS_RULE,
     EXACT_AND_CONTEXT,
+    LABELLED_SURNAMES,
     Rule,
     address_rules,
     cn_name_rules,
@@ -58,6 +59,10 @@ def _re(value: str, left: str, right: str) -> str:
 HH = "({h} || {h} || {h})"
 _W = "A-Za-z0-9_-"
 _A = "A-Za-z0-9"
+_ANY_NAME = f"(substr('{LABELLED_SURNAMES}', 1 + CAST(CAST(floor({{k}} / 3) AS BIGINT) % {len(LABELLED_SURNAMES)} AS INT), 1) || '伟')"
+#: Found values start with a family name of the list or a compound one.
+_LISTED = f"(contains('{LABELLED_SURNAMES}', substr(v, 1, 1)) OR starts_with(v, '司徒'))"
+
 CASES: dict[str, tuple] = {
     "B3": (
         _cases(
@@ -349,6 +354,10 @@ CASES: dict[str, tuple] = {
         _cases("'联系人：张伟' || {k} || ' x'", "'姓名=欧阳小明，' || {k}", "'姓名：的确' || {k}"),
         r"((?:联系人：|姓名=))(张伟|欧阳小明)()",
     ),
+    # The name cycles through the whole list of family names.
+    "B68b": (_cases(f"'负责人是' || {_ANY_NAME} || '，' || {{k}}", "'法人为褚伟，' || {k}", "'姓名是的确' || {k}"), r"((?:负责人是|法人为))([一-鿿]+)()", _LISTED),
+    "B68c": (_cases(f"'我叫' || {_ANY_NAME} || '，' || {{k}}", "'本人 司徒小明，' || {k}", "'我是白，' || {k}"), r"((?:我叫|本人 ))([一-鿿]+)()", _LISTED),
+    "B68d": (_cases(f"'由 ' || {_ANY_NAME} || '先生 ' || {{k}}", "'x褚伟经理，' || {k}", "'的确先生 ' || {k}"), r"((?:由 |x))([一-鿿]{2})(先生|经理)", _LISTED),
     "B69a": (
         _cases("'My name is John Q. Smith' || ', id ' || {k}", "'Name: Anna O''Neil.' || {k}", "'My name is 7' || {k}"),
         r"((?:My name is |Name: ))(John Q\. Smith|Anna O'Neil)()",
@@ -357,6 +366,12 @@ CASES: dict[str, tuple] = {
     "B69b": (_cases("'Je m''appelle Marie Durand, ' || {k}", "'Je m''appelle 5' || {k}"), r"(appelle )(Marie Durand)()"),
     "B69c": (_cases("'Mein Name ist Jörg Müller, ' || {k}", "'Name ist 5' || {k}"), r"(ist )(Jörg Müller)()"),
     "B69d": (_cases("'Me llamo Ana García, ' || {k}", "'llamo 5' || {k}"), r"(llamo )(Ana García)()"),
+    "B69e": (_cases("'Меня зовут Иван Петров, ' || {k}", "'Меня зовут иван ' || {k}"), r"(зовут )(Иван Петров)()"),
+    "B69f": (_cases("'私の名前は山田太郎です' || {k}", "'氏名：佐藤花子、' || {k}", "'名前は山田' || {k}"), r"((?:私の名前は|氏名：))(山田太郎|佐藤花子)()"),
+    "B69g": (_cases("'제 이름은 김철수입니다' || {k}", "'이름은 김' || {k}"), r"(제 이름은 )(김철수)()"),
+    "B69h": (_cases("'اسمي أحمد علي. ' || {k}", "'اسم أحمد ' || {k}"), r"(اسمي )(أحمد علي)()"),
+    "B69i": (_cases("'ฉันชื่อ สมชาย ใจดี. ' || {k}", "'ชื่อ สมชาย ' || {k}"), r"(ฉันชื่อ )(สมชาย ใจดี)()"),
+    "B69j": (_cases(f"'Please contact ' || {_ANY_NAME} || ' at ' || {{k}}", "'Please contact 褚伟 on ' || {k}"), r"(contact )([一-鿿]+)( at)", _LISTED),
     "B70": (
         _cases("'收货地址：某某大道' || {k} || '号3栋的 ，x'", "'地址 短号' || {k}"),
         r"(收货地址：)(某某大道[0-9]+号3栋)()",
@@ -365,13 +380,28 @@ CASES: dict[str, tuple] = {
         _cases("'I live at ' || {k} || ' Main Street, Town。. x'", "'I live in  a  house' || {k} || ' ,'", "'lives at ' || {k}"),
         r"(I live (?:at|in)\s+)([0-9]+ Main Street, Town|a  house[0-9]+ )()",
     ),
+    "B71b": (_cases("'J''habite au ' || {k} || ' rue du Bac, Paris. x'", "'habite au ' || {k}"), r"(habite au )([0-9]+ rue du Bac, Paris)()"),
+    "B71c": (_cases("'Ich wohne in der Bergstrasse ' || {k} || ', Bonn. x'", "'wohne in der ' || {k}"), r"(wohne in der )(Bergstrasse [0-9]+, Bonn)()"),
+    "B71d": (_cases("'Vivo en Calle Mayor ' || {k} || ', Madrid. x'", "'vive en ' || {k}"), r"(Vivo en )(Calle Mayor [0-9]+, Madrid)()"),
+    "B71e": (_cases("'Я живу по адресу: Невский ' || {k} || ', Москва. x'", "'живу по ' || {k}"), r"(адресу: )(Невский [0-9]+, Москва)()"),
+    "B71f": (_cases("'أسكن في شارع النيل ' || {k} || ' القاهرة. x'", "'سكن ' || {k}"), r"(أسكن في )(شارع النيل [0-9]+ القاهرة)()"),
+    "B71g": (_cases("'住所は東京都港区' || {k} || '番地です。'", "'住所 ' || {k}"), r"(住所は)(東京都港区[0-9]+番地)()"),
+    "B71h": (_cases("'주소는 서울시 강남구 ' || {k} || '번지입니다.'", "'주소 ' || {k}"), r"(주소는 )(서울시 강남구 [0-9]+번지)()"),
+    "B71i": (_cases("'ที่อยู่คือ ถนนสุขุมวิท ' || {k} || ' กรุงเทพ. x'", "'ที่อยู่ ' || {k}"), r"(ที่อยู่คือ )(ถนนสุขุมวิท [0-9]+ กรุงเทพ)()"),
+    "B72a": (_cases("'生年月日は1990年' || ({k} % 15) || '月5日 x'", "'생년월일은 1985-03-0' || ({k} % 10)", "'生日 1890年1月1日 ' || {k}"),
+             r"((?:生年月日は|생년월일은 ))(1990年(?:1[0-2]|[1-9])月5日|1985-03-0[1-9])()"),
     "B72b": (
         _cases("'My date of birth is March ' || ({k} % 40) || ', 1990. x'", "'date of birth is mai 0' || ({k} % 10) || ',2001'", "'birth is May 5, 1990 ' || {k}"),
         r"(date of birth is )([^\W\d_]{3,20} \d{1,2}, ?(?:19|20)\d{2})()",
     ),
+    "B72c": (_cases("'Nací el ' || (1 + {k} % 28) || ' marzo 1990, x'", "'Дата рождения: 7 мая 1985 года ' || {k}", "'Nací en 5 marzo 1990 ' || {k}"),
+             r"((?:Nací el |рождения: ))([0-9]+ marzo 1990|7 мая 1985 года)()"),
 }
 NAMES = {
-    "B68a": "cn_names_rules", "B69a": "names_en", "B69b": "names_fr", "B69c": "names_de", "B69d": "names_es",
+    "B68b": "cn_names_role", "B68c": "cn_names_self", "B68d": "cn_names_title", "B69e": "names_ru", "B69f": "names_ja", "B69g": "names_ko",
+    "B69h": "names_ar", "B69i": "names_th", "B69j": "names_contact", "B71b": "address_fr", "B71c": "address_de", "B71d": "address_es",
+    "B71e": "address_ru", "B71f": "address_ar", "B71g": "address_ja", "B71h": "address_ko", "B71i": "address_th", "B72a": "dates_cjk",
+    "B72c": "dates_more", "B68a": "cn_names_rules", "B69a": "names_en", "B69b": "names_fr", "B69c": "names_de", "B69d": "names_es",
     "B70": "cn_address_rules", "B71a": "address_en", "B72b": "dates_en",
 }
 

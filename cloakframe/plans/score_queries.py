@@ -312,6 +312,27 @@ def match_query(spark, d):
     return _matches(spark, d).select("doc_id", "start", "end", "outcome", "gold_type", "pred_type", "should_redact")
 
 
+_SAME_TYPE = "CASE WHEN l_partkey % 2 = 0 THEN 'PHONE' ELSE 'MEDICAL' END"
+_REPEATED_G = f"SELECT l_orderkey AS doc_id, CAST(l_linenumber * 9 AS INT) AS s, CAST(l_linenumber * 9 + 5 AS INT) AS e, {_SAME_TYPE} AS type FROM lineitem WHERE l_suppkey % 5 <> 0"
+_REPEATED_P = _REPEATED_G.replace("l_suppkey % 5 <> 0", "l_suppkey % 3 <> 0")
+
+
+@query(
+    "match_spans_repeated",
+    f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s, e, type) AS k FROM ({_REPEATED_G}) x),
+      p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s, e, type) AS k FROM ({_REPEATED_P}) x)
+      SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, coalesce(g.s, p.s) AS "start", coalesce(g.type, p.type) AS type,
+        CASE WHEN p.k IS NULL THEN 'FN' WHEN g.k IS NULL THEN 'FP' ELSE 'TP' END AS outcome, count(*) AS n
+      FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.type = p.type AND g.k = p.k GROUP BY ALL""",
+)
+def match_repeated_query(spark, d):
+    """Line items that share a line number give the same span several times: each gold span takes one prediction."""
+    spans = lambda keep: S._named(derived(spark, d, "lineitem", *S._expr((
+        ("doc_id", "l_orderkey"), ("s", "CAST(l_linenumber * 9 AS INT)"), ("e", "CAST(l_linenumber * 9 + 5 AS INT)"), ("type", _SAME_TYPE), ("keep", keep)))).filter("keep").drop("keep"))
+    out = score.match_spans(spans("l_suppkey % 5 <> 0"), spans("l_suppkey % 3 <> 0"))
+    return out.groupBy("doc_id", "start", score.outcome_type().alias("type"), "outcome").agg(F.count("*").alias("n"))
+
+
 @query("prf", f"{match_cte()} SELECT doc_id, tp, fp, fn, {_PRF} FROM (SELECT doc_id, {_N} FROM m GROUP BY doc_id) x")
 def prf_query(spark, d):
     return score.prf(_matches(spark, d).groupBy("doc_id").agg(*score.counts()))
@@ -733,7 +754,23 @@ def secret_query(spark, d):
 # --- stored predictions ----------------------------------------------------------------------------------
 
 
-@query("cache_signature")
+def _plain_sql(*columns: str) -> str:
+    """``prediction_store.plain_row`` in the other engine's SQL."""
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-') || ';'" for c in columns)
+
+
+def _digest_sql(source: str, *columns: str) -> str:
+    words = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)), 0) AS VARCHAR)" for i in range(8))
+    return f"SELECT sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {words})) AS digest, count(*) AS n FROM (SELECT sha256({_plain_sql(*columns)}) AS h FROM ({source}) s) hs"
+
+
+_RUNTIME = ["s_name" if k == "platform" else "NULL" for k in sorted(store.RUNTIME_KEYS)]
+
+
+@query(
+    "cache_signature",
+    f"""SELECT s_suppkey AS doc_id, substr(sha256({_plain_sql("concat('{\"threshold\": 0.', s_suppkey % 9, '}')", 'md5(CAST(s_suppkey AS VARCHAR))', *_RUNTIME)}), 1, 16) AS signature FROM supplier""",
+)
 def signature_query(spark, d):
     """Signatures of one configuration per supplier."""
     keys = derived(
@@ -743,10 +780,14 @@ def signature_query(spark, d):
     return store.cache_signature(keys).select("doc_id", "signature")
 
 
-@query("content_hash", f"SELECT count(*) AS prediction_count, 64 AS digits FROM ({S.PRED_SQL}) p")
+@query(
+    "content_hash",
+    "SELECT n AS prediction_count, digest AS predictions_sha256 FROM ("
+    + _digest_sql(f"SELECT *, NULL AS txt FROM ({S.PRED_SQL}) p", "doc_id", "model_id", "type", "s", "e", "txt", "score") + ") x",
+)
 def hash_query(spark, d):
     rows = S.pred_spans(spark, d).withColumnRenamed("type", "label").withColumn("text", F.lit(None).cast("string"))
-    return store.content_hash(rows).select("prediction_count", F.length("predictions_sha256").alias("digits"))
+    return store.content_hash(rows).select("prediction_count", "predictions_sha256")
 
 
 @query("dataset_fingerprint")
@@ -755,7 +796,7 @@ def fingerprint_query(spark, d):
     return store.dataset_fingerprint(files)
 
 
-@query("corpus_fingerprint")
+@query("corpus_fingerprint", "SELECT digest AS fingerprint, n FROM (" + _digest_sql("SELECT * FROM documents", "doc_id", "lang", "n_chars", "source", "text") + ") x")
 def corpus_fingerprint_query(spark, d):
     return store.corpus_fingerprint(table(spark, d, "documents"))
 

@@ -10,26 +10,32 @@ from cloakframe.plans.catalog import query
 from cloakframe.plans.span_queries import masked_docs
 from cloakframe.sources import gold, prediction_store as store, vault
 from cloakframe.sources.scratch import scratch_dir
-from cloakframe.streaming.mask_stream import masked_rows
+from cloakframe.streaming.mask_stream import mask_stream
+
+
+_QUARANTINED = "doc_id % 11 = 3"
 
 
 @query(
     "mask_stream",
-    f"{S.DOC_MASK_CTE} SELECT doc_id, 'ok' AS status, md5(masked) AS masked_md5, CAST(length(masked) AS INT) AS n FROM masked",
+    f"""{S.DOC_MASK_CTE} SELECT doc_id, 'masked' AS sink, md5(masked) AS content, CAST(length(masked) AS INT) AS n FROM masked WHERE NOT ({_QUARANTINED})
+      UNION ALL SELECT DISTINCT doc_id, 'vault', md5(token || text), CAST(length(text) AS INT) FROM tokens WHERE NOT ({_QUARANTINED})
+      UNION ALL SELECT doc_id, 'quarantine', 'blank_text' || ' ', 1 FROM documents WHERE {_QUARANTINED}""",
 )
 def mask_stream_query(spark, d):
-    """The stateless masking plan as a stream over the documents, into a file sink."""
+    """The three sinks of the masking stream over the documents; every eleventh text is blank and goes to quarantine with its text."""
     root = scratch_dir(spark)
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    rows = masked_rows(stream.select("doc_id", "text")).select("doc_id", "status", "masked")
-    run = (
-        rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
+    rows = stream.select("doc_id", F.expr(f"if({_QUARANTINED}, ' ', text)").alias("text"))
+    paths = [f"{root}/{name}" for name in ("masked", "vault", "quarantine")]
+    mask_stream(rows, *paths, f"{root}/checkpoint").awaitTermination()
+    masked, kept, held = (spark.read.parquet(p) for p in paths)
+    return (
+        masked.select("doc_id", F.lit("masked").alias("sink"), F.md5("masked").alias("content"), F.length("masked").alias("n"))
+        .unionByName(kept.select("doc_id", F.lit("vault").alias("sink"), F.md5(F.concat("token", "value")).alias("content"), F.length("value").alias("n")))
+        .unionByName(held.select("doc_id", F.lit("quarantine").alias("sink"), F.concat("status", "text").alias("content"), F.length("text").alias("n")))
     )
-    run.awaitTermination()
-    out = spark.read.schema("doc_id bigint, status string, masked string").parquet(f"{root}/out")
-    return out.select("doc_id", "status", F.md5("masked").alias("masked_md5"), F.length("masked").alias("n"))
 
 
 @query("vault_round_trip", f"{S.MERGED_CTE} SELECT DISTINCT doc_id, token, text AS value, type, label FROM tokens")

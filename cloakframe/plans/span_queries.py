@@ -66,8 +66,11 @@ def detect_conversations_query(spark, d):
     return rows.groupBy("type").agg(F.count("*").cast("int").alias("n"))
 
 
-# The page texts hold markup; mail addresses and user names in links are what occurs.
-@query("detect_rules_pages")
+# The page texts hold markup around the same four rule families.
+_PAGE_RAW_SQL = S.DOC_RAW_SQL.replace(S._DOC_TEXT, "SELECT page_id AS doc_id, html AS text FROM pages")
+
+
+@query("detect_rules_pages", f"SELECT {_OUT_SQL} FROM ({_PAGE_RAW_SQL}) r")
 def detect_pages_query(spark, d):
     return detect.detect_rules(scan_texts(spark, d, "pages")).select(*SPAN_OUT)
 
@@ -119,6 +122,44 @@ def detector_plugin_query(spark, d):
     )
 
 
+def _shaky(texts):
+    """A plug-in that fails on texts whose length is divisible by five."""
+    if any(len(t) % 5 == 0 for t in texts):
+        raise ValueError("length")
+    return [[{"start": 0, "end": len(t.split(" ")[0]), "type": "PERSON", "text": t.split(" ")[0], "confidence": 0.7}] for t in texts]
+
+
+@query(
+    "detector_failing",
+    f"""SELECT doc_id, CAST(CASE WHEN length(text) % 5 = 0 THEN 0 ELSE 1 END AS INT) AS spans,
+        CASE WHEN length(text) % 5 = 0 THEN 'detector_failed:shaky:ValueError' END AS warning FROM documents""",
+)
+def detector_failing_query(spark, d):
+    """A plug-in that fails on some documents: those get a warning, the others their spans."""
+    reg = registry.Registry()
+    reg.register(registry.Detector(registry.SEMANTIC, "shaky", batch=_shaky), enabled=True)
+    docs = S.documents(spark, d)
+    spans, _, _ = registry.combine_detectors(docs, reg)  # by its switch: no slot is named
+    own = spans.filter("sources[0] = 'shaky'").groupBy("doc_id").agg(F.count("*").cast("int").alias("spans"))
+    failed = registry.document_warnings(docs, reg)
+    return docs.select("doc_id").join(own, "doc_id", "left").join(failed, "doc_id", "left").select("doc_id", F.coalesce("spans", F.lit(0)).alias("spans"), "warning")
+
+
+@query("detector_switches", """SELECT * FROM (VALUES ('on', 'multilingual_rules|chinese_ie|stub'), ('off', 'multilingual_rules|chinese_ie'),
+    ('no extraction', 'multilingual_rules'), ('named', 'multilingual_rules|chinese_ie|stub')) v(switch, engines) CROSS JOIN (SELECT count(*) AS docs FROM documents) n""")
+def detector_switches_query(spark, d):
+    """The engines that run for each state of the switches, over the same documents."""
+    docs, out = S.documents(spark, d), None
+    for name, on, extraction, slots in (("on", True, True, None), ("off", False, True, None), ("no extraction", False, False, None), ("named", False, True, [registry.SEMANTIC])):
+        reg = registry.Registry()
+        reg.register(registry.Detector(registry.SEMANTIC, "stub", _stub), enabled=on)
+        reg.set_enabled(registry.CHINESE_IE, extraction)
+        _, engines, _ = registry.combine_detectors(docs, reg, slots=slots)
+        row = docs.agg(F.count("*").alias("docs")).select(F.lit(name).alias("switch"), F.lit("|".join(engines)).alias("engines"), "docs")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "rule_plugin",
     """SELECT doc_id, type, n FROM (SELECT doc_id, 'TICKET' AS type, len(regexp_extract_all(text, '[a-z]{3}tion')) AS n FROM documents) x WHERE n > 0""",

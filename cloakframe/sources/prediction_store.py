@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.schema import PREDICTION_DDL
 
+# The runtime facts that a signature covers.
 RUNTIME_KEYS = (
     "python_version", "platform", "machine", "torch_version", "transformers_version", "modelscope_version",
     "gliner_version",
@@ -67,17 +68,30 @@ def _safe(name: str) -> str:
     return name.replace("/", "_").replace("\\", "_")
 
 
+def plain_row(columns: list[str]) -> str:
+    """SQL for one text per row: each field with its length in front, a null as ``-``; any SQL engine can write the same."""
+    return "concat(" + ", ".join(f"coalesce(concat(length(cast({c} AS string)), ':', cast({c} AS string)), '-'), ';'" for c in columns) + ")"
+
+
+def order_free_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(digest, n): SHA-256 over the number of rows and the sums of the eight words of their hashes; independent of order."""
+    part = lambda i: f"cast(conv(substring(_h, {i}, 8), 16, 10) AS decimal(38, 0))"
+    hashed = rows.select(F.expr(f"sha2({plain_row(columns)}, 256)").alias("_h"))
+    sums = hashed.agg(
+        F.count("*").alias("n"),
+        *[F.coalesce(F.sum(F.expr(part(1 + 8 * i))), F.lit(0).cast("decimal(38,0)")).alias(f"_{i}") for i in range(8)],
+    )
+    digest = "sha2(concat_ws(':', n, " + ", ".join(f"cast(_{i} AS string)" for i in range(8)) + "), 256)"
+    return sums.select(F.expr(digest).alias("digest"), "n")
+
+
 def cache_signature(keys: DataFrame) -> DataFrame:
     """Add ``signature``: the first 16 hex digits of a SHA-256 over config, model hash and runtime.
 
     ``keys`` holds model_files_hash, inference_config (JSON with sorted keys) and runtime
-    (a map). The JSON of a struct has a fixed field order, and runtime keys are fixed.
+    (a map), read in a fixed order of fields and of runtime keys.
     """
-    runtime = ", ".join(f"'{k}', runtime['{k}']" for k in sorted(RUNTIME_KEYS))
-    body = (
-        "to_json(named_struct('inference_config', inference_config, 'model_files_hash', model_files_hash, "
-        f"'runtime', named_struct({runtime})), map('ignoreNullFields', 'false'))"
-    )
+    body = plain_row(["inference_config", "model_files_hash", *(f"runtime['{k}']" for k in sorted(RUNTIME_KEYS))])
     return keys.withColumn("signature", F.expr(f"substring(sha2({body}, 256), 1, 16)"))
 
 
@@ -91,15 +105,8 @@ def _key_frame(spark: SparkSession, key: StoreKey) -> DataFrame:
 
 def content_hash(predictions: DataFrame) -> DataFrame:
     """One row (predictions_sha256, prediction_count), independent of row order."""
-    row = "sha2(to_json(struct(doc_id, model_id, label, `start`, `end`, text, score), map('ignoreNullFields', 'false')), 256)"
-    part = lambda i: f"cast(conv(substring(_h, {i}, 8), 16, 10) AS decimal(38, 0))"
-    hashed = predictions.select(F.expr(row).alias("_h"))
-    sums = hashed.agg(
-        F.count("*").alias("prediction_count"),
-        *[F.coalesce(F.sum(F.expr(part(1 + 8 * i))), F.lit(0).cast("decimal(38,0)")).alias(f"_{i}") for i in range(8)],
-    )
-    digest = "sha2(concat_ws(':', prediction_count, " + ", ".join(f"cast(_{i} AS string)" for i in range(8)) + "), 256)"
-    return sums.select(F.expr(digest).alias("predictions_sha256"), "prediction_count")
+    fields = ["doc_id", "model_id", "label", "`start`", "`end`", "text", "score"]
+    return order_free_digest(predictions, fields).select(F.col("digest").alias("predictions_sha256"), F.col("n").alias("prediction_count"))
 
 
 def save_predictions(predictions: DataFrame, key: StoreKey, root: str, allowed: set[str]) -> str:
@@ -190,10 +197,4 @@ def dataset_fingerprint(files: DataFrame) -> DataFrame:
 
 def corpus_fingerprint(rows: DataFrame) -> DataFrame:
     """Order-free SHA-256 of table content, for corpora that are tables instead of files."""
-    row = f"sha2(to_json(struct({', '.join(f'`{c}`' for c in sorted(rows.columns))}), map('ignoreNullFields', 'false')), 256)"
-    part = lambda i: f"cast(conv(substring(_h, {i}, 8), 16, 10) AS decimal(38, 0))"
-    sums = rows.select(F.expr(row).alias("_h")).agg(
-        F.count("*").alias("n"), *[F.sum(F.expr(part(1 + 8 * i))).alias(f"_{i}") for i in range(8)]
-    )
-    digest = "sha2(concat_ws(':', n, " + ", ".join(f"cast(_{i} AS string)" for i in range(8)) + "), 256)"
-    return sums.select(F.expr(digest).alias("fingerprint"), "n")
+    return order_free_digest(rows, [f"`{c}`" for c in sorted(rows.columns)]).select(F.col("digest").alias("fingerprint"), "n")

@@ -2,7 +2,7 @@
 
 Every step works inside the row, so the stream holds no state and needs no watermark.
 Each micro-batch goes to three sinks: masked documents, vault rows, and a quarantine of
-documents that were rejected or failed a check. The batch id is a partition that is
+documents that were rejected or failed a check, with their texts. The batch id is a partition that is
 overwritten, so a batch that is replayed after a failure replaces itself.
 """
 
@@ -19,7 +19,7 @@ from cloakframe.sources.texts import reject_reason
 def masked_rows(docs: DataFrame, policy: str | None = None, **scan_options) -> DataFrame:
     """The stateless plan, for batch and stream alike: guard, detect, merge, mask."""
     judged = docs.withColumn("reason", F.expr(reject_reason()))
-    safe = judged.withColumn("text", F.expr("if(reason IS NULL, translate(text, '\u0001\u0002', '  '), '')"))
+    safe = judged.withColumn("source_text", F.col("text")).withColumn("text", F.expr("if(reason IS NULL, translate(text, '\u0001\u0002', '  '), '')"))
     done = mask.protect(safe, policy, **scan_options)
     return done.withColumn("status", F.expr("coalesce(reason, status)")).drop("reason", "spans")
 
@@ -37,7 +37,7 @@ def mask_stream(
             parts = (
                 (masked_path, rows.filter("status = 'ok'").select("doc_id", "masked")),
                 (vault_path, mask.build_vault(rows.filter("status = 'ok'"))),
-                (quarantine_path, rows.filter("status <> 'ok'").select("doc_id", "status")),
+                (quarantine_path, rows.filter("status <> 'ok'").select("doc_id", "status", F.col("source_text").alias("text"))),
             )
             for path, part in parts:
                 part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
