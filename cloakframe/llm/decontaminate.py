@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Words, mix, slices, string_bytes, word_hashes
+from cloakframe.llm.common import Words, mix, slices, stored, string_bytes, word_hashes
 
 SIMILARITY = 0.8
-WALKS, SAMPLES, PLACES = 6, 6, 4
+WALKS, SAMPLES, PLACES = 6, 10, 5
 BITMAP_BITS = 24
 _MARKS = ".,;:!?\"'()[]{}<>*#%&$-_/\\|"
 _PAD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -58,34 +58,40 @@ def symbols(words: Words) -> np.ndarray:
 
 
 def _plan(w: int) -> list[tuple[int, list[list[int]]]]:
-    """For each walk, its seed and the sampled places of each key."""
+    """For each walk, its seed and the sampled places of each key: one in each of as many equal parts of the walk.
+
+    Places next to each other often copy one word, and a key of few words, frequent ones at that, tells nothing.
+    """
     rng = np.random.default_rng(w)
-    steps = 2 * w
-    return [(int(rng.integers(1 << 62)), [sorted(rng.choice(steps, min(PLACES, steps), replace=False).tolist()) for _ in range(SAMPLES)]) for _ in range(WALKS)]
+    ends = np.linspace(0, 2 * w, min(PLACES, 2 * w) + 1).astype(int)
+    key = lambda: [int(rng.integers(a, b)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [(int(rng.integers(1 << 62)), [key() for _ in range(SAMPLES)]) for _ in range(WALKS)]
 
 
 def window_keys(h: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
     """window × key: hashes of sampled places of the CGK strings of h[start : start + w]."""
-    out = np.zeros((len(starts), WALKS * SAMPLES), np.uint64)
+    out = np.zeros((WALKS * SAMPLES, len(starts)), np.uint64)
     if not len(starts):
-        return out
+        return out.T
     prime = np.uint64(0x9E3779B97F4A7C15)
+    end = starts + w
     for k, (seed, samples) in enumerate(_plan(w)):
-        used = {j: [s for s, places in enumerate(samples) if j in places] for j in range(2 * w)}
-        p = np.zeros(len(starts), np.int64)
+        used = [[s for s, places in enumerate(samples) if j in places] for j in range(2 * w)]
+        at = starts.copy()
         for j in range(2 * w):
             if j % 64 == 0:
-                bits = mix(h ^ np.uint64((seed + j * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
-            inside = p < w
-            at = starts + np.minimum(p, w - 1)
+                bits = mix(h ^ np.uint64((seed + j * 0x9E3779B97F4A7C15) & (1 << 64) - 1)).view(np.int64)
+            spot = at if j < w else np.minimum(at, end - 1)  # a pointer is at most j words on
             if used[j]:
-                symbol = np.where(inside, h[at], _PAD)
+                symbol = h[spot] if j < w else np.where(at < end, h[spot], _PAD)
                 for s in used[j]:
-                    c = k * SAMPLES + s
-                    out[:, c] = out[:, c] * prime + symbol
-            p += inside & ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(bool)
+                    row = out[k * SAMPLES + s]
+                    row *= prime
+                    row += symbol
+            step = (bits[spot] >> (j % 64)) & 1
+            at += step if j < w else step * (at < end)
     salt = mix(np.arange(WALKS * SAMPLES, dtype=np.uint64) + np.uint64(w << 20))
-    return mix(out ^ salt)
+    return mix(out ^ salt[:, None]).T
 
 
 def _starts(counts: np.ndarray, w: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +102,7 @@ def _starts(counts: np.ndarray, w: int, step: int) -> tuple[np.ndarray, np.ndarr
 
 
 def item_keys(items: DataFrame) -> DataFrame:
-    """(key, item_id, item) for every window of every item; items: (item_id, text)."""
+    """(key, w, item_id) for every window of every item; items: (item_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 17):
@@ -105,13 +111,12 @@ def item_keys(items: DataFrame) -> DataFrame:
             sizes = np.array([size_class(int(n)) for n in words.counts])
             for w in np.unique(sizes[sizes > 0]):
                 text, at = _starts(np.where(sizes == w, words.counts, 0), int(w), 1)
-                keys = window_keys(h, first[text] + at, int(w)).view(np.int64)
-                rows = pa.array(np.repeat(text, keys.shape[1]))
+                keys = np.ascontiguousarray(window_keys(h, first[text] + at, int(w))).view(np.int64)
+                ids = batch.column(0).take(pa.array(np.repeat(text, keys.shape[1])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(np.full(len(text), w, np.int32), keys.shape[1])), batch.column(0).take(rows), batch.column(1).take(rows)],
-                    names=["key", "w", "item_id", "item"])
+                    [pa.array(keys.ravel()), pa.array(np.full(keys.size, w, np.int32)), ids], names=["key", "w", "item_id"])
 
-    return items.mapInArrow(cut, "key bigint, w int, item_id bigint, item string").distinct()
+    return items.mapInArrow(cut, "key bigint, w int, item_id bigint").distinct()
 
 
 def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +161,7 @@ def suspects(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame
                         rows["doc_id"].append(ids[int(t[k])].as_py())
                         rows["first"].append(int(lo))
                         rows["region"].append(" ".join(words.distinct.take(pa.array(codes)).to_pylist()))
-                        rows["keys"].append(keys[k][known[k]].view(np.int64).tolist())
+                        rows["keys"].append(np.ascontiguousarray(keys[k][known[k]]).view(np.int64).tolist())
             if rows["doc_id"]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["first"], pa.int64()), pa.array(rows["region"], pa.string()),
@@ -209,11 +214,13 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, edits, first_word, last_word): the nearest run of each document's words for each item it holds."""
     asked = items.select(F.col(item).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    keys = item_keys(asked.filter("item_id IS NOT NULL"))
+    asked = asked.filter("item_id IS NOT NULL AND text IS NOT NULL")
+    keys = stored(item_keys(asked))
     sizes = sorted(r[0] for r in keys.select("w").distinct().collect())
     plain = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL")
     near = suspects(plain, key_bitmap(keys), sizes)
     met = near.select("doc_id", "first", "region", F.explode("keys").alias("key")).join(keys.drop("w"), "key")
-    pairs = met.drop("key").groupBy("doc_id", "item_id", "first").agg(F.first("region").alias("region"), F.first("item").alias("item"))
+    pairs = met.groupBy("doc_id", "item_id", "first").agg(F.first("region").alias("region"))
+    pairs = pairs.join(asked.withColumnRenamed("text", "item"), "item_id")
     best = verify(pairs, similarity).groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word", "last_word")).alias("x"))
     return best.select("doc_id", "item_id", "x.*")
