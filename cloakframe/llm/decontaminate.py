@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cloakframe.llm.common import Words, mix, slices, stored, string_bytes, word_hashes
 
 SIMILARITY = 0.8
-WALKS, SAMPLES, PLACES = 6, 10, 5
+WALKS, SAMPLES, PLACES = 6, 8, 5
 BITMAP_BITS = 24
 _MARKS = ".,;:!?\"'()[]{}<>*#%&$-_/\\|"
 _PAD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -69,10 +69,10 @@ def _plan(w: int) -> list[tuple[int, list[list[int]]]]:
 
 
 def window_keys(h: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
-    """window × key: hashes of sampled places of the CGK strings of h[start : start + w]."""
+    """key × window: hashes of sampled places of the CGK strings of h[start : start + w]."""
     out = np.zeros((WALKS * SAMPLES, len(starts)), np.uint64)
     if not len(starts):
-        return out.T
+        return out
     prime = np.uint64(0x9E3779B97F4A7C15)
     end = starts + w
     for k, (seed, samples) in enumerate(_plan(w)):
@@ -91,7 +91,7 @@ def window_keys(h: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
             step = (bits[spot] >> (j % 64)) & 1
             at += step if j < w else step * (at < end)
     salt = mix(np.arange(WALKS * SAMPLES, dtype=np.uint64) + np.uint64(w << 20))
-    return mix(out ^ salt[:, None]).T
+    return mix(out ^ salt[:, None])
 
 
 def _starts(counts: np.ndarray, w: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,17 +111,23 @@ def item_keys(items: DataFrame) -> DataFrame:
             sizes = np.array([size_class(int(n)) for n in words.counts])
             for w in np.unique(sizes[sizes > 0]):
                 text, at = _starts(np.where(sizes == w, words.counts, 0), int(w), 1)
-                keys = np.ascontiguousarray(window_keys(h, first[text] + at, int(w))).view(np.int64)
-                ids = batch.column(0).take(pa.array(np.repeat(text, keys.shape[1])))
+                keys = window_keys(h, first[text] + at, int(w)).view(np.int64)
+                ids = batch.column(0).take(pa.array(np.tile(text, len(keys))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel()), pa.array(np.full(keys.size, w, np.int32)), ids], names=["key", "w", "item_id"])
 
     return items.mapInArrow(cut, "key bigint, w int, item_id bigint").distinct()
 
 
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bit(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def known_keys(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places in ``keys`` of those that the bitmap holds both bits of."""
     top = np.uint64(64 - BITMAP_BITS)
-    return keys >> top, (keys << np.uint64(BITMAP_BITS)) >> top
+    at = np.flatnonzero(_bit(bits, keys >> top))
+    return at[_bit(bits, (keys[at] << np.uint64(BITMAP_BITS)) >> top)]
 
 
 def key_bitmap(keys: DataFrame) -> np.ndarray:
@@ -150,18 +156,18 @@ def suspects(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame
                 text, at = _starts(words.counts, w, stride(w))
                 for a in range(0, len(text), 1 << 16):
                     t, s = text[a : a + (1 << 16)], at[a : a + (1 << 16)]
-                    keys = window_keys(h, begin[t] + s, w)
-                    known = np.ones(keys.shape, bool)
-                    for place in _bits(keys):
-                        known &= ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-                    for k in np.flatnonzero(known.any(1)):
+                    keys = window_keys(h, begin[t] + s, w).ravel()
+                    spot = known_keys(bits, keys)
+                    spot = spot[np.argsort(spot % len(t), kind="stable")]
+                    windows, cuts = np.unique(spot % max(1, len(t)), return_index=True)
+                    for k, own in zip(windows, np.split(keys[spot].view(np.int64), cuts[1:]), strict=False):
                         longest = shortest(2 * w)
                         lo, hi = max(0, s[k] - longest), min(words.counts[t[k]], s[k] + w + longest)
                         codes = words.codes[begin[t[k]] + lo : begin[t[k]] + hi]
                         rows["doc_id"].append(ids[int(t[k])].as_py())
                         rows["first"].append(int(lo))
                         rows["region"].append(" ".join(words.distinct.take(pa.array(codes)).to_pylist()))
-                        rows["keys"].append(np.ascontiguousarray(keys[k][known[k]]).view(np.int64).tolist())
+                        rows["keys"].append(own.tolist())
             if rows["doc_id"]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["first"], pa.int64()), pa.array(rows["region"], pa.string()),
@@ -218,9 +224,10 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     keys = stored(item_keys(asked))
     sizes = sorted(r[0] for r in keys.select("w").distinct().collect())
     plain = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    near = suspects(plain, key_bitmap(keys), sizes)
-    met = near.select("doc_id", "first", "region", F.explode("keys").alias("key")).join(keys.drop("w"), "key")
-    pairs = met.groupBy("doc_id", "item_id", "first").agg(F.first("region").alias("region"))
-    pairs = pairs.join(asked.withColumnRenamed("text", "item"), "item_id")
+    near = stored(suspects(plain, key_bitmap(keys), sizes).withColumn("hash", F.xxhash64("region")))
+    met = near.select("doc_id", "first", "hash", F.explode("keys").alias("key")).join(keys.drop("w"), "key")
+    met = met.select("doc_id", "first", "hash", "item_id").distinct()
+    regions = near.select("doc_id", "first", "hash", "region").dropDuplicates(["doc_id", "first", "hash"])
+    pairs = regions.join(met, ["doc_id", "first", "hash"]).join(asked.withColumnRenamed("text", "item"), "item_id")
     best = verify(pairs, similarity).groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word", "last_word")).alias("x"))
     return best.select("doc_id", "item_id", "x.*")
