@@ -13,8 +13,8 @@ from cloakframe.llm import decontaminate, jaccard_join, language_id, mixing, qua
 from cloakframe.llm.common import crc_mod, stored, table
 from cloakframe.llm.membership import matching, without
 
-#: Least mean probability of the language of a text that stays.
-MIN_LANGUAGE = 0.5
+#: Least mean probability of the likeliest language of a text that stays; texts of two or three languages pass.
+MIN_LANGUAGE = 0.3
 
 
 def _rejected(docs: DataFrame, judged: DataFrame, reject) -> DataFrame:
