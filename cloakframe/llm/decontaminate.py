@@ -150,28 +150,24 @@ def suspects(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame
         for batch in slices(batches):
             words = Words(batch.column(1))
             h, begin = symbols(words), np.cumsum(words.counts) - words.counts
-            rows = {"doc_id": [], "first": [], "region": [], "keys": []}
-            ids = batch.column(0)
             for w in classes:
                 text, at = _starts(words.counts, w, stride(w))
                 for a in range(0, len(text), 1 << 16):
                     t, s = text[a : a + (1 << 16)], at[a : a + (1 << 16)]
                     keys = window_keys(h, begin[t] + s, w).ravel()
                     spot = known_keys(bits, keys)
+                    if not len(spot):
+                        continue
                     spot = spot[np.argsort(spot % len(t), kind="stable")]
-                    windows, cuts = np.unique(spot % max(1, len(t)), return_index=True)
-                    for k, own in zip(windows, np.split(keys[spot].view(np.int64), cuts[1:]), strict=False):
-                        longest = shortest(2 * w)
-                        lo, hi = max(0, s[k] - longest), min(words.counts[t[k]], s[k] + w + longest)
-                        codes = words.codes[begin[t[k]] + lo : begin[t[k]] + hi]
-                        rows["doc_id"].append(ids[int(t[k])].as_py())
-                        rows["first"].append(int(lo))
-                        rows["region"].append(" ".join(words.distinct.take(pa.array(codes)).to_pylist()))
-                        rows["keys"].append(own.tolist())
-            if rows["doc_id"]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["first"], pa.int64()), pa.array(rows["region"], pa.string()),
-                     pa.array(rows["keys"], pa.list_(pa.int64()))], names=list(rows))
+                    k, cuts = np.unique(spot % len(t), return_index=True)
+                    longest = shortest(2 * w)
+                    lo, hi = np.maximum(0, s[k] - longest), np.minimum(words.counts[t[k]], s[k] + w + longest)
+                    n = hi - lo
+                    place = np.repeat(begin[t[k]] + lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    around = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), words.distinct.take(pa.array(words.codes[place])))
+                    own = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(spot)], pa.int32()), pa.array(keys[spot].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(t[k])), pa.array(lo), pc.binary_join(around, " "), own], names=["doc_id", "first", "region", "keys"])
 
     return docs.mapInArrow(find, "doc_id bigint, first bigint, region string, keys array<bigint>")
 
@@ -206,12 +202,20 @@ def verify(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "region", 1 << 17):
             item, region = Words(batch.column("item")), Words(batch.column("region"))
-            edits, first, end = best_match(padded(item), item.counts, padded(region), region.counts)
-            ok = pa.array(edits <= np.floor((1 - similarity) * item.counts + 1e-9))
-            base = batch.column("first").to_numpy()
+            most = np.floor((1 - similarity) * item.counts + 1e-9)
+            a, b = padded(item), padded(region)
+            # A word of the item that the region lacks costs an edit at least.
+            lack = np.zeros(len(a), np.int64)
+            for k in range(a.shape[1]):
+                lack += (k < item.counts) & ~(a[:, k, None] == b).any(1)
+            near = np.flatnonzero(lack <= most)
+            edits, first, end = best_match(a[near], item.counts[near], b[near], region.counts[near])
+            ok = edits <= most[near]
+            rows = pa.array(near[ok])
+            base = batch.column("first").to_numpy()[near[ok]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("item_id"), pa.array(edits), pa.array(base + first), pa.array(base + end - 1)],
-                names=["doc_id", "item_id", "edits", "first_word", "last_word"]).filter(ok)
+                [batch.column("doc_id").take(rows), batch.column("item_id").take(rows), pa.array(edits[ok]), pa.array(base + first[ok]), pa.array(base + end[ok] - 1)],
+                names=["doc_id", "item_id", "edits", "first_word", "last_word"])
 
     return pairs.mapInArrow(check, "doc_id bigint, item_id bigint, edits bigint, first_word bigint, last_word bigint")
 
