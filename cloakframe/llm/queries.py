@@ -160,7 +160,19 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 # --- near copies and benchmark passages --------------------------------------------------
 
 
-@query("op4_forest_jaccard")
+NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{url_filter._AZ[0]}', '{url_filter._AZ[1]}'),
+      '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+  n AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+  l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * k >= 4 * (nx.c + ny.c - k)),
+  e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+  r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+  SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.doc_id = d.doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.x = d.doc_id) AS n_links FROM documents d"""
+
+
+@query("op4_forest_jaccard", NEAR_SQL)
 def op4(spark: SparkSession, d: str) -> DataFrame:
     """Class and number of links of every document."""
     return jaccard_join.near_copies(table(spark, d, "documents"))
