@@ -274,6 +274,7 @@ _USER_STATEMENTS = "(?:" + "|".join((
     r"اسم\s+المستخدم\s+هو\s+",
     r"ชื่อผู้ใช้\s*คือ\s*",
 )) + ")"
+# Fixed values.
 _ID_LINK = r"(?:[ \t]*[：:=][ \t]*|[ \t]+is[ \t]+|[ \t]*(?:为|是)[ \t]*|[ \t]+)"
 _ID_VALUE = "[A-Z0-9][A-Z0-9_.-]{3,63}"
 
@@ -484,8 +485,10 @@ def cn_name_rules(surnames: str = LABELLED_SURNAMES, compound=COMPOUND + MORE_CO
 
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+# Fixed values.
 _LATIN_WORD = rf"(?:[A-ZÀ-ÖØ-Þ]\.|[A-ZÀ-ÖØ-Þ](?:[{_LATIN}'’-]*[{_LATIN}])?)"
 _LATIN_NAME = rf"{_LATIN_WORD}(?:[ \t]+{_LATIN_WORD}){{1,4}}"
+# Fixed values.
 _CYR_WORD = r"(?:[А-ЯЁ]\.|[А-ЯЁ](?:[А-Яа-яЁё'’-]*[А-Яа-яЁё])?)"
 _CYR_NAME = rf"{_CYR_WORD}(?:[ \t]+{_CYR_WORD}){{1,4}}"
 
@@ -514,6 +517,7 @@ def person_rules(surnames: str = LABELLED_SURNAMES, compound=COMPOUND + MORE_COM
     )
 
 
+# Fixed values.
 CN_ADDRESS_RULE = Rule(
     "B70", "CN_ADDRESS", 0.86,
     r"[^\n，,。；;]{5,100}(?:省|自治区|市|自治州|盟|区|县|旗|镇|乡|街道|路|街|巷|弄|村|社区|号|栋|室)[^\n，,。；;]{0,40}",
@@ -595,11 +599,13 @@ _PROVINCE = (
     "|台湾|内蒙古|广西|西藏|宁夏|新疆|北京|天津|上海|重庆|香港|澳门"
 )
 _ADMIN = "省|自治区|特别行政区|市|地区|盟|自治州|区|县|县级市|旗|海域"
+# Fixed values.
 _STEP = "市|区|县|镇|街道|路|街|道|弄|巷|胡同"
 _DETAIL = (
     "(?:[0-9一二三四五六七八九十百]+号|[0-9一二三四五六七八九十百A-Za-z_-]+(?:室|号楼|幢|栋|单元|层|楼)"
     r"|[一-龥0-9A-Za-z_-]{2,20}(?:大厦|广场|中心|小区|园区|花园|公寓|家园|庄园|弄))"
 )
+# Fixed values.
 _TITLE = "(?:先生|女士|老师|同学|医生|教授|经理|主任)"
 _HAN = r"[一-龥]"
 _LEFT = r"(?<![一-龥])"
@@ -612,6 +618,7 @@ def extraction_name_rules(first_order: int = 1000) -> tuple[Rule, ...]:
     mk = lambda key, conf, before, value, after, gate: Rule(
         key, "CN_NAME", conf, value, before, after, gate=gate, sources=_IE
     )
+    # Fields, roles and acts that introduce a name.
     fields = "姓名|联系人|收件人|发件人|负责人|经办人|候选人|当事人|作者|客户"
     roles = "负责人|联系人|作者|经办人|当事人|候选人"
     acts = "请?通知|请?联系|找|转交给|拜访|采访|陪同"

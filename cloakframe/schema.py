@@ -16,7 +16,6 @@ HITS_T = "array<struct<start:int,end:int,text:string,idx:int>>"
 SPAN_COLUMNS = (
     "start", "end", "type", "text", "confidence", "sources", "validated", "privacy_level", "semantic_type", "ord",
 )
-DOC_DDL = "doc_id BIGINT, text STRING, lang STRING, source STRING"
 PREDICTION_DDL = (
     "doc_id BIGINT, model_id STRING, label STRING, `start` INT, `end` INT, text STRING, score DOUBLE"
 )
@@ -69,16 +68,3 @@ def dim_entity_type(spark: SparkSession) -> DataFrame:
         [(t, label, p, lv or fixed.DEFAULT_LEVEL) for t, label, p, lv in fixed.ENTITY_TYPES],
         "type string, label string, priority int, privacy_level string",
     )
-
-
-def dim_semantic_type(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(fixed.SEMANTIC_LEVEL.items()), "semantic_type string, privacy_level string")
-
-
-def dim_label_map(spark: SparkSession) -> DataFrame:
-    """(model_family, raw_label) -> (type, semantic_type); a fixed table of under 200 rows."""
-    rows = [("span", k, t, s) for k, (t, s) in fixed.SPAN_LABELS.items()]
-    rows += [("semantic", k, t, s) for k, (t, s) in fixed.SEMANTIC_LABELS.items()]
-    rows += [("chinese", k, t, None) for k, t in fixed.CHINESE_LABELS.items()]
-    rows += [(family, k, t, None) for family, m in fixed.CHALLENGER_LABELS.items() for k, t in m.items()]
-    return spark.createDataFrame(rows, "model_family string, raw_label string, type string, semantic_type string")
