@@ -31,6 +31,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch on its way from the JVM to Python and back; a batch is a whole in the memory of both.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame, task, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches small enough for long texts: the session's limit is lowered to ``BATCH_ROWS``."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(task, schema)
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of an id as text, modulo ``mod``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % mod

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Words, mix, slices, stored, string_bytes, word_hashes
+from cloakframe.llm.common import Words, in_batches, mix, slices, stored, string_bytes, word_hashes
 
 SIMILARITY = 0.8
 WALKS, SAMPLES, PLACES = 6, 8, 5
@@ -116,7 +116,7 @@ def item_keys(items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel()), pa.array(np.full(keys.size, w, np.int32)), ids], names=["key", "w", "item_id"])
 
-    return items.mapInArrow(cut, "key bigint, w int, item_id bigint").distinct()
+    return in_batches(items, cut, "key bigint, w int, item_id bigint").distinct()
 
 
 def _bit(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def suspects(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(t[k])), pa.array(lo), pc.binary_join(around, " "), own], names=["doc_id", "first", "region", "keys"])
 
-    return docs.mapInArrow(find, "doc_id bigint, first bigint, region string, keys array<bigint>")
+    return in_batches(docs, find, "doc_id bigint, first bigint, region string, keys array<bigint>")
 
 
 def best_match(item: np.ndarray, n: np.ndarray, region: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def verify(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 [batch.column("doc_id").take(rows), batch.column("item_id").take(rows), pa.array(edits[ok]), pa.array(base + first[ok]), pa.array(base + end[ok] - 1)],
                 names=["doc_id", "item_id", "edits", "first_word", "last_word"])
 
-    return pairs.mapInArrow(check, "doc_id bigint, item_id bigint, edits bigint, first_word bigint, last_word bigint")
+    return in_batches(pairs, check, "doc_id bigint, item_id bigint, edits bigint, first_word bigint, last_word bigint")
 
 
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",

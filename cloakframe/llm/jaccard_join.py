@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Words, mix, powers, slices, stored
+from cloakframe.llm.common import Words, in_batches, mix, powers, slices, stored
 from cloakframe.llm.components import connected_components
 from cloakframe.llm.membership import matching
 
@@ -105,7 +105,7 @@ def forest(docs: DataFrame, levels: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = "id bigint, c1 bigint, c2 bigint" + "".join(f", n{k} array<bigint>" for k in range(len(levels)))
-    return docs.mapInArrow(sign, schema)
+    return in_batches(docs, sign, schema)
 
 
 def candidate_links(nodes: DataFrame, levels: int) -> DataFrame:
@@ -166,7 +166,7 @@ def shingle_sets(members: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays([*out, flat], names=["id", "grp", "tiles", "copies", "shingles"]).filter(same)
 
-    return members.mapInArrow(sets, "id bigint, grp bigint, tiles int, copies bigint, shingles array<bigint>")
+    return in_batches(members, sets, "id bigint, grp bigint, tiles int, copies bigint, shingles array<bigint>")
 
 
 def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -203,7 +203,7 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if held:
             yield close()
 
-    return rows.mapInArrow(check, "id bigint, links bigint, root bigint")
+    return in_batches(rows, check, "id bigint, links bigint, root bigint")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

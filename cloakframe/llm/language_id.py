@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Words, marked_ngrams, mix, slices, stratified
+from cloakframe.llm.common import Words, in_batches, marked_ngrams, mix, slices, stratified
 
 #: Training texts of each language, and bytes of each that are not exceeded by cutting between words into several sequences.
 PER_LANGUAGE = 250
@@ -211,4 +211,4 @@ def predict(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, lang_pred string, score double" + ", runs array<struct<first:int,words:int,lang:string>>" * runs
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(label, schema)
+    return in_batches(docs.select(F.col(key), F.col(text).cast("string").alias("text")), label, schema)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Words, slices, stored
+from cloakframe.llm.common import Words, in_batches, slices, stored
 
 HEAD, TAIL = 128, 128
 CLASSES = HEAD + TAIL
@@ -61,7 +61,7 @@ def vocabulary(train: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"word": pa.concat_arrays([words.distinct.cast(pa.string()), pa.array([END])]),
                                               "c": pa.array(np.append(n, batch.num_rows).astype(np.int64))})
 
-    return train.mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return in_batches(train, count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def gather(vocab: DataFrame) -> Counts:
@@ -172,7 +172,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"w": pa.array([float(seen)]), "p": pa.array([own.tolist()], pa.list_(pa.float64()))})
 
         turn = docs.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == k)
-        each = turn.mapInArrow(fit, "w double, p array<double>").select("w", F.posexplode("p"))
+        each = in_batches(turn, fit, "w double, p array<double>").select("w", F.posexplode("p"))
         mean = each.groupBy("pos").agg((F.sum(F.col("w") * F.col("col")) / F.sum("w")).alias("x")).collect()
         if mean:
             flat = flat.copy()
@@ -231,7 +231,7 @@ def score(docs: DataFrame, vocab: DataFrame, counts: Counts, flat: np.ndarray) -
                 "rare": pa.ListArray.from_arrays(offsets, rare.cast(pa.string())), "times": pa.ListArray.from_arrays(offsets, pa.array(m.astype(np.int32)))})
             row += n
 
-    rows = docs.mapInArrow(measure, f"doc_id {kind}, row bigint, n bigint, k bigint, base double, own double, rare array<string>, times array<int>")
+    rows = in_batches(docs, measure, f"doc_id {kind}, row bigint, n bigint, k bigint, base double, own double, rare array<string>, times array<int>")
     # One more row for each text carries its sums; its key holds a line feed and so meets no word.
     lone = F.array(F.struct(F.concat(F.lit(END), F.col("row").cast("string")).alias("word"), F.lit(0).alias("m"),
                             F.struct("doc_id", "n", "k", "base", "own").alias("sums")))

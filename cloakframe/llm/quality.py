@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import slices, stratified, string_bytes
+from cloakframe.llm.common import in_batches, slices, stratified, string_bytes
 
 PER_CLASS = 1500
 CHUNK, OVERLAP = 512, 64
@@ -150,4 +150,4 @@ def predict(docs: DataFrame, net: ConvNet, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_pydict({key: batch.column(0), "score": pa.array(scores(held.value, *string_bytes(batch.column(1))))})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(score, f"`{key}` {kind}, score double")
+    return in_batches(docs.select(F.col(key), F.col(text).cast("string").alias("text")), score, f"`{key}` {kind}, score double")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakframe.llm.common import in_batches
+
 BLOCK = 128
 #: Blocks of a tile, and queries of a tile.
 TILE_BLOCKS, TILE_QUERIES = 128, 2048
@@ -61,7 +63,7 @@ def block_index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist([flush(d) for d in list(held)], schema=schema)
 
-    return rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(cut, _INDEX)
+    return in_batches(rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id"), cut, _INDEX)
 
 
 def search_tile(blocks: list[tuple], queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

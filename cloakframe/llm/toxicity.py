@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Words, slices, stratified, string_bytes, word_hashes
+from cloakframe.llm.common import Words, in_batches, slices, stratified, string_bytes, word_hashes
 
 PER_CLASS = 2000
 BITS = 20
@@ -160,4 +160,4 @@ def predict(docs: DataFrame, model: Ordinal, key: str = "doc_id", text: str = "t
                                               "grade": pa.array(each.argmax(1).astype(np.int32)), "score": pa.array(above[:, 0])})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(rate, f"`{key}` {kind}, severity double, grade int, score double")
+    return in_batches(docs.select(F.col(key), F.col(text).cast("string").alias("text")), rate, f"`{key}` {kind}, severity double, grade int, score double")
