@@ -2,11 +2,14 @@
 
 Symbols are words (ASCII white space parts them, A-Z lower-cased, punctuation at their ends left out). The CGK walk copies a window's symbol at a
 pointer and moves the pointer on by a random bit of (step, symbol): windows at a small edit distance get strings at a small Hamming
-distance. A key hashes a few sampled places of that string; ``WALKS`` × ``SAMPLES`` keys per window reach the target recall
-(measured by the tests). An item of L words is met by windows of w words, w the power of two that fits it (``size_class``): items give a
-window at every place, documents at every ``stride`` words, so each whole item in a document holds a window of its
-size. What meets is verified: the smallest number of word edits that turn the item into some run of the document's words
-must be at most ``1 - SIMILARITY`` of the item's length.
+distance. A key hashes a few sampled places of that string.
+
+An item of L words may lose ``most_edits(L)`` of them, and its windows are chosen by what is left then (``size_class``). Below
+``LONG`` words the edits leave a run of ``intact(L)`` words as it was, wherever they fall: windows are no longer than that run, documents
+give one at every word, and one key hashes the whole string, so no such item is missed. Longer items are met by windows of 8 or 16 words (longer ones
+hold too many edits): documents give one every ``stride(size)`` words, so that even the shortest occurrence holds several whole ones, and ``WALKS`` × ``SAMPLES`` keys per window reach the target recall (measured by the tests for each length and
+kind of edit). Items give a window at every place. What meets is verified: the smallest number of word edits that turn the item into
+some run of the document's words must be at most ``1 - SIMILARITY`` of the item's length.
 
 A bitmap of fixed size (``BITMAP_BITS``) of the items' keys filters windows in the tasks; the rest meet the items in a join.
 
@@ -27,29 +30,49 @@ from pyspark.sql import functions as F
 from cloakframe.llm.common import Words, in_batches, mix, slices, stored, string_bytes, word_hashes
 
 SIMILARITY = 0.8
-WALKS, SAMPLES, PLACES = 6, 8, 5
+WALKS, SAMPLES, PLACES = 4, 8, 6
+#: Words of the shortest item that is met by windows in which edits are allowed for.
+LONG = 28
+#: Words of a window, at most.
+WIDEST = 16
 BITMAP_BITS = 24
 _MARKS = ".,;:!?\"'()[]{}<>*#%&$-_/\\|"
 _PAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def most_edits(length: int, similarity: float = SIMILARITY) -> int:
+    return int((1 - similarity) * length + 1e-9)
+
+
+def intact(length: int) -> int:
+    """Words of the longest run of an item that its edits leave as it was, at least."""
+    edits = most_edits(length)
+    return -(-(length - edits) // (edits + 1))
+
+
 def size_class(length: int) -> int:
-    """Window words for items of this many words; 0 for none."""
-    w = 0
-    for power in range(63):
-        if shortest(1 << power) > length:
-            break
-        w = 1 << power
-    return w
+    """Class of the items of this many words, the words of its windows up to ``WIDEST``; 0 for none."""
+    if length < LONG:
+        return min(4, intact(length)) if length else 0
+    size = 8
+    while 7 * size <= length:
+        size *= 2
+    return size
 
 
-def shortest(w: int) -> int:
-    """Words of the shortest item that windows of ``w`` words serve."""
-    return {1: 1, 2: 4}.get(w, (7 * w + 3) // 4)
+def width(size: int) -> int:
+    """Words of the windows of a class."""
+    return min(size, WIDEST)
 
 
-def stride(w: int) -> int:
-    return shortest(w) - w + 1
+def reach(size: int) -> int:
+    """Words that the longest occurrence of an item of this class may have before or after a window of it."""
+    longest = 7 * size - 1 if size > 4 else max(n for n in range(1, LONG) if size_class(n) == size)
+    return longest + most_edits(longest) - width(size)
+
+
+def stride(size: int) -> int:
+    return min(size // 2, WIDEST) if size > 4 else 1
 
 
 def symbols(words: Words) -> np.ndarray:
@@ -60,22 +83,27 @@ def symbols(words: Words) -> np.ndarray:
 def _plan(w: int) -> list[tuple[int, list[list[int]]]]:
     """For each walk, its seed and the sampled places of each key: one in each of as many equal parts of the walk.
 
-    Places next to each other often copy one word, and a key of few words, frequent ones at that, tells nothing.
+    Places next to each other often copy one word, and a key of few words, frequent ones at that, tells nothing. Windows
+    that are looked for whole have one key of all places.
     """
     rng = np.random.default_rng(w)
-    ends = np.linspace(0, 2 * w, min(PLACES, 2 * w) + 1).astype(int)
+    if w <= 4:
+        return [(int(rng.integers(1 << 62)), [list(range(2 * w))])]
+    ends = np.linspace(0, 2 * w, PLACES + 1).astype(int)
     key = lambda: [int(rng.integers(a, b)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return [(int(rng.integers(1 << 62)), [key() for _ in range(SAMPLES)]) for _ in range(WALKS)]
 
 
-def window_keys(h: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
-    """key × window: hashes of sampled places of the CGK strings of h[start : start + w]."""
-    out = np.zeros((WALKS * SAMPLES, len(starts)), np.uint64)
+def window_keys(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """key × window: hashes of sampled places of the CGK strings of h[start : start + width(size)]."""
+    w = width(size)
+    plan = _plan(w)
+    out = np.zeros((sum(len(samples) for _, samples in plan), len(starts)), np.uint64)
     if not len(starts):
         return out
     prime = np.uint64(0x9E3779B97F4A7C15)
     end = starts + w
-    for k, (seed, samples) in enumerate(_plan(w)):
+    for k, (seed, samples) in enumerate(plan):
         used = [[s for s, places in enumerate(samples) if j in places] for j in range(2 * w)]
         at = starts.copy()
         for j in range(2 * w):
@@ -85,12 +113,12 @@ def window_keys(h: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
             if used[j]:
                 symbol = h[spot] if j < w else np.where(at < end, h[spot], _PAD)
                 for s in used[j]:
-                    row = out[k * SAMPLES + s]
+                    row = out[k * len(samples) + s]
                     row *= prime
                     row += symbol
             step = (bits[spot] >> (j % 64)) & 1
             at += step if j < w else step * (at < end)
-    salt = mix(np.arange(WALKS * SAMPLES, dtype=np.uint64) + np.uint64(w << 20))
+    salt = mix(np.arange(len(out), dtype=np.uint64) + np.uint64(size << 20))
     return mix(out ^ salt[:, None])
 
 
@@ -110,7 +138,7 @@ def item_keys(items: DataFrame) -> DataFrame:
             h, first = symbols(words), np.cumsum(words.counts) - words.counts
             sizes = np.array([size_class(int(n)) for n in words.counts])
             for w in np.unique(sizes[sizes > 0]):
-                text, at = _starts(np.where(sizes == w, words.counts, 0), int(w), 1)
+                text, at = _starts(np.where(sizes == w, words.counts, 0), width(int(w)), 1)
                 keys = window_keys(h, first[text] + at, int(w)).view(np.int64)
                 ids = batch.column(0).take(pa.array(np.tile(text, len(keys))))
                 yield pa.RecordBatch.from_arrays(
@@ -142,7 +170,10 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def suspects(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
-    """(doc_id, first, region, keys): windows with keys of items, and the words around them that could hold such an item."""
+    """(doc_id, first, region, keys): keys of items in windows, and the words around the windows that could hold such an item.
+
+    Windows that start in one block of words share a region.
+    """
     held = docs.sparkSession.sparkContext.broadcast((bitmap, sizes))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,22 +181,29 @@ def suspects(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame
         for batch in slices(batches):
             words = Words(batch.column(1))
             h, begin = symbols(words), np.cumsum(words.counts) - words.counts
-            for w in classes:
-                text, at = _starts(words.counts, w, stride(w))
+            for size in classes:
+                w, beside = width(size), reach(size)
+                wide = beside + w
+                text, at = _starts(words.counts, w, stride(size))
                 for a in range(0, len(text), 1 << 16):
                     t, s = text[a : a + (1 << 16)], at[a : a + (1 << 16)]
-                    keys = window_keys(h, begin[t] + s, w).ravel()
+                    keys = window_keys(h, begin[t] + s, size).ravel()
                     spot = known_keys(bits, keys)
                     if not len(spot):
                         continue
-                    spot = spot[np.argsort(spot % len(t), kind="stable")]
-                    k, cuts = np.unique(spot % len(t), return_index=True)
-                    longest = shortest(2 * w)
-                    lo, hi = np.maximum(0, s[k] - longest), np.minimum(words.counts[t[k]], s[k] + w + longest)
+                    block = t[spot % len(t)] * (int(words.counts.max()) // wide + 1) + s[spot % len(t)] // wide
+                    order = np.lexsort((keys[spot], block))
+                    spot, block = spot[order], block[order]
+                    cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                    k, place = spot[cuts] % len(t), s[spot % len(t)]
+                    lo = np.maximum(0, np.minimum.reduceat(place, cuts) - beside)
+                    hi = np.minimum(words.counts[t[k]], np.maximum.reduceat(place, cuts) + w + beside)
                     n = hi - lo
                     place = np.repeat(begin[t[k]] + lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                     around = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), words.distinct.take(pa.array(words.codes[place])))
-                    own = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(spot)], pa.int32()), pa.array(keys[spot].view(np.int64)))
+                    once = np.r_[True, keys[spot[1:]] != keys[spot[:-1]]]
+                    once[cuts] = True
+                    own = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.add.reduceat(once, cuts, dtype=np.int64))], pa.int32()), pa.array(keys[spot[once]].view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(t[k])), pa.array(lo), pc.binary_join(around, " "), own], names=["doc_id", "first", "region", "keys"])
 
