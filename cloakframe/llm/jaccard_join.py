@@ -9,8 +9,9 @@ so pairs are never written, however large a group is; a tile keeps the number of
 
 Words are runs between ASCII white space, A-Z lower-cased. Texts of one to four words are one shingle.
 
-Defined results: null, empty or blank texts have no shingles, no links and a class of their own; rows that share an id are one document with its
-copies counted; rows with a null id are one such document; an empty table gives no rows. Extra columns are not read.
+Defined results: null, empty or blank texts have no shingles, no links and a class of their own; every row is compared by
+its text alone, whether its id is null or repeated; a class without any id has a null class_id; an empty table gives no rows. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.98
 TILE = 128
-_NO_ID = -(1 << 63)
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 _MUL = (_rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -88,7 +88,7 @@ def labels(words: Words, levels: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forest(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """(id, c1, c2, n0 …): content hashes and, for each level, the trie node of every tree."""
+    """(id, doc, c1, c2, n0 …) of (id, text, doc): content hashes and, for each level, the trie node of every tree."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -99,12 +99,12 @@ def forest(docs: DataFrame, levels: list[int]) -> DataFrame:
             offsets[1:][rows] = TREES
             offsets = pa.array(np.cumsum(offsets), pa.int32())
             none = words.counts == 0
-            cols = {"id": batch.column(0), "c1": pa.array(c[:, 0], mask=none), "c2": pa.array(c[:, 1], mask=none)}
+            cols = {"id": batch.column(0), "doc": batch.column("doc"), "c1": pa.array(c[:, 0], mask=none), "c2": pa.array(c[:, 1], mask=none)}
             for k in range(len(levels)):
                 cols[f"n{k}"] = pa.ListArray.from_arrays(offsets, pa.array(nodes[k].ravel()))
             yield pa.RecordBatch.from_pydict(cols)
 
-    schema = "id bigint, c1 bigint, c2 bigint" + "".join(f", n{k} array<bigint>" for k in range(len(levels)))
+    schema = "id bigint, doc bigint, c1 bigint, c2 bigint" + "".join(f", n{k} array<bigint>" for k in range(len(levels)))
     return in_batches(docs, sign, schema)
 
 
@@ -153,18 +153,16 @@ def verify_tile(ids: np.ndarray, weight: np.ndarray, side: np.ndarray, sets: lis
 
 
 def shingle_sets(members: DataFrame) -> DataFrame:
-    """``members`` (id, c1, grp, tiles, copies, text) with the sorted set of shingles of each text instead of the text."""
+    """``members`` (id, grp, tiles, copies, text) with the sorted set of shingles of each text instead of the text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = Words(batch.column("text"))
-            c = contents(words)[:, 0]
             h, each = shingles(words)
             parts = [np.unique(x) for x in np.split(h.view(np.int64), np.cumsum(each)[:-1])]
             out = [batch.column(k) for k in ("id", "grp", "tiles", "copies")]
-            same = pa.array(c == batch.column("c1").to_numpy(zero_copy_only=False))  # an id may stand for other texts too
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([*out, flat], names=["id", "grp", "tiles", "copies", "shingles"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*out, flat], names=["id", "grp", "tiles", "copies", "shingles"])
 
     return in_batches(members, sets, "id bigint, grp bigint, tiles int, copies bigint, shingles array<bigint>")
 
@@ -207,24 +205,31 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(key, class_id, n_links) of every row: the smallest id connected by links, and the number of other rows at the threshold or above."""
+    """(key, class_id, n_links) of every row: the smallest id connected by links, and the number of other rows at the threshold or above.
+
+    Rows are numbered, and a node is the smallest number of the rows with its words; ids are only carried along.
+    """
     kind = docs.schema[key].dataType
-    plain = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
+    plain = stored(docs.select(F.monotonically_increasing_id().alias("id"), F.col(text).cast("string").alias("text"), F.col(key).cast("bigint").alias("doc")))
     levels = list(range(DEPTH, depth_for(recall, threshold) - 1, -1))
     signed = stored(forest(plain, levels))
-    classes = signed.filter("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = signed.filter("c1 IS NOT NULL").groupBy("c1", "c2").agg(
+        F.min("id").alias("rep"), F.min("doc").alias("least"), F.count("*").alias("copies"))
     classes = stored(classes)
-    first = signed.join(classes.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2", "id"], "left_semi")
+    first = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     groups = connected_components(candidate_links(first, len(levels)))
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     groups = groups.join(sizes, "root").select("id", F.col("root").alias("grp"), "tiles")
-    members = stored(groups.join(classes.select(F.col("rep").alias("id"), "c1", "copies"), "id"))
-    found = stored(verified(matching(plain, members, "id").select("id", "c1", "grp", "tiles", "copies", "text"), threshold))
-    roots = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    members = stored(groups.join(classes.select(F.col("rep").alias("id"), "copies"), "id"))
+    found = stored(verified(matching(plain, members, "id").select("id", "grp", "tiles", "copies", "text"), threshold))
+    roots = stored(connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).join(
+        classes.select(F.col("rep").alias("id"), "least"), "id"))
+    heads = stored(roots.groupBy("root").agg(F.min("least").alias("class_id")))
+    named = roots.join(heads, "root").select("id", "root", "class_id")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    reps = classes.select("c1", "c2", F.col("rep").alias("id"), "copies").join(links, "id", "left").join(roots, "id", "left")
-    reps = reps.select("c1", "c2", F.coalesce("root", "id").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("id", "c1", "c2").join(reps, ["c1", "c2"], "left")
-    back = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).cast(kind)
-    return out.select(back("id").alias(key), F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")).select(
-        key, back("root").alias("class_id"), "n_links")
+    reps = classes.withColumnRenamed("rep", "id").join(links, "id", "left").join(named, "id", "left")
+    reps = reps.select("c1", "c2", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"),
+                       (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = signed.select("doc", "c1", "c2").join(reps, ["c1", "c2"], "left")
+    own = F.when(F.col("c1").isNull(), F.col("doc")).otherwise(F.col("class_id"))
+    return out.select(F.col("doc").cast(kind).alias(key), own.cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -2,7 +2,7 @@
 
 import random
 
-from cloakframe.llm import decontaminate
+from cloakframe.llm import decontaminate, jaccard_join
 
 DOCS = "doc_id bigint, text string"
 KINDS = ("replace", "insert", "delete", "mixed")
@@ -36,3 +36,12 @@ def test_passages_with_a_fifth_of_their_words_edited_are_found(spark):
     found = {r["doc_id"] for r in got.filter("doc_id = item_id").collect()}
     recall = {x: sum(of[k] == x for k in found) / 20 for x in set(of.values())}
     assert min(recall.values()) >= 0.9, sorted(x for x in recall.items() if x[1] < 0.9)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    near = lambda t: t + " end"
+    rows = [(7, a), (8, a), (None, a), (9, near(a)), (4, b), (None, b), (5, near(b)), (6, "one text"), (6, "other words"), (None, "lone"), (None, "lone")]
+    got = jaccard_join.near_copies(spark.createDataFrame(rows, DOCS)).collect()
+    want = [(7, 7, 3), (8, 7, 3), (None, 7, 3), (9, 7, 3), (4, 4, 2), (None, 4, 2), (5, 4, 2), (6, 6, 0), (6, 6, 0), (None, None, 1), (None, None, 1)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
