@@ -1,7 +1,7 @@
 """Pipeline stages: (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents.
 
-A stage reads nothing of an input column but id, text, language and source; rows without an id pass the stages that
-decide by id. Empty input gives empty output, with the columns of the input.
+A stage reads nothing of an input column but id, text, language and source. It decides about each row by a number that is
+written with its input, so null and repeated ids are plain data. Empty input gives empty output, with the columns of the input.
 """
 
 from __future__ import annotations
@@ -17,38 +17,45 @@ from cloakframe.llm.membership import matching, without
 MIN_LANGUAGE = 0.3
 
 
-def _rejected(docs: DataFrame, judged: DataFrame, reject) -> DataFrame:
-    return without(docs, judged.filter(reject).select("doc_id"), "doc_id")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for each row, and the name of that column."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and those of no prevailing language, go."""
-    model = language_id.train(docs.filter(crc_mod("doc_id", 4) != 2))
-    judged = stored(language_id.predict(docs, model))
-    return _rejected(docs, judged, (F.col("lang_pred") == "und") | (F.col("score") < MIN_LANGUAGE))
+    rows, row = _numbered(docs)
+    model = language_id.train(rows.filter(crc_mod("doc_id", 4) != 2))
+    judged = stored(language_id.predict(rows, model, row))
+    return without(rows, judged.filter((F.col("lang_pred") == "und") | (F.col("score") < MIN_LANGUAGE)).select(row), row).drop(row)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the quality model does not predict to be good go."""
-    net = quality.train(docs.filter(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
-    judged = stored(quality.predict(docs, net))
-    return _rejected(docs, judged, F.col("score") < quality.THRESHOLD)
+    rows, row = _numbered(docs)
+    net = quality.train(rows.filter(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
+    judged = stored(quality.predict(rows, net, row))
+    return without(rows, judged.filter(F.col("score") < quality.THRESHOLD).select(row), row).drop(row)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays."""
-    groups = stored(jaccard_join.near_copies(docs))
-    left = _rejected(docs, groups, "class_id <> doc_id")
-    again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = without(left, again, "doc_id")
-    twice = matching(left, again, "doc_id").select(left.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(twice)
+    """The document with the smallest id of each group of near copies stays; one without an id only if no other has one."""
+    rows, row = _numbered(docs)
+    groups = stored(jaccard_join.near_copies(rows, row).filter("n_links > 0").select(row, "class_id"))
+    near = stored(matching(rows.select(row, "doc_id"), groups, row))
+    first = near.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("first"))).alias("x"))
+    gone = stored(without(near, first.select(F.col("x.first").alias(row)), row).select(row))
+    return without(rows, gone, row).drop(row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, word for word or with few edits, go."""
-    hits = stored(decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")))
-    return without(docs, hits.select("doc_id").distinct(), "doc_id")
+    rows, row = _numbered(docs)
+    hits = stored(decontaminate.find_items(rows, table(spark, sf_dir, "benchmark"), row))
+    return without(rows, hits.select(F.col("doc_id").alias(row)).distinct(), row).drop(row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

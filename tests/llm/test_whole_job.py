@@ -2,7 +2,8 @@
 
 import random
 
-from cloakframe.llm import decontaminate, jaccard_join
+from cloakframe.llm import decontaminate, jaccard_join, stages
+from cloakframe.llm.common import table
 
 DOCS = "doc_id bigint, text string"
 KINDS = ("replace", "insert", "delete", "mixed")
@@ -45,3 +46,19 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     got = jaccard_join.near_copies(spark.createDataFrame(rows, DOCS)).collect()
     want = [(7, 7, 3), (8, 7, 3), (None, 7, 3), (9, 7, 3), (4, 4, 2), (None, 4, 2), (5, 4, 2), (6, 6, 0), (6, 6, 0), (None, None, 1), (None, None, 1)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_stages_decide_about_rows_without_an_id_or_with_a_repeated_one(spark, data):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = table(spark, data, "documents").select(columns)
+    item = table(spark, data, "benchmark").first()["text"]
+    rows = lambda *x: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in x], docs.schema)
+    mine = [f"{x} " + " ".join(f"{x}{k}" for k in range(40)) for x in "pqrs"]
+    texts = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.select("doc_id", "text").collect())
+    odd = rows((None, "12 34 !"), (None, "56 78 !"), (3, "90 !"), (3, docs.first()["text"]))
+    kept = stages.keep_languages(spark, stages.stored(docs.filter("doc_id <> 3").unionByName(odd)), data)
+    assert kept.filter("text LIKE '%!' AND length(text) < 8").count() == 0 and kept.filter("doc_id = 3").count() == 1
+    copies = rows((None, mine[0]), (7, mine[0]), (8, mine[0]), (None, mine[1]), (None, mine[1]), (5, mine[2]), (5, mine[3]))
+    assert texts(stages.keep_one_of_each(spark, copies, data)) == sorted([(7, mine[0]), (0, mine[1]), (5, mine[2]), (5, mine[3])])
+    leaks = rows((None, f"{mine[0]} {item}"), (5, f"{mine[1]} {item}"), (5, mine[2]), (None, mine[2]))
+    assert texts(stages.drop_contaminated(spark, leaks, data)) == [(0, mine[2]), (5, mine[2])]
