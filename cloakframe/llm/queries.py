@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chat_format, decontaminate, jaccard_join, language_id, lm_score, mixing, quality, topk, toxicity, url_filter
+from cloakframe.llm import (
+    chat_format, decontaminate, jaccard_join, language_id, lm_score, mixing, periodic_runs, quality, topk, toxicity, url_filter,
+)
 from cloakframe.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -192,3 +194,52 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     """log10 probability of every whole text, learnt from the rows outside the held-out fold."""
     scored = lm_score.score_texts(table(spark, d, "documents"), crc_mod("doc_id", 7) == 2)
     return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- periodic runs -----------------------------------------------------------------------
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in texts of ids with crc32 % 10 = 0, the words from a place on repeat with a period."""
+    h = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), crc_mod("doc_id", 1 << 32).alias("h")).withColumn("g", F.expr("h div 10"))
+    return h.select("doc_id", F.expr("""if(h % 10 <> 0, text, element_at(transform(transform(transform(
+        array(array_remove(split(text, '[\\x20\\x09-\\x0D]+'), '')),
+        w -> named_struct('w', w, 'a', cast(if(size(w) = 0, 0, g % greatest(size(w), 1)) as int))),
+        s -> named_struct('w', s.w, 'a', s.a, 'p', cast(1 + (size(s.w) - s.a) div (3 + g % 8) as int))),
+        s -> array_join(transform(s.w, (x, i) -> if(i >= s.a, get(s.w, s.a + (i - s.a) % s.p), x)), ' ')), 1))""").alias("text"))
+
+
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''),
+    lambda c: CAST(ascii(c) AS BIGINT))), lambda y, c: list_reduce(list_prepend(xor(y, c), list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+    lambda z, k: xor(z >> 1, (z & 1) * 3988292384))))"""
+
+
+@query("op12_periodic_runs", f"""WITH d AS (SELECT doc_id, {_CRC} AS h,
+      list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  e AS (SELECT doc_id, h, w, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM d),
+  m AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i:
+      CASE WHEN i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] ELSE w[i + 1] END) ELSE w END AS w FROM e),
+  f AS (SELECT doc_id, w, unnest(range(0, n - 4)) AS i FROM m),
+  s AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS s FROM f),
+  p AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.s = b.s AND a.i < b.i),
+  z AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS z FROM p),
+  l AS (SELECT doc_id, q, min(i) AS i, count(*) + 4 AS l FROM z GROUP BY doc_id, q, z),
+  r AS (SELECT doc_id, i AS start, l + q AS length, min(q) AS period FROM l WHERE l >= 3 * q GROUP BY ALL),
+  t AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs,
+      list({{'s': start, 'l': length, 'p': period}} ORDER BY start, period) AS rs FROM r GROUP BY doc_id),
+  b AS (SELECT doc_id, n_runs, runs, list_reduce(rs, lambda x, y: CASE WHEN y.l * x.p > x.l * y.p THEN y ELSE x END) AS b FROM t),
+  o AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+  c AS (SELECT doc_id, list(i) AS gone FROM o GROUP BY doc_id)
+  SELECT m.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, b.l * 1000 // b.p AS exponent_milli,
+    sha256(coalesce(runs, '')) AS runs_sha256,
+    sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(gone, k - 1)) END, ' ')) AS collapsed_sha256
+  FROM m LEFT JOIN b ON b.doc_id = m.doc_id LEFT JOIN c ON c.doc_id = m.doc_id""")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of every document; digests of the list of runs and of the text without repeated periods."""
+    found = periodic_runs.periodic_runs(planted_runs(table(spark, d, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), periodic_runs.strongest().alias("b"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("b.length * 1000 div b.period").alias("exponent_milli"),
+             "runs_sha256", "collapsed_sha256")
