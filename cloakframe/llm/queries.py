@@ -203,7 +203,7 @@ def planted_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in texts of ids with crc32 % 10 = 0, the words from a place on repeat with a period."""
     h = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), crc_mod("doc_id", 1 << 32).alias("h")).withColumn("g", F.expr("h div 10"))
     return h.select("doc_id", F.expr("""if(h % 10 <> 0, text, element_at(transform(transform(transform(
-        array(array_remove(split(text, '[\\x20\\x09-\\x0D]+'), '')),
+        array(array_remove(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), '')),
         w -> named_struct('w', w, 'a', cast(if(size(w) = 0, 0, g % greatest(size(w), 1)) as int))),
         s -> named_struct('w', s.w, 'a', s.a, 'p', cast(1 + (size(s.w) - s.a) div (3 + g % 8) as int))),
         s -> array_join(transform(s.w, (x, i) -> if(i >= s.a, get(s.w, s.a + (i - s.a) % s.p), x)), ' ')), 1))""").alias("text"))
@@ -215,7 +215,7 @@ _CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), l
 
 
 @query("op12_periodic_runs", f"""WITH d AS (SELECT doc_id, {_CRC} AS h,
-      list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
   e AS (SELECT doc_id, h, w, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM d),
   m AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i:
       CASE WHEN i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] ELSE w[i + 1] END) ELSE w END AS w FROM e),
