@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import (
-    chat_format, decontaminate, jaccard_join, language_id, lm_score, mixing, periodic_runs, quality, topk, toxicity, url_filter,
+    chat_format, decontaminate, hard_negatives, jaccard_join, language_id, lm_score, mixing, periodic_runs, quality, topk, toxicity, url_filter,
 )
 from cloakframe.llm.common import crc_mod, table
 
@@ -104,6 +104,25 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+# --- hard negatives ----------------------------------------------------------------------
+
+
+@query("op13_hard_negatives", """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) t WHERE r <= 5),
+  n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+      row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS r
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+  SELECT anchor_id, positive_id, CAST(r AS INT) AS "rank", negative_id, positive_score, negative_score FROM n WHERE r <= 3""")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every vector whose id is divisible by 50."""
+    vectors = table(spark, d, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.mine_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 # --- URL filters -------------------------------------------------------------------------
 
 _P = "regexp_extract(rest, '^([^/?#]*)([^?#]*)', {0})"
