@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import (
-    chat_format, decontaminate, hard_negatives, jaccard_join, language_id, lm_score, mixing, periodic_runs, quality, topk, toxicity, url_filter,
+    chat_format, decontaminate, fingerprints, hard_negatives, jaccard_join, language_id, lm_score, mixing, periodic_runs, quality, topk, toxicity, url_filter,
 )
 from cloakframe.llm.common import crc_mod, table
 
@@ -262,3 +262,18 @@ def op12(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     ).select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("b.length * 1000 div b.period").alias("exponent_milli"),
              "runs_sha256", "collapsed_sha256")
+
+
+# --- fingerprints ------------------------------------------------------------------------
+
+
+@query("op11_one_permutation")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, whose last quarter is taken from the next document."""
+    rows = fingerprints.with_next(table(spark, d, "documents"))
+    rows = rows.withColumn("n", F.length("text")).withColumn("edited", F.expr("concat(left(text, n - n div 4), left(next_text, n div 4))"))
+    rows = rows.select("doc_id", F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                       "fp", "next_fp", fingerprints.fingerprint("edited").alias("edited_fp"))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text("fp").alias("fingerprint"), fingerprints.as_text("edited_fp").alias("edited_fingerprint"),
+        fingerprints.likeness("fp", "edited_fp").alias("near_edited"), fingerprints.likeness("fp", "next_fp").alias("near_next"))
