@@ -47,7 +47,7 @@ def _probe(attempt: int) -> str:
 
 def fingerprint(text: str) -> Column:
     """The packed fingerprint, an array of longs, of the text that the SQL expression ``text`` gives."""
-    words = f"array_remove(split(lower({text}), '[\\\\x20\\\\x09-\\\\x0D]+'), '')"
+    words = f"array_remove(split(lower(coalesce({text}, '')), '[\\\\x20\\\\x09-\\\\x0D]+'), '')"
     ahead = ", ".join(f"get(h, i + {k})" for k in range(1, SHINGLE))
     shingles = f"transform(slice(h, 1, greatest(size(h) - {SHINGLE - 1}, 1)), (x, i) -> xxhash64(x, {ahead}))"
     marks = f"transform(sequence({-BINS // 2}L, {BINS // 2 - 1}L), b -> shiftleft(b, {_SHIFT}) | {_TAIL}L)"
