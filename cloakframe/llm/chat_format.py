@@ -26,7 +26,7 @@ RUN = 64
 #: name -> (example record of each layout, turns). Turns are either ("list", path, role path, text path)
 #: or ("fields", ((path, role), …)).
 MAPPINGS: dict[str, tuple[tuple[str, ...], tuple]] = {
-    "row": (('{"role":"r","text":"t"}', '{"text":"t"}', '{"role":"r"}', '{"role":"r","content":"t"}'),
+    "row": (('{"role":"r","text":"t"}', '{"text":"t"}', '{"role":"r"}', '{"role":"r","content":"t"}', '{}'),
             ("one", ("role",), ("text", "content"))),
     "messages": (('{"messages":[{"role":"r","content":"t"}]}', '{"messages":[{"role":"r","text":"t"}]}'),
                  ("list", "messages", ("role",), ("content", "text"))),

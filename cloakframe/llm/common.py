@@ -5,7 +5,9 @@ Words are bytes between ASCII white space, A-Z lower-cased, unless an operator s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +26,43 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written once below the shared folder and read back; cuts lineage and survives lost executors."""
+#: The tables of the open ``passing`` blocks, outermost first.
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """The rows of ``df``, written once below the shared folder and read back; cuts lineage and survives lost executors.
+
+    Inside ``passing`` the table is deleted at the end of the block; one to be kept, at the end of the block around it, if any.
+    """
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
+    blocks = _PASSING.get()
+    if len(blocks) > keep:
+        blocks[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables stored in this block go at its end. What outlives it must be written by then, with ``keep``, and read nothing of them."""
+    paths: list[str] = []
+    before = _PASSING.set((*_PASSING.get(), paths))
+    try:
+        yield
+    finally:
+        _PASSING.reset(before)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 #: Rows of a batch on its way from the JVM to Python and back; a batch is a whole in the memory of both.
 BATCH_ROWS = 1000
 
 
-def in_batches(df: DataFrame, task, schema: str) -> DataFrame:
+def in_batches(df: DataFrame, task, schema) -> DataFrame:
     """``df.mapInArrow`` with batches small enough for long texts: the session's limit is lowered to ``BATCH_ROWS``."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
@@ -43,6 +70,20 @@ def in_batches(df: DataFrame, task, schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def keep_rows(df: DataFrame, text: str, decide: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``df`` that ``decide`` (texts -> true or false) keeps, in one pass; null texts are decided as empty ones."""
+    at = df.columns.index(text)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["n", "text"])
+            kept = [s.column("n").filter(pa.array(decide(s.column("text")))) for s in slices([own])]
+            if kept:
+                yield batch.take(pa.concat_arrays(kept))
+
+    return in_batches(df, judge, df.schema)
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of an id as text, modulo ``mod``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % mod
@@ -54,10 +95,10 @@ def unit_hash(*columns: str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def stratified(df: DataFrame, by: str, per_class: int, key: str, seed: int = 1) -> DataFrame:
-    """About ``per_class`` rows of each value of ``by``, chosen by a hash of ``key``; all rows of a class that has fewer.
+def stratified(df: DataFrame, by: str, per_class: int, *key: str, seed: int = 1) -> DataFrame:
+    """About ``per_class`` rows of each value of ``by``, chosen by a hash of the columns ``key``; all rows of a class that has fewer.
 
-    Only the number of rows of each value reaches the driver. Null classes are left out.
+    Only the number of rows of each value reaches the driver. Null classes are left out. Rows that agree in ``key`` are chosen together.
     """
     sizes = [(r[0], r[1]) for r in df.filter(F.col(by).isNotNull()).groupBy(by).count().collect()]
     if not sizes:
@@ -65,7 +106,7 @@ def stratified(df: DataFrame, by: str, per_class: int, key: str, seed: int = 1)
     share = F.lit(0.0)
     for value, n in sizes:
         share = F.when(F.col(by) == F.lit(value), F.lit(per_class / max(n, 1))).otherwise(share)
-    return df.filter(F.col(by).isNotNull() & (unit_hash(key, seed=seed) < share))
+    return df.filter(F.col(by).isNotNull() & (unit_hash(*key, seed=seed) < share))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -211,6 +211,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     """
     kind = docs.schema[key].dataType
     plain = stored(docs.select(F.monotonically_increasing_id().alias("id"), F.col(text).cast("string").alias("text"), F.col(key).cast("bigint").alias("doc")))
+    out = near_classes(plain, threshold, recall)
+    return out.select(F.col("doc").cast(kind).alias(key), F.col("class_id").cast(kind).alias("class_id"), "n_links")
+
+
+def near_classes(plain: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(id, doc, class_id, n_links) of (id, text, doc), a written table whose ``id`` numbers its rows; class_id is the smallest ``doc`` of a class."""
     levels = list(range(DEPTH, depth_for(recall, threshold) - 1, -1))
     signed = stored(forest(plain, levels))
     classes = signed.filter("c1 IS NOT NULL").groupBy("c1", "c2").agg(
@@ -230,6 +236,6 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     reps = classes.withColumnRenamed("rep", "id").join(links, "id", "left").join(named, "id", "left")
     reps = reps.select("c1", "c2", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"),
                        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("doc", "c1", "c2").join(reps, ["c1", "c2"], "left")
+    out = signed.select("id", "doc", "c1", "c2").join(reps, ["c1", "c2"], "left")
     own = F.when(F.col("c1").isNull(), F.col("doc")).otherwise(F.col("class_id"))
-    return out.select(F.col("doc").cast(kind).alias(key), own.cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return out.select("id", "doc", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -5,7 +5,8 @@ Emissions sum hashed weights of byte n-grams (those that touch a word's ends are
 are seen. Forward-backward runs over all texts of a slice at once: segments of ``SEGMENT`` words get a transfer matrix, the
 segments of a text are chained, then all segments are swept together; it is exact for any length.
 
-Fit on a bounded sample (``PER_LANGUAGE`` texts of each language); applied to every whole text.
+Fit on a bounded sample (``PER_LANGUAGE`` texts of each language, chosen by a hash of id and text); applied to every whole text. The
+share of a text's words that the training texts hold (``known``) tells texts of a learned language from others, however many languages there are.
 
 Defined results: null text or text without a letter is ``und`` with score 0; without any training row all is ``und``;
 rows with null language are not learnt from; repeated rows get equal results; an empty table gives no rows. Extra
@@ -39,6 +40,7 @@ class Crf:
     labels: list[str]
     weights: np.ndarray  # features × labels
     transitions: np.ndarray  # from × to
+    lexicon: np.ndarray  # hashes of the training texts' words, ascending
 
 
 def word_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +77,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 7)
     n = len(order) // SEQUENCE
     weights, trans = np.zeros((1 << BITS, size), np.float32), np.zeros((size, size))
     if size < 2 or not n:
-        return Crf(labels, weights, trans)
+        return Crf(labels, weights, trans, np.unique(words.hashes()))
     order = order[: n * SEQUENCE]
     code, y = words.codes[order].reshape(n, SEQUENCE), gold[order].reshape(n, SEQUENCE)
     m = len(words.distinct)
@@ -110,7 +112,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 7)
         sums, sums_t = sums * 0.9 + grad**2 * 1e6, sums_t * 0.9 + grad_t**2 * 1e2
         weights = (weights - 100.0 * grad / np.sqrt(sums)).astype(np.float32)
         trans = trans - 1.0 * grad_t / np.sqrt(sums_t)
-    return Crf(labels, weights, trans)
+    return Crf(labels, weights, trans, np.unique(words.hashes()))
 
 
 def posteriors(em: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -163,14 +165,14 @@ def posteriors(em: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndar
     return gamma[real]
 
 
-def predict_slice(texts: pa.Array, model: Crf) -> tuple[list[str], np.ndarray, list[list[dict]]]:
-    """(language, score, runs of words of one language) of each text."""
+def predict_slice(texts: pa.Array, model: Crf, with_runs: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, list[list[dict]]]:
+    """(language, score, share of known words, runs of words of one language) of each text; only words with a letter count."""
     n = len(texts)
     letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
     words = Words(texts)
-    lang, score, runs = np.full(n, "und", object), np.zeros(n), [[] for _ in range(n)]
+    lang, score, share, runs = np.full(n, "und", object), np.zeros(n), np.zeros(n), [[] for _ in range(n)]
     if not len(words.codes) or not model.labels:
-        return list(lang), score, runs
+        return list(lang), score, share, runs
     em = emissions(*word_features(words), len(words.distinct), model.weights)[words.codes]
     p = posteriors(em, words.counts, model.transitions)
     counted = pc.match_substring_regex(words.distinct, r"\p{L}").to_numpy(zero_copy_only=False)[words.codes]
@@ -180,6 +182,11 @@ def predict_slice(texts: pa.Array, model: Crf) -> tuple[list[str], np.ndarray, l
     ok = letters & (total > 0)
     lang[ok] = np.array(model.labels, object)[best[ok]]
     score[ok] = np.minimum(1.0, mass[ok, best[ok]] / total[ok])
+    h = words.hashes()
+    known = model.lexicon[np.minimum(np.searchsorted(model.lexicon, h), len(model.lexicon) - 1)] == h
+    share[ok] = (np.bincount(words.doc, weights=known[words.codes] & counted, minlength=n) / np.maximum(1, np.bincount(words.doc, weights=counted, minlength=n)))[ok]
+    if not with_runs:
+        return list(lang), score, share, runs
     label = p.argmax(1)
     start = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (words.doc[1:] != words.doc[:-1])])
     first = np.cumsum(words.counts) - words.counts
@@ -187,28 +194,28 @@ def predict_slice(texts: pa.Array, model: Crf) -> tuple[list[str], np.ndarray, l
         d = words.doc[s]
         if ok[d]:
             runs[d].append({"first": int(s - first[d]), "words": int(e - s), "lang": model.labels[label[s]]})
-    return list(lang), score, runs
+    return list(lang), score, share, runs
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Crf:
-    """Fit on about ``per_language`` rows of each language, chosen by a hash of their id."""
+    """Fit on about ``per_language`` rows of each language, chosen by a hash of id and text; rows that repeat both are learnt once."""
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
-    got = sorted((r for r in stratified(rows, "l", per_language, "k").collect()), key=lambda r: (str(r["k"]), r["t"], r["l"]))
+    got = sorted((r for r in stratified(rows, "l", per_language, "k", "t").distinct().collect()), key=lambda r: (str(r["k"]), r["t"], r["l"]))
     return fit([r["t"] for r in got], [r["l"] for r in got])
 
 
 def predict(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text", runs: bool = False) -> DataFrame:
-    """(key, lang_pred, score) of every row, and ``runs`` (first word, words, lang) where asked for."""
+    """(key, lang_pred, score, known) of every row, and ``runs`` (first word, words, lang) where asked for."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lang, score, found = predict_slice(batch.column(1), held.value)
-            cols = {key: batch.column(0), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)}
+            lang, score, known, found = predict_slice(batch.column(1), held.value, runs)
+            cols = {key: batch.column(0), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "known": pa.array(known)}
             if runs:
                 cols["runs"] = pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])))
             yield pa.RecordBatch.from_pydict(cols)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, lang_pred string, score double" + ", runs array<struct<first:int,words:int,lang:string>>" * runs
+    schema = f"`{key}` {kind}, lang_pred string, score double, known double" + ", runs array<struct<first:int,words:int,lang:string>>" * runs
     return in_batches(docs.select(F.col(key), F.col(text).cast("string").alias("text")), label, schema)

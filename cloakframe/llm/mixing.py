@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Poisson replication. Built-in functions only.
 
 Each document is written k times, k ~ Poisson(rate of its group), where rate = weight × rows out / rows of the
-group. k inverts the distribution at a number hashed from seed and id, so a rerun, another partitioning or a lost
+group. k inverts the distribution at a number hashed from seed, id and text, so a rerun, another partitioning or a lost
 executor gives the same copies. Groups are the named sources and one group for all others (null too), so the rates
 are as many as the weights plus one.
 
-Defined results: a null id hashes as an empty text (such rows share k, and are spread by their text); repeated rows share k;
+Defined results: a null id or text hashes as an empty one, so texts that share an id, or have none, are drawn one by one; rows that
+repeat both id and text share k;
 an empty table stays empty; a group without rows gives its weight to the others; weight 0 drops a group;
 extra columns stay; an input column ``copy_no`` is replaced.
 """
@@ -49,8 +50,9 @@ def thresholds(rate: float) -> list[float]:
     return out
 
 
-def unit(seed: int, key: str) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+def unit(seed: int, key: str, text: str) -> Column:
+    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), whole(key), F.lit(":"), F.md5(whole(text))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
@@ -64,10 +66,9 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
     for name, rate in rates(sizes, weights, growth).items():
         steps = F.array(*[F.lit(t) for t in thresholds(rate)])
         copies = F.when(F.col("g") == name, F.size(F.filter(steps, lambda t: t < F.col("u")))).otherwise(copies)
-    salt = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("bigint"))
     row = F.struct(*[F.col(c) for c in docs.columns if c != "copy_no"]).alias("row")
-    out = docs.select(row, F.col(key).alias("id"), salt.alias("salt"), unit(seed, key).alias("u"), group.alias("g"))
-    out = out.select("row", "id", "salt", copies.alias("k")).filter("k > 0")
-    out = out.select("row", "id", "salt", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy_no"))
-    out = out.withColumn("place", F.xxhash64(F.lit(seed), "id", "copy_no", "salt"))
+    out = docs.select(row, F.xxhash64(F.lit(seed), key, text).alias("own"), unit(seed, key, text).alias("u"), group.alias("g"))
+    out = out.select("row", "own", copies.alias("k")).filter("k > 0")
+    out = out.select("row", "own", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy_no"))
+    out = out.withColumn("place", F.xxhash64("own", "copy_no"))
     return out.repartition("place").sortWithinPartitions("place").select("row.*", "copy_no")

@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label:
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).cast("int").alias("__y"))
     chosen = stratified(known, "__y", per_class, key)
     texts = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    got = texts.join(F.broadcast(chosen), key).dropDuplicates([key]).collect()
+    got = texts.join(F.broadcast(chosen), key).groupBy(key, "__y").agg(F.min("t").alias("t")).collect()
     got.sort(key=lambda r: str(r[key]))
     return fit([r["t"] for r in got], [r["__y"] for r in got])
 

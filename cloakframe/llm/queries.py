@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 _SHARES = ", ".join(f"('{s}', {w})" for s, w in (*mixing.WEIGHTS.items(), ("*", 1 - sum(mixing.WEIGHTS.values()))))
 _NAMED = ", ".join(f"'{s}'" for s in mixing.WEIGHTS)
 MIX_SQL = f"""WITH src AS (SELECT doc_id, source, CASE WHEN source IN ({_NAMED}) THEN source ELSE '*' END AS g,
-    CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+    CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
     FROM {{docs}}),
   n AS (SELECT g, count(*) AS c FROM src GROUP BY g),
   sh AS (SELECT n.g, c, w FROM n JOIN (VALUES {_SHARES}) s(g, w) ON s.g = n.g),
@@ -79,7 +79,8 @@ _TURNS = ("SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 def op6(spark: SparkSession, d: str) -> DataFrame:
     """All conversations formatted; digests of what is read back from the formatted text and its mask."""
     known = chat_format.canonical_turns(chat_records(spark, d))
-    turns = known.select("conv_id", F.col("turn").alias("t"), F.posexplode("turns").alias("k", "x")).select(
+    whole = F.coalesce("turns", F.expr("raise_error('a record of unknown layout')"))
+    turns = known.select("conv_id", F.col("turn").alias("t"), F.posexplode(whole).alias("k", "x")).select(
         "conv_id", (F.col("t") + F.col("k")).alias("turn"), "x.role", "x.text")
     back = chat_format.read_back(chat_format.format_turns(turns))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

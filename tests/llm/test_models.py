@@ -70,7 +70,7 @@ def test_language_of_held_out_and_switched_texts(spark, data):
     assert all(0 <= r["score"] <= 1 for r in got)
     rows = {r["lang"]: r["text"] for r in docs.filter("length(text) > 500").collect()}
     mixed = " ".join(rows["en"].split()[:30] + rows["de"].split()[:30] + rows["en"].split()[30:60])
-    runs = language_id.predict_slice(pa.array([mixed]), model)[2][0]
+    runs = language_id.predict_slice(pa.array([mixed]), model, True)[3][0]
     label = [r["lang"] for r in runs for _ in range(r["words"])]
     want = ["en"] * 30 + ["de"] * 30 + ["en"] * 30
     assert sum(a == b for a, b in zip(label, want, strict=True)) >= 80

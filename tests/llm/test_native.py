@@ -141,7 +141,7 @@ def test_replication_inverts_poisson(spark):
     rates = mixing.rates(dict(sizes), weights)
     got = Counter(r["doc_id"] for r in out)
     for i, _, s, *_ in rows:
-        u = int(hashlib.md5(f"9:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        u = int(hashlib.md5(f"9:{i}:{hashlib.md5(f't{i}'.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / (1 << 52)
         assert got[i] == brute_copies(rates[s if s in weights else "*"], u)
     assert {(r["doc_id"], r["copy_no"]) for r in out} == {(i, c + 1) for i, n in got.items() for c in range(n)}
     share = Counter(r["source"] if r["source"] in weights else "*" for r in out)
