@@ -9,14 +9,12 @@ one very long document spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from cloakframe import fixed
 from cloakframe.functions.spans import grouped, let, once, running, utf16_length
+from cloakframe.operators.sweep import overlap_runs
 from cloakframe.schema import SPAN_COLUMNS, SPAN_T, label_sql, level_sql, priority_sql, rank_sql
 
 _SPANS = f"array<{SPAN_T}>"
@@ -181,22 +179,6 @@ def dedupe_spans(spans: DataFrame) -> DataFrame:
     )
 
 
-def overlap_runs(spans: DataFrame, by: Sequence[str] = ("doc_id",), out: str = "run") -> DataFrame:
-    """Name each run of chained overlapping spans by the start of its first span.
-
-    A running maximum of ``end`` in start order, in one sorted pass and without a self-join
-    that would repeat the scan behind ``spans``. Expects distinct spans: one text then has few
-    of them, since the intake limit bounds its length, and repeats were absorbed map-side.
-    """
-    order = W.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.expr("if(_reach IS NULL OR start >= _reach, start, NULL)")
-    marked = spans.withColumn("_reach", reach).withColumn("_open", opens)
-    return marked.withColumn(out, F.max("_open").over(order.rowsBetween(W.unboundedPreceding, 0))).drop(
-        "_reach", "_open"
-    )
-
-
 def merge_spans(spans: DataFrame) -> DataFrame:
     """Table form: duplicates joined, then the greedy choice inside each overlap run."""
     runs = overlap_runs(dedupe_spans(spans))

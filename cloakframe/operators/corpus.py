@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from cloakframe.functions.spans import literal_spans, q, utf16_length
 from cloakframe.operators import detect
-from cloakframe.operators.arbitrate import overlap_runs
+from cloakframe.operators.sweep import overlap_runs
 from cloakframe.operators.rules import EXACT_AND_CONTEXT
 
 # Length bands and the notice that pads long documents.

@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.operators.arbitrate import overlap_runs
-
 BLOCK = 256
 
 
@@ -56,35 +54,3 @@ def flag_overlaps(
         pairs = pairs.filter(condition)
     hits = pairs.select(*keys).distinct().withColumn(name, F.lit(True))
     return left.join(hits, keys, "left").fillna(False, [name])
-
-
-def coverage(spans: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The union of the spans of each document as disjoint intervals."""
-    distinct = spans.filter("end > start").select(*by, "start", "end").distinct()
-    runs = overlap_runs(distinct, by)
-    return runs.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
-
-
-def covered_chars(targets: DataFrame, cover: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Distinct target intervals with the number of their characters that the cover holds."""
-    spots = targets.filter("end > start").select(*by, "start", "end").distinct()
-    pairs = overlap_pairs(spots, cover, by)
-    inside = pairs.groupBy(*by, "start", "end").agg(
-        F.sum(F.expr("least(end, r_end) - greatest(start, r_start)")).cast("long").alias("covered")
-    )
-    return spots.join(inside, [*by, "start", "end"], "left").withColumn(
-        "covered", F.coalesce("covered", F.lit(0).cast("long"))
-    )
-
-
-def contained_pairs(small: DataFrame, big: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Pairs (by, s, b) of strings of one document where ``s`` is a substring of ``b``.
-
-    Candidates meet on (document, first three characters of ``s``) against the character
-    runs of ``b``: an equi-join, so unrelated strings of a document never meet. Columns
-    are named ``s`` and ``b``; both sides should be distinct.
-    """
-    runs = "flatten(transform(sequence(1, 3), n -> transform(sequence(1, length(b)), i -> substring(b, i, n))))"
-    left = small.filter("s <> ''").withColumn("_k", F.expr("substring(s, 1, 3)"))
-    right = big.filter("b <> ''").withColumn("_k", F.explode(F.expr(f"array_distinct({runs})")))
-    return left.join(right, [*by, "_k"]).filter("contains(b, s)").drop("_k")

@@ -14,6 +14,7 @@ from cloakframe import fixed
 from cloakframe.functions.spans import cut, grouped, let, once, pieces, q
 from cloakframe.operators import detect
 from cloakframe.operators.arbitrate import arbitrate, merge_array, runs_array
+from cloakframe.operators.sweep import block_numbers
 from cloakframe.schema import SPAN_T, label_sql
 
 OK, COLLISION, OVERLAP, BAD_SPAN = "ok", "token_collision", "overlap", "bad_span"
@@ -55,16 +56,13 @@ def items_array(spans: str) -> str:
 def allocate_tokens(spans: DataFrame) -> DataFrame:
     """Table form: number the distinct values of a (document, type) by their first start.
 
-    Two windows over one exchange and no self-join, which would run the plan behind
-    ``spans`` twice. The values of one document are bounded by the intake limit.
+    Values find their first start by themselves, are numbered inside blocks of positions, and blocks carry how many values the
+    earlier ones hold; so a document with very many spans spreads over tasks. The plan behind ``spans`` runs once.
     """
     first = F.min("start").over(W.partitionBy("doc_id", "type", "text"))
-    number = F.dense_rank().over(W.partitionBy("doc_id", "type").orderBy("_first", "text"))
     label = label_sql() if "label" not in spans.columns else "label"
     return (
-        spans.repartition("doc_id", "type")
-        .withColumn("_first", first)
-        .withColumn("_n", number)
+        block_numbers(spans.withColumn("_first", first), ("doc_id", "type"), "_first", ("_first", "text"), "_n")
         .withColumn("label", F.expr(label))
         .withColumn("token", F.expr(token_sql("type", "label", "text", "_n")))
         .drop("_n", "_first")

@@ -16,7 +16,8 @@ from pyspark.sql.window import Window as W
 
 from cloakframe import fixed
 from cloakframe.functions.spans import q
-from cloakframe.operators.intervals import contained_pairs, coverage, covered_chars, flag_overlaps, overlap_pairs
+from cloakframe.operators.intervals import flag_overlaps, overlap_pairs
+from cloakframe.operators.sweep import BLOCK, blocks_of, boundary_events, measured, met_compatible
 from cloakframe.schema import _map, compatible_sql, level_sql
 
 DOC = ("doc_id",)
@@ -41,26 +42,8 @@ def types_compatible(pairs: DataFrame, left: str = "left", right: str = "right")
 # --- exact matching --------------------------------------------------------------------
 
 
-def match_spans(gold: DataFrame, pred: DataFrame, by: Sequence[str] = DOC) -> DataFrame:
-    """One row per TP, FN and FP after greedy 1:1 matching of equal spans of compatible type.
-
-    Only spans with the same offsets can match, so the group that is matched in one place
-    is (text, start, end): its size is bounded by the number of types. Gold spans choose in
-    list order (``ord`` where given, then type), each the first compatible prediction left.
-    """
-    order = lambda df: F.col("ord") if "ord" in df.columns else F.lit(0)
-    redact = F.col("should_redact") if "should_redact" in gold.columns else F.lit(True)
-    sides = gold.select(
-        *by, "start", "end", F.lit(True).alias("g"), order(gold).alias("o"), "type", redact.alias("red")
-    ).unionByName(
-        pred.select(
-            *by, "start", "end", F.lit(False).alias("g"), order(pred).alias("o"), "type", F.lit(False).alias("red")
-        )
-    )
-    packed = sides.groupBy(*by, "start", "end").agg(
-        F.array_sort(F.collect_list(F.expr("if(g, struct(o, type, red), NULL)"))).alias("gold"),
-        F.array_sort(F.collect_list(F.expr("if(g, NULL, struct(o, type))"))).alias("pred"),
-    )
+def _match_fold(gold: str, pred: str) -> str:
+    """Outcomes of one (text, start, end): gold spans choose in order, each the first compatible prediction left."""
     row = "struct<outcome:string,gold_type:string,pred_type:string,should_redact:boolean>"
     pick = f"array_position(transform(a.rest, p -> {compatible_sql('p', 'x.type')}), true)"
     took = (
@@ -77,17 +60,60 @@ def match_spans(gold: DataFrame, pred: DataFrame, by: Sequence[str] = DOC) -> Da
         "transform(a.rest, p -> named_struct('outcome', 'FP', 'gold_type', cast(NULL AS string), 'pred_type', p, "
         "'should_redact', cast(NULL AS boolean)))"
     )
-    fold = (
-        f"aggregate(gold, named_struct('rest', transform(pred, p -> p.type), 'out', cast(array() AS array<{row}>)), (a, x) -> {step}, "
+    return (
+        f"aggregate({gold}, named_struct('rest', transform({pred}, p -> p.type), 'out', cast(array() AS array<{row}>)), (a, x) -> {step}, "
         f"a -> concat(a.out, {extra}))"
     )
+
+
+def _packed(gold: DataFrame, pred: DataFrame, by: Sequence[str], tag: str | None = None) -> DataFrame:
+    """Both sides of each (text, start, end) as sorted arrays; ``tag`` is a column of the predictions that is carried along.
+
+    Only spans with the same offsets can match, so this group is all that is matched in one place: its size is bounded by the
+    number of types (and of tags).
+    """
+    order = lambda df: F.col("ord") if "ord" in df.columns else F.lit(0)
+    redact = F.col("should_redact") if "should_redact" in gold.columns else F.lit(True)
+    own = F.col(tag) if tag else F.lit(0)
+    none = F.lit(None).cast(pred.schema[tag].dataType if tag else "int")
+    sides = gold.select(
+        *by, "start", "end", F.lit(True).alias("g"), order(gold).alias("o"), "type", redact.alias("red"), none.alias("tag")
+    ).unionByName(
+        pred.select(
+            *by, "start", "end", F.lit(False).alias("g"), order(pred).alias("o"), "type", F.lit(False).alias("red"), own.alias("tag")
+        )
+    )
+    return sides.groupBy(*by, "start", "end").agg(
+        F.array_sort(F.collect_list(F.expr("if(g, struct(o, type, red), NULL)"))).alias("gold"),
+        F.array_sort(F.collect_list(F.expr("if(g, NULL, struct(o, type, tag))"))).alias("pred"),
+    )
+
+
+def match_spans(gold: DataFrame, pred: DataFrame, by: Sequence[str] = DOC) -> DataFrame:
+    """One row per TP, FN and FP after greedy 1:1 matching of equal spans of compatible type.
+
+    Gold spans choose in list order (``ord`` where given, then type), each the first compatible prediction left.
+    """
+    packed = _packed(gold, pred, by)
     return (
-        packed.select(*by, "start", "end", F.explode_outer(F.expr(fold)).alias("m"))
+        packed.select(*by, "start", "end", F.explode_outer(F.expr(_match_fold("gold", "pred"))).alias("m"))
         .filter("m IS NOT NULL")
         .select(*by, "start", "end", "m.*")
     )
 
 
+def match_each(gold: DataFrame, pred: DataFrame, name: str, values: Sequence[str], by: Sequence[str] = DOC) -> DataFrame:
+    """``match_spans`` for each value of the predictions' column ``name`` against the same gold.
+
+    Gold crosses the exchange once: each (text, start, end) is matched for all values where it lies.
+    """
+    each = f"array({', '.join(q(v) for v in values)})"
+    fold = _match_fold("gold", "filter(pred, p -> p.tag = v)")
+    out = _packed(gold, pred.filter(F.col(name).isin(list(values))), by, name)
+    out = out.select(*by, "start", "end", F.explode(F.expr(f"transform({each}, v -> named_struct('v', v, 'm', {fold}))")).alias("x"))
+    return out.select(*by, "start", "end", F.col("x.v").alias(name), F.explode("x.m").alias("m")).select(*by, name, "start", "end", "m.*")
+
+
 def counts() -> list[Column]:
     return [F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("TP", "FP", "FN")]
 
@@ -138,40 +164,22 @@ def outcome_level() -> Column:
 # --- characters ---------------------------------------------------------------------------
 
 
-def _with_outside(
-    matches: DataFrame, gold: DataFrame, pred: DataFrame, by: Sequence[str], over: DataFrame | None = None
-) -> DataFrame:
-    """Add ``outside`` to misses and false hits: their characters that the other side does not cover.
-
-    Every gold span is held against predictions and every prediction against gold in one
-    interval join keyed by the kind of row. It reads the two inputs, not the matches, so the
-    matching behind those runs once.
-    """
-    keys = (*by, "_kind")
-    over = gold if over is None else over  # the gold that excuses a false hit
-    kind = lambda df, k: df.select(*by, F.lit(k).alias("_kind"), "start", "end")
-    cover = coverage(kind(pred, "FN").unionByName(kind(over, "FP")), keys)
-    inside = covered_chars(kind(gold, "FN").unionByName(kind(pred, "FP")), cover, keys)
-    marked = matches.withColumn("_kind", F.col("outcome"))
-    joined = marked.join(inside, [*keys, "start", "end"], "left")
-    return joined.withColumn("outside", F.expr("if(_kind = 'TP', 0, end - start - coalesce(covered, 0))")).drop(
-        "_kind", "covered"
-    )
+_SIDES = {"gold": "outcome <> 'FP'", "pred": "outcome <> 'FN'"}
 
 
-def _chars(outcome: str, extra: str = "true") -> Column:
-    total = F.sum(F.expr(f"if(outcome = '{outcome}' AND {extra}, outside, 0)")).cast("long")
+def _outside(outcome: str, side: str, extra: str = "true") -> Column:
+    """Characters of the outcome's spans that ``side`` does not cover, summed over boundary events."""
+    total = F.sum(F.expr(f"if(outcome = '{outcome}' AND {extra}, -_d * _at - _in_{side}, 0)")).cast("long")
     return F.coalesce(total, F.lit(0).cast("long"))
 
 
-def char_leakage(matches: DataFrame, gold: DataFrame, pred: DataFrame, by: Sequence[str] = DOC) -> DataFrame:
-    """Per text: missed gold characters under no prediction, and false characters over no gold."""
-    return (
-        _with_outside(matches, gold, pred, by)
-        .filter("outcome <> 'TP'")
-        .groupBy(*by)
-        .agg(_chars("FN").alias("leaked_chars"), _chars("FP").alias("overredacted_chars"))
-    )
+def char_leakage(matches: DataFrame, by: Sequence[str] = DOC) -> DataFrame:
+    """Per text: missed gold characters under no prediction, and false characters over no gold.
+
+    The matches hold all spans of both sides, so one sweep over their boundaries measures both.
+    """
+    swept = measured(boundary_events(matches), by, _SIDES).filter("outcome <> 'TP'")
+    return swept.groupBy(*by).agg(_outside("FN", "pred").alias("leaked_chars"), _outside("FP", "gold").alias("overredacted_chars"))
 
 
 # --- layered score ---------------------------------------------------------------------------
@@ -180,26 +188,26 @@ def char_leakage(matches: DataFrame, gold: DataFrame, pred: DataFrame, by: Seque
 def score_layered(
     gold: DataFrame, pred: DataFrame, by: Sequence[str] = DOC, slices: Sequence[str] = ()
 ) -> DataFrame:
-    """Detection, redaction and relaxed layers, summed over all texts or per slice columns of ``by``."""
-    matches = match_spans(gold, pred, by)
-    redact = gold.filter("should_redact")
-    relaxed = flag_overlaps(
-        matches.filter("outcome = 'FN'").select(*by, "start", "end", "gold_type").distinct(),
-        pred.select(*by, "start", "end", "type"),
-        "relaxed",
-        by,
-        compatible_sql("r_type", "gold_type"),
-    )
-    hits = relaxed.groupBy(*slices).agg(F.count_if("relaxed").alias("relaxed_hits"))
-    base = _with_outside(matches, gold, pred, by, redact).groupBy(*slices).agg(
-        *counts(),
-        F.count_if(F.expr("outcome = 'TP' AND gold_type = pred_type")).alias("type_correct"),
-        F.count_if(F.expr("outcome <> 'FP' AND should_redact")).alias("redact_gold"),
-        F.count_if(F.expr("outcome = 'TP' AND should_redact")).alias("redact_covered"),
-        _chars("FN", "should_redact").alias("leaked_chars"),
-        _chars("FP").alias("overredacted_chars"),
+    """Detection, redaction and relaxed layers, summed over all texts or per slice columns of ``by``.
+
+    Both sides are exchanged once to be matched and once to be swept: characters under the other side, and gold spans that
+    overlap a prediction of a compatible type, come from the same events.
+    """
+    events = measured(boundary_events(match_spans(gold, pred, by)), by, {**_SIDES, "red": "outcome <> 'FP' AND should_redact"})
+    real = "`end` > start"
+    events = met_compatible(events, by, f"outcome = 'FN' AND {real}", "gold_type", f"outcome <> 'FN' AND {real}", "pred_type")
+    spans = events.groupBy(*by, "start", "end", "outcome", "gold_type", "pred_type", "should_redact").agg(
+        (F.count("*") / (2 * F.first(F.size(blocks_of())))).cast("long").alias("n"),
+        _outside("FN", "pred", "should_redact").alias("leaked"), _outside("FP", "red").alias("over"), (F.sum("_met") > 0).alias("relaxed"))
+    sum_if = lambda condition: F.coalesce(F.sum(F.expr(f"if({condition}, n, 0)")), F.lit(0)).cast("long")
+    parts = spans.groupBy(*slices).agg(
+        *[sum_if(f"outcome = '{o}'").alias(o.lower()) for o in ("TP", "FP", "FN")],
+        sum_if("outcome = 'TP' AND gold_type = pred_type").alias("type_correct"),
+        sum_if("outcome <> 'FP' AND should_redact").alias("redact_gold"),
+        sum_if("outcome = 'TP' AND should_redact").alias("redact_covered"),
+        F.count_if("relaxed").alias("relaxed_hits"),
+        F.coalesce(F.sum("leaked"), F.lit(0)).alias("leaked_chars"), F.coalesce(F.sum("over"), F.lit(0)).alias("overredacted_chars"),
     )
-    parts = _glue(base, [hits], slices).fillna(0, ["relaxed_hits"])
     ratio = lambda a, b, empty: F.round(F.expr(f"if({b} > 0, {a} / ({b}), {empty}D)"), 6)
     return prf(parts).select(
         *slices, "tp", "fp", "fn", "precision", "recall", "f1",
@@ -262,32 +270,28 @@ def threshold_sweep(
 ) -> DataFrame:
     """Scores of one stored prediction table at several thresholds.
 
-    Matching runs once per threshold copy of the spans, keyed by (threshold, document); the
-    overlap pairs are computed once and counted for every threshold they pass.
+    Spans cross the exchange once, predictions with their scores: each (document, start, end) is matched for all thresholds where it
+    lies, and counts of all thresholds leave as one array. Overlapping pairs are found once and counted for every threshold they pass.
     """
-    by = ("threshold", "doc_id")
-    passing = at_thresholds(pred, thresholds)
-    matches = match_spans(for_thresholds(gold, thresholds), passing, by)
-    main = matches.groupBy("threshold").agg(
-        *counts(), F.count_if(F.expr("outcome = 'TP' AND gold_type = pred_type")).alias("type_correct")
-    )
-    # A redactable miss: no compatible prediction on the same span, matched 1:1 or not.
-    spots = gold.filter("should_redact").select("doc_id", "start", "end", F.col("type").alias("gold_type"))
-    best = (
-        spots.join(pred.select("doc_id", "start", "end", "type", "score"), ["doc_id", "start", "end"], "left")
-        .withColumn("_s", F.expr(f"if({compatible_sql('type', 'gold_type')}, score, NULL)"))
-        .groupBy("doc_id", "start", "end", "gold_type")
-        .agg(F.max("_s").alias("_s"))
-    )
+    cuts = "array(" + ", ".join(f"{float(t)}D" for t in thresholds) + ")"
     critical = ", ".join(q(t) for t in fixed.CRITICAL_TYPES)
-    misses = (
-        for_thresholds(best, thresholds)
-        .filter("_s IS NULL OR _s < threshold")
-        .groupBy("threshold")
-        .agg(
-            F.count("*").alias("redactable_fn"),
-            F.count_if(F.expr(f"gold_type IN ({critical})")).alias("critical_fn"),
-        )
+    fold = _match_fold("gold", "filter(pred, p -> p.tag >= t)")
+    # A redactable miss: no compatible prediction on the same span, matched 1:1 or not.
+    best = f"array_max(transform(filter(pred, p -> {compatible_sql('p.type', 'x.type')}), p -> p.tag))"
+    spots = f"transform(filter(gold, x -> x.red), x -> named_struct('type', x.type, 'best', {best}))"
+    size = lambda of, cond: f"size(filter({of}, y -> {cond}))"
+    counted = {
+        "tp": size("m", "y.outcome = 'TP'"), "fp": size("m", "y.outcome = 'FP'"), "fn": size("m", "y.outcome = 'FN'"),
+        "type_correct": size("m", "y.outcome = 'TP' AND y.gold_type = y.pred_type"),
+        "redactable_fn": size("spots", "y.best IS NULL OR y.best < t"),
+        "critical_fn": size("spots", f"(y.best IS NULL OR y.best < t) AND y.type IN ({critical})"),
+    }
+    row = "named_struct('threshold', t, " + ", ".join(f"'{k}', {v}" for k, v in counted.items()) + ")"
+    each = f"transform({cuts}, t -> element_at(transform(array({fold}), m -> {row}), 1))"
+    main = (
+        _packed(gold, pred, DOC, "score").withColumn("spots", F.expr(spots))
+        .select(F.explode(F.expr(each)).alias("x")).select("x.*")
+        .groupBy("threshold").agg(*[F.sum(c).cast("long").alias(c) for c in counted])
     )
     person = "('CN_NAME', 'PERSON')"
     mixed = (
@@ -308,16 +312,15 @@ def threshold_sweep(
     free = pii_free_docs(docs, gold)
     # A document without gold is flagged at every threshold up to its best score.
     flagged = (
-        pred.join(free, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.max("score").alias("score"))
+        pred.groupBy("doc_id").agg(F.max("score").alias("score"))
+        .join(free, "doc_id", "left_semi")
         .transform(at_thresholds, thresholds)
         .groupBy("threshold")
         .agg(F.count("*").alias("pii_free_flagged"))
     )
     total = for_thresholds(free.agg(F.count("*").alias("pii_free_total")), thresholds)
     out = total
-    for part in (main, misses, mixed, flagged):
+    for part in (main, mixed, flagged):
         out = out.join(F.broadcast(part), "threshold", "left")  # one row per threshold
     out = out.fillna(0)
     return prf(out).select(
@@ -398,27 +401,18 @@ def confusion(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def compare_models(docs: DataFrame, gold: DataFrame, pred: DataFrame, models: Sequence[str]) -> DataFrame:
     """One row per model: P, R, F1, PII-free FPR, leaked and over-redacted characters."""
-    by = ("model_id", "doc_id")
     names = F.array(*[F.lit(m) for m in models])
-    each = gold.withColumn("model_id", F.explode(names))
-    matches = match_spans(each, pred, by)
-    chars = char_leakage(matches, each, pred, by).groupBy("model_id").agg(
-        F.sum("leaked_chars").alias("leaked_chars"), F.sum("overredacted_chars").alias("overredacted_chars")
-    )
-    free = pii_free_docs(docs, gold)
-    flagged = (
-        matches.filter("outcome = 'FP'")
-        .select("model_id", "doc_id")
-        .distinct()
-        .join(free, "doc_id", "left_semi")
-        .groupBy("model_id")
-        .agg(F.count("*").alias("_flagged"))
-    )
-    base = matches.groupBy("model_id").agg(*counts())
+    swept = measured(boundary_events(match_each(gold, pred, "model_id", models)), ("model_id", "doc_id"), _SIDES)
+    once = (F.col("_d") > 0) & (F.col("_b") == F.floor(F.col("start") / BLOCK))
+    free = pii_free_docs(docs, gold).withColumn("_free", F.lit(True))
+    per_doc = swept.groupBy("model_id", "doc_id").agg(
+        *[F.count_if(once & (F.col("outcome") == o)).alias(o.lower()) for o in ("TP", "FP", "FN")],
+        _outside("FN", "pred").alias("leaked"), _outside("FP", "gold").alias("over"))
+    sums = per_doc.join(free, "doc_id", "left").groupBy("model_id").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.sum("leaked").alias("leaked_chars"), F.sum("over").alias("overredacted_chars"),
+        F.count_if(F.col("_free") & (F.col("fp") > 0)).alias("_flagged"))
     total = free.agg(F.count("*").alias("_free")).withColumn("model_id", F.explode(names))
-    out = total
-    for part in (base, chars, flagged):
-        out = out.join(F.broadcast(part), "model_id", "left")  # one row per model
+    out = total.join(F.broadcast(sums), "model_id", "left")  # one row per model
     return prf(out.fillna(0)).select(
         "model_id", "tp", "fp", "fn", "precision", "recall", "f1",
         F.round(F.expr("if(_free > 0, _flagged / _free, 0D)"), 6).alias("pii_free_fpr"),
@@ -452,18 +446,44 @@ def norm_surface(text: str) -> str:
     return f"lower(trim(regexp_replace({text}, '(?U)\\\\s+', ' ')))"
 
 
-def _surface_hits(gold_forms: DataFrame, surface_forms: DataFrame) -> DataFrame:
-    """Rows (doc_id, f, s, …) where one normal form contains the other; equal forms come twice.
+def _forms(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """One row per (document, normal form): what the gold fragments and the surfaces of this form are."""
+    rows = gold.select(
+        "doc_id", F.expr(norm_surface("text")).alias("form"), F.lit(True).alias("_g"), F.col("should_redact").alias("red"), F.length("text").alias("chars"),
+        (F.col("context_class") == "quasi_identifier").alias("quasi"), F.lit(None).cast("bigint").alias("sid"),
+    ).unionByName(surfaces.select(
+        "doc_id", F.expr(norm_surface("surface")).alias("form"), F.lit(False).alias("_g"), F.lit(None).cast("boolean").alias("red"),
+        F.lit(0).alias("chars"), F.lit(False).alias("quasi"), F.col("sid").cast("bigint").alias("sid")))
+    return rows.groupBy("doc_id", "form").agg(
+        F.count_if("_g").alias("fragments"), F.count_if("red").alias("red_n"), F.sum(F.when(F.col("red"), F.col("chars")).otherwise(0)).alias("red_chars"),
+        F.coalesce(F.bool_or("red"), F.lit(False)).alias("red"), F.coalesce(F.bool_or(~F.col("red")), F.lit(False)).alias("public"),
+        F.count_if("quasi").alias("quasi"), F.min("sid").alias("sid"), F.count("sid").alias("copies"))
 
-    Further columns of both inputs are carried along.
+
+def _containment(forms: DataFrame) -> DataFrame:
+    """``forms`` plus what each meets of the other side: ``claim`` (the first surface that contains a fragment, or is contained in it),
+    ``met_red`` and ``met_public`` (fragments that a surface contains or is contained in).
+
+    One pass for both directions: a form is short (met by its first three characters) and long (by all its runs of up to three)
+    at once, and a pair of a fragment and a surface tells both; equal forms are one row already.
     """
-    gf, sf = gold_forms, surface_forms
-    inside = contained_pairs(gf.withColumn("s", F.col("f")), sf.withColumnRenamed("s", "b"))
-    around = contained_pairs(sf, gf.withColumn("b", F.col("f")))
-    more = [c for c in (*gf.columns, *sf.columns) if c not in ("doc_id", "f", "s")]
-    return inside.select("doc_id", "f", F.col("b").alias("s"), *more).unionByName(
-        around.select("doc_id", "f", "s", *more)
-    )
+    both = forms.withColumn("_me", F.struct("red", "public", "fragments", "sid"))
+    runs = "array_distinct(flatten(transform(sequence(1, 3), n -> transform(sequence(1, length(form)), i -> substring(form, i, n)))))"
+    short = both.filter("form <> ''").select("doc_id", F.col("form").alias("s"), F.col("_me").alias("a"), F.expr("substring(form, 1, 3)").alias("_k"))
+    long = both.filter("length(form) > 1").select("doc_id", F.col("form").alias("b"), F.col("_me").alias("z"), F.explode(F.expr(runs)).alias("_k"))
+    cross = "(a.fragments > 0 AND z.sid IS NOT NULL) OR (a.sid IS NOT NULL AND z.fragments > 0)"
+    pairs = short.join(long, ["doc_id", "_k"]).filter(f"s <> b AND ({cross}) AND contains(b, s)")
+    told = pairs.select("doc_id", F.explode(F.array(F.struct(F.col("s").alias("form"), F.col("z").alias("o")), F.struct(F.col("b").alias("form"), F.col("a").alias("o")))).alias("x"))
+    heard = told.select("doc_id", "x.form", F.col("x.o.sid").alias("claim"), F.col("x.o.red").alias("met_red"), F.col("x.o.public").alias("met_public"))
+    kept = [c for c in forms.columns if c not in ("doc_id", "form")]
+    own = F.expr("form <> '' AND fragments > 0 AND sid IS NOT NULL")
+    selves = forms.select("doc_id", "form", F.struct(*kept).alias("_own"), F.when(own, F.col("sid")).alias("claim"),
+                          (own & F.col("red")).alias("met_red"), (own & F.col("public")).alias("met_public"))
+    none = F.lit(None).cast(selves.schema["_own"].dataType)
+    every = selves.unionByName(heard.withColumn("_own", none))
+    return every.groupBy("doc_id", "form").agg(
+        F.max("_own").alias("_own"), F.min("claim").alias("claim"), F.coalesce(F.bool_or("met_red"), F.lit(False)).alias("met_red"),
+        F.coalesce(F.bool_or("met_public"), F.lit(False)).alias("met_public")).select("doc_id", "form", "_own.*", "claim", "met_red", "met_public")
 
 
 def score_surfaces(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -474,38 +494,27 @@ def score_surfaces(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
     the first such surface is the one that counts for it. Every other surface is over-redaction
     if it meets a public fragment, or if it meets no fragment at all.
     """
-    g = gold.withColumn("f", F.expr(norm_surface("text")))
-    s = surfaces.withColumn("s", F.expr(norm_surface("surface")))
-    forms = g.groupBy("doc_id", "f").agg(
-        F.bool_or("should_redact").alias("red"), F.bool_or(~F.col("should_redact")).alias("public")
-    )
-    first = s.groupBy("doc_id", "s").agg(F.min("sid").alias("sid"))
-    hits = _surface_hits(forms, first)
-    # One row per redactable fragment: the list place of the surface that counts for it.
-    claimed = hits.filter("red").groupBy("doc_id", "f").agg(F.min("sid").alias("sid"))
-    per_gold = (
-        g.join(claimed.withColumn("_cov", F.lit(True)).drop("sid"), ["doc_id", "f"], "left")
-        .fillna(False, ["_cov"])
-        .groupBy("doc_id")
-        .agg(
-            F.count_if("should_redact").alias("gold"),
-            F.count_if(F.expr("should_redact AND _cov")).alias("covered"),
-            F.sum(F.expr("if(should_redact AND NOT _cov, length(text), 0)")).cast("long").alias("residual_chars"),
-            F.count_if(F.expr("context_class = 'quasi_identifier'")).alias("_quasi"),
-        )
-    )
-    met = hits.groupBy("doc_id", "s").agg(F.bool_or("red").alias("_red"), F.bool_or("public").alias("_public"))
-    judged = (
-        s.join(claimed.select("doc_id", "sid").distinct().withColumn("_used", F.lit(True)), ["doc_id", "sid"], "left")
-        .join(met, ["doc_id", "s"], "left")
-        .fillna(False, ["_used", "_red", "_public"])
-    )
-    per_surface = judged.groupBy("doc_id").agg(
-        F.count("*").alias("surfaces"),
-        F.count_if(F.expr("NOT _used AND _public")).alias("over_public"),
-        F.count_if(F.expr("NOT _used AND NOT _public AND NOT _red")).alias("over_no_gold"),
-    )
-    out = per_gold.join(per_surface, "doc_id", "full_outer").fillna(0)
+    told = _containment(_forms(gold, surfaces))
+    # A claim goes to the first surface of a form, so claims and surfaces meet on (document, sid).
+    claims = "if(red AND claim IS NOT NULL, array(named_struct('sid', claim, 'claimed', true)), array())"
+    owns = "if(sid IS NOT NULL, array(named_struct('sid', sid, 'claimed', false)), array())"
+    counted = F.when(F.col("red") & F.col("claim").isNotNull(), F.col("red_n")).otherwise(0)
+    rows = told.select(
+        "doc_id", "fragments", F.col("red_n").alias("gold"), counted.alias("covered"), (F.col("red_n") > counted).alias("_left"), "red_chars", "quasi", "copies",
+        "met_red", "met_public", F.explode_outer(F.expr(f"concat({owns}, {claims}, array(named_struct('sid', cast(NULL AS bigint), 'claimed', false)))")).alias("x"))
+    fragment = F.col("x.sid").isNull()
+    surface = F.col("x.sid").isNotNull() & ~F.col("x.claimed")
+    if_ = lambda condition, value: F.sum(F.when(condition, value).otherwise(0)).cast("long")
+    by_sid = rows.groupBy("doc_id", "x.sid").agg(
+        if_(fragment, F.col("fragments")).alias("fragments"), if_(fragment, F.col("gold")).alias("gold"), if_(fragment, F.col("covered")).alias("covered"),
+        if_(fragment & F.col("_left"), F.col("red_chars")).alias("residual"), if_(fragment, F.col("quasi")).alias("quasi"),
+        if_(surface, F.col("copies")).alias("copies"), F.bool_or("x.claimed").alias("used"),
+        F.coalesce(F.bool_or(surface & F.col("met_red")), F.lit(False)).alias("met_red"), F.coalesce(F.bool_or(surface & F.col("met_public")), F.lit(False)).alias("met_public"))
+    out = by_sid.groupBy("doc_id").agg(
+        F.sum("gold").alias("gold"), F.sum("covered").alias("covered"), F.sum("copies").alias("surfaces"),
+        F.sum(F.expr("if(met_public, copies - int(used), 0)")).cast("long").alias("over_public"),
+        F.sum(F.expr("if(NOT met_public AND NOT met_red, copies, 0)")).cast("long").alias("over_no_gold"),
+        F.sum("residual").alias("residual_chars"), F.sum("quasi").alias("_quasi"))
     ratio = lambda a, b: F.round(F.expr(f"if({b} > 0, ({a}) / {b}, 1D)"), 6)
     return out.select(
         "doc_id", "gold", "covered", "surfaces", "over_public", "over_no_gold", "residual_chars",
@@ -517,11 +526,10 @@ def score_surfaces(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
 
 def category_recall(gold: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Covered and all redactable fragments per category."""
-    g = gold.filter("should_redact").withColumn("f", F.expr(norm_surface("text")))
-    s = surfaces.select("doc_id", F.expr(norm_surface("surface")).alias("s")).distinct()
-    hit = _surface_hits(g.select("doc_id", "f").distinct(), s).select("doc_id", "f").distinct().withColumn("_cov", F.lit(True))
+    hit = _containment(_forms(gold.filter("should_redact"), surfaces)).filter("claim IS NOT NULL").select("doc_id", "form").withColumn("_cov", F.lit(True))
     return (
-        g.join(hit, ["doc_id", "f"], "left")
+        gold.filter("should_redact").withColumn("form", F.expr(norm_surface("text")))
+        .join(hit, ["doc_id", "form"], "left")
         .groupBy(F.expr(f"coalesce(element_at({_map(fixed.SURFACE_CATEGORY)}, type), 'other')").alias("category"))
         .agg(F.count_if("_cov").alias("covered"), F.count("*").alias("gold"))
     )

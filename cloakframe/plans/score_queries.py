@@ -369,7 +369,7 @@ _CHARS = """, gc AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS c FROM g), p
 )
 def leakage_query(spark, d):
     g, p = S.gold_spans(spark, d), S.pred_spans(spark, d)
-    return score.char_leakage(score.match_spans(g, p), g, p)
+    return score.char_leakage(score.match_spans(g, p))
 
 
 @query(
