@@ -223,21 +223,26 @@ def composition_gates(docs: DataFrame, spans: DataFrame, floors: dict[str, int])
     return row.select(F.explode(F.expr(f"array({items})")).alias("g")).select("g.*", F.expr("g.n >= g.floor").alias("ok"))
 
 
-def stratified_subset(docs: DataFrame, every: int = 6, always: str | None = None) -> DataFrame:
-    """Every n-th document in id order plus named hard cases, each once.
+def ranked(docs: DataFrame, order: str = "doc_id", out: str = "rank") -> DataFrame:
+    """``docs`` with their rank from 0 in the order of a column, dense over the whole table; ties in no order.
 
-    The rank is taken in two levels (inside id blocks, and over block sizes), so no single
-    task orders all ids. The sampling rule is the feature.
+    Rows are dealt to ranges of the order and numbered inside their range; a range starts where the counts of those before it end.
+    Only one count for each range is summed up in one place, so ids may be sparse or hashed.
     """
-    blocked = docs.withColumn("_b", F.expr("shiftright(doc_id, 20)"))
-    sizes = blocked.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = blocked.join(offsets, "_b").withColumn(
-        "_r", F.row_number().over(W.partitionBy("_b").orderBy("doc_id")) - 1 + F.col("_off")
-    )
-    keep = F.expr(f"_r % {every} = 0" + (f" OR ({always})" if always else ""))
-    return ranked.filter(keep).select(*docs.columns)
+    ranged = docs.repartitionByRange(F.col(order).asc_nulls_first()).sortWithinPartitions(F.col(order).asc_nulls_first())
+    # The number holds the partition above bit 33 and the row inside it below; it is fixed here, before anything is joined.
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
+    placed = placed.withColumn("_p", F.shiftright("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND((1 << 33) - 1))
+    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return placed.join(starts, F.col("_p") == F.col("_q")).withColumn(out, F.col("_off") + F.col("_i")).drop("_at", "_p", "_i", "_q", "_off")
+
+
+def stratified_subset(docs: DataFrame, every: int = 6, always: str | None = None) -> DataFrame:
+    """Every n-th document in id order plus named hard cases, each once. The sampling rule is the feature."""
+    keep = F.expr(f"_rank % {every} = 0" + (f" OR ({always})" if always else ""))
+    return ranked(docs, "doc_id", "_rank").filter(keep).select(*docs.columns)
 
 
 def secret_scan(docs: DataFrame, key: str = "source") -> DataFrame:

@@ -346,37 +346,61 @@ def negative_gate(docs: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+#: Sub-buckets of a bucket in each step of ``nearest_rank``, and the number of steps.
+SPLIT, STEPS = 4096, 3
+
+
 def nearest_rank(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Nearest-rank percentile with index round-half-even(f * (n - 1)).
 
-    Two levels: counts per bucket of nearby values (the leading bits of the number, so the
-    bucket order is the value order), then ranks only inside the buckets that hold a wanted
-    rank. No window sees more than one bucket's distinct values or one row per bucket.
+    Exact selection by refinement. A histogram over buckets of nearby values (sign, exponent and leading bits, so the bucket order is
+    the value order) tells which bucket holds a wanted rank; only its rows are split again, ``STEPS`` times into ``SPLIT``
+    equal parts between their least and greatest value. Counts are combined before they are exchanged, and rows are not
+    exchanged at all while the chosen buckets are small enough to be sent to them. What is ranked in the end are the distinct values of a
+    part too narrow for more than a few thousand doubles, whatever the table holds.
     """
     v = f"cast({value} AS double)"
     # Sign, binary exponent and 1/64 steps of the mantissa, monotone in the value.
     exp = f"if({v} = 0, -1100, floor(log2(abs({v}))))"
     step = f"floor(abs({v}) / power(2D, {exp}) * 64)"
     bucket = f"if({v} = 0, 0L, cast(sign({v}) AS bigint) * cast(({exp} + 1100) * 256 + {step} + 1 AS bigint))"
-    hist = (
-        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-        .withColumn("_b", F.expr(bucket))
-    )
-    whole = W.partitionBy(*by)
-    sizes = (
-        hist.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.filter(F.col(value).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).alias("_value"),
+                                                      F.expr(v).alias("_v"), F.expr(bucket).alias("_b"))
+    shape = [F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    whole = W.partitionBy(*keys)
+    chosen = (
+        rows.groupBy(*keys, "_b").agg(*shape)
         .withColumn("_total", F.sum("_m").over(whole))
         .withColumn("_before", F.sum("_m").over(whole.orderBy("_b")) - F.col("_m"))
         .withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-        .withColumn("_rank", F.expr("cast(bround(fraction * (_total - 1)) AS bigint) + 1"))
-        .filter("_rank > _before AND _rank <= _before + _m")
+        .withColumn("_rank", F.expr("cast(bround(fraction * (_total - 1)) AS bigint) + 1 - _before"))
+        .filter("_rank > 0 AND _rank <= _m").select(*keys, "_b", "fraction", "_rank", "_lo", "_hi")
     )
-    inside = W.partitionBy(*by, "fraction", "_b").orderBy(value)
+    for level in range(STEPS + 1):
+        on = [*keys, "_b", "fraction"] if level else [*keys, "_b"]
+        other = chosen.toDF(*[f"_r{c}" for c in chosen.columns])
+        meet = F.lit(True)
+        for c in on:
+            meet = meet & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+        rows = rows.join(other, meet).select(
+            *keys, "_value", "_v", F.col("_rfraction").alias("fraction"), F.col("_r_rank").alias("_rank"),
+            F.expr(f"if(_r_lo = _r_hi, 0L, least({SPLIT - 1}L, cast(floor((_v - _r_lo) / (_r_hi - _r_lo) * {SPLIT}) AS bigint)))").alias("_b"))
+        if level == STEPS:
+            break
+        parts = rows.groupBy(*keys, "fraction", "_rank", "_b").agg(*shape)
+        up_to = F.sum("_m").over(W.partitionBy(*keys, "fraction").orderBy("_b"))
+        chosen = (
+            parts.withColumn("_left", F.col("_rank") - up_to + F.col("_m")).filter("_left > 0 AND _left <= _m")
+            .select(*keys, "_b", "fraction", F.col("_left").alias("_rank"), "_lo", "_hi")
+        )
+    inside = W.partitionBy(*keys, "fraction").orderBy("_value")
+    named = [F.col(k).alias(b) for b, k in zip(by, keys, strict=True)]
     return (
-        hist.join(sizes, [*by, "_b"])
-        .withColumn("_hi", F.col("_before") + F.sum("_n").over(inside))
-        .filter("_hi >= _rank AND _hi - _n < _rank")
-        .select(*by, "fraction", F.col(value).alias("percentile"))
+        rows.groupBy(*keys, "fraction", "_rank", "_value").agg(F.count("*").alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(inside))
+        .filter("_upto >= _rank AND _upto - _n < _rank")
+        .select(*named, "fraction", F.col("_value").alias("percentile"))
     )
 
 
