@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cloakframe.functions.spans import literal_spans, q, utf16_length
+from cloakframe.functions.spans import let, literal_spans, q, utf16_length
 from cloakframe.operators import detect
-from cloakframe.operators.sweep import overlap_runs
 from cloakframe.operators.rules import EXACT_AND_CONTEXT
+from cloakframe.operators.sweep import overlap_runs
 
 # Length bands and the notice that pads long documents.
 BANDS = ((100, "short"), (500, "medium"), (3000, "long"), (None, "very_long"))
@@ -33,48 +33,77 @@ def annotate_fragments(docs: DataFrame, fragments: DataFrame) -> DataFrame:
     )
 
 
+#: Bits of the filter of passage keys, as a power of two, and the most keys for which it is used and its keys are broadcast (8 MB).
+FILTER_BITS, MOST_KEYS = 22, 1 << 20
+_SHORT_PIECES = "regexp_extract_all(text, '(?s).{1,256}', 0)"
+
+
+def _key_filter(keys: DataFrame) -> tuple[int, str]:
+    """(number of distinct keys ``_k``, condition on a key ``k`` that every one of them meets).
+
+    The condition reads a bitmap of fixed size; beyond ``MOST_KEYS`` keys it would let most through, and is ``true``. One job over the keys alone.
+    """
+    word = F.shiftrightunsigned("_k", 64 - FILTER_BITS + 6)
+    rows = keys.select("_k").distinct().groupBy(word.alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_k & 63 AS int))")).alias("bits"), F.count("*").alias("n")).collect()
+    n = sum(r["n"] for r in rows)
+    if not 0 < n <= MOST_KEYS:
+        return n, "true"
+    bits = dict((r["w"], r["bits"]) for r in rows)
+    flat = ",".join(str(bits.get(w, 0)) for w in range(1 << (FILTER_BITS - 6)))
+    at = f"cast(shiftrightunsigned(k, {64 - FILTER_BITS + 6}) AS int)"
+    return n, f"(get(cast(split('{flat}', ',') AS array<bigint>), {at}) & shiftleft(1L, cast(k & 63 AS int))) <> 0"
+
+
+def _met_keys(docs: DataFrame, grams: str, keys: DataFrame, n: int, condition: str) -> DataFrame:
+    """(doc_id, _k): the distinct keys of each document that some passage has. The others are dropped inside the row, or by the join right behind it."""
+    mine = docs.select("doc_id", F.explode(F.expr(f"filter({grams}, k -> {condition})")).alias("_k"))
+    wanted = keys.select("_k").distinct()
+    return mine.join(F.broadcast(wanted) if n <= MOST_KEYS else wanted, "_k", "left_semi")
+
+
+def _rarest_first(met: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
+    """(doc_id, pid, fragment): documents that hold the key of a passage which the fewest documents hold.
+
+    Frequencies are counted map-side. A passage with a key that no document holds occurs nowhere.
+    """
+    often = met.groupBy("_k").agg(F.count("*").alias("_n"))
+    seen = F.coalesce("_n", F.lit(0))
+    anchors = keyed.join(often, "_k", "left").groupBy("pid", "fragment").agg(F.min(F.struct(seen.alias("n"), F.col("_k").alias("k"))).alias("a"))
+    anchors = anchors.filter("a.n > 0").select("pid", "fragment", F.col("a.k").alias("_k"))
+    return met.join(F.broadcast(anchors) if n <= MOST_KEYS else anchors, "_k").select("doc_id", "pid", "fragment").distinct()
+
+
 def find_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """Occurrences of corpus-wide passages (pid, fragment) in documents, without comparing all pairs.
 
-    Each passage gets an anchor: its two longest neighbouring inner words, which any text that
-    holds the passage must hold as whole words too. Documents are cut into word pairs, kept
-    distinct per document, and meet the anchors in an equi-join; only then is the passage
-    searched. Passages without two inner words are looked for by their leading characters.
+    The keys of a passage are its neighbouring inner words, which any text that holds the passage must hold as whole words too. A
+    document's word pairs are held against a filter of all passages' keys before they leave the row, so no pair is exchanged that no passage
+    has. A passage then meets documents by its rarest key in these documents, so a phrase that many texts share brings
+    nothing together unless it is all there is. Passages without two inner words are met by their leading characters.
     """
     # Words split at single blanks; inner words have a blank on both sides inside the passage.
     inner = "slice(split(fragment, ' '), 2, greatest(size(split(fragment, ' ')) - 2, 0))"
-    pairs = (
-        f"transform(sequence(1, size({inner}) - 1), i -> concat(get({inner}, i - 1), ' ', get({inner}, i)))"
-    )
-    anchored = passages.withColumn(
-        "_anchor",
-        F.expr(f"if(size({inner}) >= 2, element_at(array_sort({pairs}, (l, r) -> length(r) - length(l)), 1), NULL)"),
-    )
-    keyed = anchored.filter("_anchor IS NOT NULL").select("pid", "fragment", F.xxhash64("_anchor").alias("_k"))
+    pairs = f"transform(sequence(1, size({inner}) - 1), i -> xxhash64(concat(get({inner}, i - 1), ' ', get({inner}, i))))"
+    long = F.expr(f"size({inner}) >= 2")
+    keyed = passages.filter(long).select("pid", "fragment", F.explode(F.expr(f"array_distinct({pairs})")).alias("_k"))
     words = "split(text, ' ')"
     grams = (
         f"element_at(transform(array({words}), w -> if(size(w) < 2, cast(array() AS array<bigint>), array_distinct("
         "transform(sequence(1, size(w) - 1), i -> xxhash64(concat(get(w, i - 1), ' ', get(w, i))))))), 1)"
     )
-    doc_keys = docs.select("doc_id", F.explode(F.expr(grams)).alias("_k"))
-    # Meet on the hash first, without text; fetch each text once for its candidates.
-    candidates = doc_keys.join(keyed, "_k").select("doc_id", "pid", "fragment").distinct()
-    lead = anchored.filter("_anchor IS NULL AND length(fragment) > 0")
-    starts = lead.select(F.expr("least(length(fragment), 8)").alias("_n")).distinct()
-    short = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(starts), F.expr("_n <= length(text)"))
-        .select(
-            "doc_id", "_n",
-            F.explode(
-                F.expr("array_distinct(transform(sequence(1, length(text) - _n + 1), i -> substring(text, i, _n)))")
-            ).alias("_lead"),
-        )
-        .join(lead.withColumn("_n", F.expr("least(length(fragment), 8)")).withColumn("_lead", F.expr("substring(fragment, 1, 8)")), ["_n", "_lead"])
-        .select("doc_id", "pid", "fragment")
-        .distinct()
-    )
-    found = candidates.unionByName(short).join(docs.select("doc_id", "text"), "doc_id").filter("contains(text, fragment)")
+    n, condition = _key_filter(keyed)
+    parts = [_rarest_first(_met_keys(docs, grams, keyed, n, condition), keyed, n)]
+    lead = passages.filter(~long & (F.length("fragment") > 0)).select("pid", "fragment", F.expr("xxhash64(substring(fragment, 1, 8))").alias("_k"))
+    n, condition = _key_filter(lead)
+    if n:
+        sizes = sorted(r[0] for r in lead.select(F.expr("least(length(fragment), 8)")).distinct().collect())  # 1 to 8
+        runs = ", ".join(f"transform(sequence(1, length(p) - {len_ - 1}), i -> if(i + {len_ - 1} <= length(p), xxhash64(substring(p, i, {len_})), NULL))" for len_ in sizes)
+        # A piece of the text with the first characters of the next one; runs are cut from the piece, not from the text.
+        each = f"flatten(transform(ps, (x, j) -> element_at(transform(array(concat(x, substring(coalesce(get(ps, j + 1), ''), 1, 7))), p -> if(p = '', array(), concat({runs}))), 1)))"
+        parts.append(_rarest_first(_met_keys(docs, f"array_distinct({let(_SHORT_PIECES, 'ps', each)})", lead, n, condition), lead, n))
+    candidates = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    found = candidates.join(docs.select("doc_id", "text"), "doc_id").filter("contains(text, fragment)")
     hits = found.withColumn("h", F.explode_outer(F.expr(literal_spans("text", "fragment")))).filter("h IS NOT NULL")
     return hits.select(
         "doc_id", "pid", F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("fragment").alias("text")

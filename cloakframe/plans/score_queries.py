@@ -181,11 +181,45 @@ def align_query(spark, d):
     return predictions.align_sequential(_candidates(spark, d), S.order_docs(spark, d)).select("doc_id", "seq", "start", "reason")
 
 
-# The free-placement rule is checked against brute force in the tests; this is its SQL for the
-# texts where each snippet occurs once, the others are left to the tests.
-@query("resolve_spans")
+# Six snippets per text, most of them repeated in it: without a hint, with one that spells the place, with one that only shares characters,
+# a snippet taken before, one next to it, and one that is not there.
+_SNIPPETS = (
+    ("substr(text, 5, 2)", "CAST(NULL AS string)"), ("substr(text, 41, 2)", "substr(text, 39, 6)"), ("substr(text, 21, 1)", "concat(substr(text, 30, 3), 'z')"),
+    ("substr(text, 5, 2)", "'zy'"), ("substr(text, 6, 1)", "CAST(NULL AS string)"), ("'xyz'", "'x'"),
+)
+
+
+def _placed_sql() -> str:
+    """The walk over the snippets of a text: each step carries the cursor and the places taken."""
+    rows = " UNION ALL ".join(f"SELECT doc_id, text, {k} AS seq, {t} AS t, {h} AS hint FROM d" for k, (t, h) in enumerate(_SNIPPETS))
+    window = "substr(text, CAST(greatest(p - 12, 0) + 1 AS INT), CAST(least(p, 12) + n + 12 AS INT))"
+    score = f"len(list_filter(string_split(hint, ''), lambda ch: length(ch) > 0 AND contains({window}, ch)))"
+    return f"""WITH RECURSIVE d AS ({S.DOCS_SQL}), k AS ({rows}),
+      o AS (SELECT *, length(t) AS n, list_filter(range(0, length(text) - length(t) + 1), lambda p: substr(text, p + 1, length(t)) = t) AS occ,
+              instr(text, hint) + instr(hint, t) - 2 AS direct, instr(text, hint) > 0 AND instr(hint, t) > 0 AS spelt FROM k),
+      w AS (SELECT doc_id, -1 AS seq, CAST(0 AS BIGINT) AS cur, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS taken, CAST(NULL AS BIGINT) AS spot, 0 AS n, '' AS reason FROM d
+        UNION ALL SELECT doc_id, seq, CASE WHEN spot IS NULL THEN cur ELSE spot + n END,
+            CASE WHEN spot IS NULL THEN taken ELSE list_append(taken, {{'s': spot, 'e': spot + n}}) END, spot, n,
+            CASE WHEN len(occ) = 0 THEN 'not_found' WHEN spot IS NOT NULL THEN 'ok' WHEN len(occ) = 1 THEN 'occupied'
+                 WHEN length(hint) > 0 THEN 'no_context_match' ELSE 'ambiguous' END
+          FROM (SELECT *, CASE WHEN len(occ) = 1 THEN free[1]
+                    WHEN length(hint) > 0 THEN coalesce(CASE WHEN spelt AND list_contains(free, direct) THEN direct END,
+                      CASE WHEN list_max(scores) >= 2 THEN tries[list_position(scores, list_max(scores))] END)
+                    ELSE aft[1] END AS spot
+            FROM (SELECT *, list_transform(tries, lambda p: {score}) AS scores
+              FROM (SELECT *, CASE WHEN len(aft) > 0 THEN aft ELSE free END AS tries
+                FROM (SELECT *, list_filter(free, lambda p: p >= cur) AS aft
+                  FROM (SELECT o.*, w.cur, w.taken, list_filter(occ, lambda p: len(list_filter(w.taken, lambda q: q.s < p + o.n AND p < q.e)) = 0) AS free
+                    FROM w JOIN o ON o.doc_id = w.doc_id AND o.seq = w.seq + 1) x1) x2) x3) x4) x5)
+      SELECT doc_id, CAST(seq AS INT) AS seq, CAST(spot AS INT) AS "start", CAST(spot + n AS INT) AS "end", reason FROM w WHERE seq >= 0"""
+
+
+@query("resolve_spans", _placed_sql())
 def resolve_query(spark, d):
-    return predictions.resolve_spans(_candidates(spark, d), S.order_docs(spark, d)).select("doc_id", "seq", "start", "end", "reason")
+    each = ", ".join(f"named_struct('seq', {k}, 'text', {t}, 'context_hint', {h})" for k, (t, h) in enumerate(_SNIPPETS))
+    docs = S.order_docs(spark, d)
+    snippets = docs.select("doc_id", F.explode(F.expr(f"array({each})")).alias("x")).select("doc_id", F.lit("PERSON").alias("type"), "x.*")
+    return predictions.resolve_spans(snippets, docs).select("doc_id", "seq", "start", "end", "reason")
 
 
 def _cut_sql(st: str) -> str:
@@ -790,12 +824,6 @@ def hash_query(spark, d):
     return store.content_hash(rows).select("prediction_count", "predictions_sha256")
 
 
-@query("dataset_fingerprint")
-def fingerprint_query(spark, d):
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
-    return store.dataset_fingerprint(files)
-
-
 @query("corpus_fingerprint", "SELECT digest AS fingerprint, n FROM (" + _digest_sql("SELECT * FROM documents", "doc_id", "lang", "n_chars", "source", "text") + ") x")
 def corpus_fingerprint_query(spark, d):
     return store.corpus_fingerprint(table(spark, d, "documents"))

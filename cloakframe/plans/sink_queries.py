@@ -75,3 +75,26 @@ def gold_query(spark, d):
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("en").alias("language"), "text", "entities")
     rows.write.json(f"{root}/gold")
     return gold.gold_spans(gold.read_gold(spark, f"{root}/gold", "layered")).select("doc_id", "start", "end", "type", "should_redact")
+
+
+_PART = "concat(coalesce(lang, 'none'), '-', doc_id div 1000)"
+
+
+@query(
+    "dataset_fingerprint",
+    """WITH t AS (SELECT doc_id, coalesce(lang, 'none') || '-' || (doc_id // 1000) AS name, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+      l AS (SELECT name, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM t),
+      o AS (SELECT name, sha256(line) AS h, strlen(line) + 1 AS n, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY name ORDER BY doc_id, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
+      d AS (SELECT name, n, CAST(pos AS BIGINT) // 65536 AS c, sha256(CAST(CAST(pos AS BIGINT) AS VARCHAR) || ':' || h) AS h FROM o),
+      c AS (SELECT name, c, """ + "sha256(concat_ws(':', CAST(count(*) AS VARCHAR), " + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)) + """)) AS d FROM d GROUP BY name, c),
+      f AS (SELECT name, """ + "sha256(concat_ws(':', CAST(count(*) AS VARCHAR), " + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)) + """)) AS d
+            FROM (SELECT name, sha256(c || ':' || d) AS h FROM c) x GROUP BY name),
+      z AS (SELECT sha256(concat_ws(':', name, CAST(size AS VARCHAR), d)) AS h FROM f JOIN (SELECT name, CAST(sum(n) AS BIGINT) AS size FROM d GROUP BY name) s USING (name))
+      SELECT """ + "sha256(concat_ws(':', CAST(count(*) AS VARCHAR), " + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)) + """)) AS fingerprint FROM z""",
+)
+def dataset_fingerprint_query(spark, d):
+    """The documents written as files of lines, one file for each language and thousand of ids, and fingerprinted from the files."""
+    root = scratch_dir(spark)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_PART).alias("part"), F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").option("lineSep", "\n").text(root)
+    return store.dataset_fingerprint(store.file_fingerprints(spark, root, "*.txt", "regexp_extract(path, 'part=([^/]*)', 1)", 1 << 16))

@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from cloakframe.operators.sweep import carried
 from cloakframe.schema import PREDICTION_DDL
 
 # The runtime facts that a signature covers.
@@ -183,16 +185,43 @@ def load_predictions(
     return predictions
 
 
-def dataset_fingerprint(files: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted ``path:size:sha256`` lines of a job's input files.
+#: Bytes of a file that make one chunk of its fingerprint.
+CHUNK = 1 << 26
+
+
+def _summed(rows: DataFrame, by: list[str], digest: str, out: str, more: list | None = None) -> DataFrame:
+    """For each ``by``: a hash over the number of rows and the sums of the words of their hashes; map-side sums, no list of rows."""
+    word = lambda i: F.expr(f"cast(conv(substring({digest}, {1 + 8 * i}, 8), 16, 10) AS decimal(38, 0))")
+    sums = rows.groupBy(*by).agg(F.count("*").alias("_n"), *[F.coalesce(F.sum(word(i)), F.lit(0).cast("decimal(38,0)")).alias(f"_{i}") for i in range(8)], *(more or []))
+    body = F.concat_ws(":", "_n", *[F.col(f"_{i}").cast("string") for i in range(8)])
+    return sums.withColumn(out, F.sha2(body, 256)).drop("_n", *[f"_{i}" for i in range(8)])
+
+
+def file_fingerprints(spark: SparkSession, path: str, glob: str = "*", name: str = "regexp_extract(path, '[^/]+$', 0)", chunk: int = CHUNK) -> DataFrame:
+    """(name, size, digest) of every file below ``path``, whatever its size.
 
-    ``files`` comes from ``spark.read.format("binaryFile")``. File contents are hashed where
-    they are read; only one short line per file is gathered.
+    Files are read by byte ranges, as lines of bytes that are hashed where they are read; only hashes and lengths go on. A line's offset comes from
+    the lengths before it in its range and the bytes of the ranges before. Hashes of (offset, line) are summed up to a digest of each
+    chunk, those of (chunk, digest) to one of each file: a tree whose nodes are sums, so no level is ever a list. The file's size
+    tells a last line with a line feed from one without.
     """
-    lines = files.select(
-        F.expr("concat_ws(':', regexp_extract(path, '[^/]+$', 0), length, sha2(content, 256))").alias("line")
-    )
-    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("fingerprint"))
+    read = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    lines = read.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_at"),
+        F.sha2(F.col("value").cast("binary"), 256).alias("_h"), (F.octet_length("value") + 1).cast("bigint").alias("_len"))
+    before = F.sum("_len").over(W.partitionBy("path", "_b").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    placed = carried(lines.withColumn("_in", F.coalesce(before, F.lit(0))), ("path",), F.sum("_len"), F.sum("_part"))
+    placed = placed.withColumn("_off", F.col("_in") + F.coalesce("_carry", F.lit(0)))
+    placed = placed.select("path", F.expr(f"_off div {chunk}L").alias("_c"), F.sha2(F.concat_ws(":", "_off", "_h"), 256).alias("_h"))
+    chunks = _summed(placed, ["path", "_c"], "_h", "_d").select("path", F.sha2(F.concat_ws(":", "_c", "_d"), 256).alias("_h"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    every = listed.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size")).join(_summed(chunks, ["path"], "_h", "digest"), "path", "left")
+    return every.select(F.expr(name).alias("name"), "size", F.coalesce("digest", F.lit("")).alias("digest"))
+
+
+def dataset_fingerprint(files: DataFrame) -> DataFrame:
+    """One fingerprint of all files: the root of the tree over the (name, size, digest) of ``file_fingerprints``."""
+    return _summed(files.select(F.sha2(F.concat_ws(":", "name", "size", "digest"), 256).alias("_h")), [], "_h", "fingerprint")
 
 
 def corpus_fingerprint(rows: DataFrame) -> DataFrame:
