@@ -11,13 +11,15 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.spans import q
 from cloakframe.operators import detect
-from cloakframe.operators.arbitrate import merge_spans, policy_filter, resolve_level, span_row
+from cloakframe.operators.arbitrate import arbitrate
 from cloakframe.operators.rules import Rule, built_in_rules
-from cloakframe.schema import SPAN_COLUMNS
+from cloakframe.schema import SPAN_COLUMNS, SPAN_T
 
 BUILT_IN, CHINESE_IE, GENERAL_PII, SEMANTIC = "built_in", "chinese_ie", "general_pii", "semantic_privacy"
 ENGINE = {BUILT_IN: "multilingual_rules", CHINESE_IE: "chinese_ie", GENERAL_PII: "general_pii", SEMANTIC: "semantic_privacy"}
@@ -38,37 +40,28 @@ class Detector:
     batch: Callable[[list[str]], list[list[dict]]] | None = None
 
 
-def guarded(docs: DataFrame, detector: Detector) -> DataFrame:
-    """(doc_id, span columns, warning) of a ``batch`` detector; a document that it fails on has one row with the warning only."""
+_FOUND = "struct<spans:array<struct<start:int,end:int,type:string,text:string,confidence:double>>,warning:string>"
+
+
+def guarded(detector: Detector):
+    """A column function from texts to (spans, warning) of a ``batch`` detector; a text that it fails on has no spans and a warning."""
     fields = ("start", "end", "type", "text", "confidence")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            texts = pdf["text"].tolist()
-            try:
-                found = [(spans, None) for spans in detector.batch(texts)]
-            except Exception:  # find the texts that fail
-                found = []
-                for text in texts:
-                    try:
-                        found.append((detector.batch([text])[0], None))
-                    except Exception as err:
-                        found.append(([], f"detector_failed:{detector.name}:{type(err).__name__}"))
-            for doc, (spans, warning) in zip(pdf["doc_id"], found, strict=True):
-                rows += [(doc, *(s.get(f) for f in fields), None) for s in spans]
-                if warning:
-                    rows.append((doc, *[None] * len(fields), warning))
-            yield pd.DataFrame(rows, columns=["doc_id", *fields, "warning"]).astype({"start": "Int32", "end": "Int32"})
-
-    out = docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, `start` int, `end` int, type string, text string, confidence double, warning string")
-    spans = span_row(start="start", end="end", type="type", text="text", confidence=F.coalesce("confidence", F.lit(1.0)),
-                     sources=F.array(F.lit(detector.name)), ord=F.lit(5000))
-    return out.select("doc_id", *spans, "warning")
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        listed = texts.tolist()
+        try:
+            found = [(spans, None) for spans in detector.batch(listed)]
+        except Exception:  # find the texts that fail
+            found = []
+            for text in listed:
+                try:
+                    found.append((detector.batch([text])[0], None))
+                except Exception as err:
+                    found.append(([], f"detector_failed:{detector.name}:{type(err).__name__}"))
+        return pd.DataFrame({"spans": [[{f: s.get(f) for f in fields} for s in spans] for spans, _ in found], "warning": [w for _, w in found]})
+
+    # Not to be copied by the optimizer: a plug-in runs once for each text.
+    return F.pandas_udf(run, _FOUND).asNondeterministic()
 
 
 class Registry:
@@ -137,37 +130,46 @@ class Registry:
         return run, [NOT_READY] if missing else []
 
 
-def combine_detectors(
-    docs: DataFrame, registry: Registry, slots: Sequence[str] | None = None, use_model: bool = False
-) -> tuple[DataFrame, list[str], list[str]]:
-    """Raw spans of all active detectors on the original text, with engines and warnings.
+def detected(docs: DataFrame, registry: Registry, slots: Sequence[str] | None = None, use_model: bool = False) -> DataFrame:
+    """``docs`` plus ``spans`` (raw spans of all active detectors on the original text), ``engines`` and ``warnings`` of each document.
 
-    A detector whose plan cannot be built is reported as a warning and left out. Built-in
-    spans come first in tie order.
+    One pass: a ``batch`` plug-in sees each text once and gives spans and warning together, inside the row. A plug-in that maps
+    tables is joined by document. An engine is listed for the documents it did not fail on; a plug-in whose plan cannot
+    be built costs a warning everywhere, not the job. Built-in spans come first in tie order.
     """
     plugins, warnings = registry.plan(slots, use_model)
     extraction = CHINESE_IE in registry.active_slots(slots, use_model)
-    spans = detect.explode_spans(detect.scan(docs, registry.rules, extraction=extraction))
-    engines = [ENGINE[BUILT_IN], *([ENGINE[CHINESE_IE]] if extraction else [])]
-    for d in plugins:
+    out = detect.scan(docs, registry.rules, extraction=extraction)
+    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    spans, engines, told = [F.col("spans")], [texts([ENGINE[BUILT_IN], *([ENGINE[CHINESE_IE]] if extraction else [])])], []
+    for k, d in enumerate(plugins):
+        name = q(d.name)
+        if d.batch:
+            out = out.withColumn(f"_p{k}", guarded(d)("text"))
+            made = ", ".join(f"'{c}', {v}" for c, v in {
+                **{c: f"x.{c}" for c in SPAN_COLUMNS}, "confidence": "coalesce(x.confidence, 1D)", "sources": f"array({name})", "validated": "false",
+                "privacy_level": "cast(NULL AS string)", "semantic_type": "cast(NULL AS string)", "ord": "5000"}.items())
+            spans.append(F.expr(f"cast(transform(_p{k}.spans, x -> named_struct({made})) AS array<{SPAN_T}>)"))
+            engines.append(F.expr(f"if(_p{k}.warning IS NULL, array({name}), array())"))
+            told.append(F.expr(f"if(_p{k}.warning IS NULL, array(), array(_p{k}.warning))"))
+            continue
         try:
-            found = guarded(docs, d).filter("warning IS NULL") if d.batch else d.run(docs)
-            spans = spans.unionByName(found.select("doc_id", *SPAN_COLUMNS))
+            rows = d.run(docs).select("doc_id", F.struct(*SPAN_COLUMNS).cast(SPAN_T).alias("_s"))
         except Exception as err:  # a plug-in whose plan cannot be built must not lose the documents
             warnings.append(f"detector_failed:{d.name}:{type(err).__name__}")
             continue
-        engines.append(d.name)
-    return spans, engines, warnings
+        out = out.join(rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("_s")).alias(f"_p{k}")), "doc_id", "left")
+        spans.append(F.coalesce(f"_p{k}", F.array().cast(f"array<{SPAN_T}>")))
+        engines.append(texts([d.name]))
+    kept = [c for c in docs.columns if c not in ("spans", "engines", "warnings")]
+    return out.select(*kept, F.concat(*spans).alias("spans"), F.concat(*engines).alias("engines"), F.concat(texts(warnings), *told).alias("warnings"))
 
 
-def document_warnings(docs: DataFrame, registry: Registry, slots: Sequence[str] | None = None, use_model: bool = False) -> DataFrame:
-    """(doc_id, warning): one row for each document and ``batch`` detector that failed on it."""
-    plugins, _ = registry.plan(slots, use_model)
-    out = docs.select("doc_id", F.lit(None).cast("string").alias("warning")).limit(0)
-    for d in plugins:
-        if d.batch:
-            out = out.unionByName(guarded(docs, d).filter("warning IS NOT NULL").select("doc_id", "warning"))
-    return out
+def combine_detectors(
+    docs: DataFrame, registry: Registry, slots: Sequence[str] | None = None, use_model: bool = False
+) -> DataFrame:
+    """(doc_id, span columns, engines, warnings): the table form of ``detected``, one row per raw span."""
+    return detect.explode_spans(detected(docs, registry, slots, use_model), ["doc_id", "engines", "warnings"])
 
 
 def detect_documents(
@@ -177,15 +179,5 @@ def detect_documents(
     use_model: bool = False,
     policy: str | None = None,
 ) -> DataFrame:
-    """The whole detection over tables: detectors, merge, level, policy; one row per span.
-
-    Without plug-ins everything stays in the array form and no shuffle is planned.
-    """
-    from cloakframe.operators.arbitrate import arbitrate
-
-    plugins, _ = registry.plan(slots, use_model)
-    if not plugins:
-        extraction = CHINESE_IE in registry.active_slots(slots, use_model)
-        return detect.explode_spans(arbitrate(detect.scan(docs, registry.rules, extraction=extraction), policy))
-    spans, _, _ = combine_detectors(docs, registry, slots, use_model)
-    return policy_filter(resolve_level(merge_spans(spans)), policy)
+    """The whole detection: detectors, merge, level, policy; one row per span. All in the row, unless a plug-in maps tables."""
+    return detect.explode_spans(arbitrate(detected(docs, registry, slots, use_model), policy))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cloakframe import fixed
 from cloakframe.functions.spans import q
-from cloakframe.operators import arbitrate, corpus, detect, mask, predictions, score
+from cloakframe.operators import arbitrate, corpus, detect, mask, predictions, registry, score
 
 from cloakframe.plans import shapes as S
 from cloakframe.plans.catalog import add, derived, query, table
@@ -533,11 +533,14 @@ def compare_query(spark, d):
 
 @query(
     "engine_usage",
-    "SELECT 'multilingual_rules' AS engine, count(*) AS docs FROM documents UNION ALL SELECT 'chinese_ie', count(*) FROM documents WHERE doc_id % 3 <> 0",
+    "SELECT 'multilingual_rules' AS engine, count(*) AS docs FROM documents UNION ALL SELECT 'chinese_ie', count(*) FROM documents "
+    "UNION ALL SELECT 'shaky', count(*) FROM documents WHERE length(text) % 5 <> 0",
 )
 def engines_query(spark, d):
-    docs = S.documents(spark, d).withColumn("engines", F.expr("if(doc_id % 3 = 0, array('multilingual_rules'), array('multilingual_rules', 'chinese_ie'))"))
-    return score.engine_usage(docs)
+    """The engines that detection reports for each document; one plug-in fails on some of them."""
+    from cloakframe.plans.span_queries import shaky_registry
+
+    return score.engine_usage(registry.detected(S.documents(spark, d), shaky_registry()))
 
 
 @query(

@@ -10,7 +10,7 @@ from cloakframe.plans.catalog import query
 from cloakframe.plans.span_queries import masked_docs
 from cloakframe.sources import gold, prediction_store as store, vault
 from cloakframe.sources.scratch import scratch_dir
-from cloakframe.streaming.mask_stream import mask_stream
+from cloakframe.streaming.mask_stream import manifest_of, mask_stream, published
 
 
 _QUARANTINED = "doc_id % 11 = 3"
@@ -30,7 +30,7 @@ def mask_stream_query(spark, d):
     rows = stream.select("doc_id", F.expr(f"if({_QUARANTINED}, ' ', text)").alias("text"))
     paths = [f"{root}/{name}" for name in ("masked", "vault", "quarantine")]
     mask_stream(rows, *paths, f"{root}/checkpoint").awaitTermination()
-    masked, kept, held = (spark.read.parquet(p) for p in paths)
+    masked, kept, held = (published(spark, p, manifest_of(paths[0])) for p in paths)
     return (
         masked.select("doc_id", F.lit("masked").alias("sink"), F.md5("masked").alias("content"), F.length("masked").alias("n"))
         .unionByName(kept.select("doc_id", F.lit("vault").alias("sink"), F.md5(F.concat("token", "value")).alias("content"), F.length("value").alias("n")))

@@ -101,10 +101,10 @@ _STUB_SQL = """SELECT doc_id, 0 AS s, CAST(length(split_part(text, ' ', 1)) AS I
 def combine_detectors_query(spark, d):
     reg = registry.Registry()
     reg.register(registry.Detector(registry.SEMANTIC, "stub", _stub))
-    spans, engines, _ = registry.combine_detectors(S.documents(spark, d), reg, slots=[registry.SEMANTIC])
+    spans = registry.combine_detectors(S.documents(spark, d), reg, slots=[registry.SEMANTIC])
     return spans.groupBy("type").agg(
-        F.count("*").alias("n"), F.sum("start").alias("starts")
-    ).withColumn("engines", F.lit("|".join(engines)))
+        F.count("*").alias("n"), F.sum("start").alias("starts"), F.max(F.array_join("engines", "|")).alias("engines")
+    )
 
 
 @query(
@@ -129,6 +129,12 @@ def _shaky(texts):
     return [[{"start": 0, "end": len(t.split(" ")[0]), "type": "PERSON", "text": t.split(" ")[0], "confidence": 0.7}] for t in texts]
 
 
+def shaky_registry() -> registry.Registry:
+    reg = registry.Registry()
+    reg.register(registry.Detector(registry.SEMANTIC, "shaky", batch=_shaky), enabled=True)
+    return reg
+
+
 @query(
     "detector_failing",
     f"""SELECT doc_id, CAST(CASE WHEN length(text) % 5 = 0 THEN 0 ELSE 1 END AS INT) AS spans,
@@ -136,13 +142,10 @@ def _shaky(texts):
 )
 def detector_failing_query(spark, d):
     """A plug-in that fails on some documents: those get a warning, the others their spans."""
-    reg = registry.Registry()
-    reg.register(registry.Detector(registry.SEMANTIC, "shaky", batch=_shaky), enabled=True)
-    docs = S.documents(spark, d)
-    spans, _, _ = registry.combine_detectors(docs, reg)  # by its switch: no slot is named
-    own = spans.filter("sources[0] = 'shaky'").groupBy("doc_id").agg(F.count("*").cast("int").alias("spans"))
-    failed = registry.document_warnings(docs, reg)
-    return docs.select("doc_id").join(own, "doc_id", "left").join(failed, "doc_id", "left").select("doc_id", F.coalesce("spans", F.lit(0)).alias("spans"), "warning")
+    reg = shaky_registry()
+    done = registry.detected(S.documents(spark, d), reg)  # by its switch: no slot is named
+    own = F.expr("size(filter(spans, x -> array_contains(x.sources, 'shaky')))")
+    return done.select("doc_id", own.alias("spans"), F.get("warnings", F.lit(0)).alias("warning"))
 
 
 @query("detector_switches", """SELECT * FROM (VALUES ('on', 'multilingual_rules|chinese_ie|stub'), ('off', 'multilingual_rules|chinese_ie'),
@@ -154,8 +157,8 @@ def detector_switches_query(spark, d):
         reg = registry.Registry()
         reg.register(registry.Detector(registry.SEMANTIC, "stub", _stub), enabled=on)
         reg.set_enabled(registry.CHINESE_IE, extraction)
-        _, engines, _ = registry.combine_detectors(docs, reg, slots=slots)
-        row = docs.agg(F.count("*").alias("docs")).select(F.lit(name).alias("switch"), F.lit("|".join(engines)).alias("engines"), "docs")
+        row = registry.detected(docs, reg, slots=slots).groupBy(F.array_join("engines", "|").alias("engines")).agg(F.count("*").alias("docs"))
+        row = row.select(F.lit(name).alias("switch"), "engines", "docs")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -410,6 +413,18 @@ def report_query(spark, d):
     )
 
 
+@query(
+    "report_engines",
+    """SELECT doc_id, 'multilingual_rules|chinese_ie' || CASE WHEN length(text) % 5 = 0 THEN '' ELSE '|shaky' END AS engines,
+        CASE WHEN length(text) % 5 = 0 THEN 'detector_failed:shaky:ValueError' ELSE '' END AS warnings, 'PL3' AS policy_level,
+        CAST(length(text) AS INT) AS text_length FROM documents""",
+)
+def report_engines_query(spark, d):
+    """The report of each document over all detectors, a failing plug-in among them."""
+    out = arbitrate.detection_report(registry.detected(S.documents(spark, d), shaky_registry()), "PL3")
+    return out.select("doc_id", F.array_join("engines", "|").alias("engines"), F.array_join("warnings", "|").alias("warnings"), "policy_level", "text_length")
+
+
 # --- masking ------------------------------------------------------------------------------------------
 
 

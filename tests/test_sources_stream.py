@@ -100,7 +100,8 @@ def test_registry(spark):
     reg.register(registry.Detector(registry.GENERAL_PII, "broken", broken))
     found = registry.detect_documents(docs, reg, slots=[registry.SEMANTIC, registry.GENERAL_PII])
     assert sorted((r.doc_id, r.type) for r in found.collect()) == [(1, "PERSON"), (1, "TICKET"), (2, "PERSON")]
-    _, engines, warnings = registry.combine_detectors(docs, reg, slots=[registry.SEMANTIC, registry.GENERAL_PII])
+    row = registry.detected(docs, reg, slots=[registry.SEMANTIC, registry.GENERAL_PII]).first()
+    engines, warnings = row["engines"], row["warnings"]
     assert engines[-1] == "people" and warnings[0].startswith("detector_failed:broken")
 
 
