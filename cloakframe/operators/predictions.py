@@ -201,8 +201,11 @@ def card_gate(predictions: DataFrame) -> DataFrame:
 
 
 def prediction_spans(predictions: DataFrame, source: str, first_order: int = 2000) -> DataFrame:
-    """Predictions in the span schema. Ties are ordered after all built-in detectors."""
-    text_order = F.pmod(F.xxhash64("start", "end", "type"), F.lit(1_000_000)).cast("int")
+    """Predictions in the span schema. Ties are ordered after all built-in detectors, among themselves by ``seq``, the place in
+    the detector's own list, where given, else by a hash of place and type.
+    """
+    hashed = F.pmod(F.xxhash64("start", "end", "type"), F.lit(1_000_000)).cast("int")
+    text_order = F.col("seq").cast("int") if "seq" in predictions.columns else hashed
     level = (
         F.col("privacy_level") if "privacy_level" in predictions.columns else F.lit(None).cast("string")
     )
@@ -376,10 +379,10 @@ SINGLE_CHUNK = 3500
 BUDGETS = ((1000, 256), (4000, 384), (None, 512))
 
 
-def chunk_texts(docs: DataFrame, size: int = 3000, overlap: int = 200) -> DataFrame:
+def chunk_texts(docs: DataFrame, size: int = 3000, overlap: int = 200, whole: int = SINGLE_CHUNK) -> DataFrame:
     """Overlapping chunks for long texts: (doc_id, chunk, start, end, text).
 
-    A chunk ends after the best delimiter in its last ``overlap`` characters. The fold
+    Texts of up to ``whole`` characters stay in one chunk; for a model that takes less, pass a smaller one with ``size``. A chunk ends after the best delimiter in its last ``overlap`` characters. The fold
     carries only the start offset, over as many steps as the text can need.
     """
     cuts = ", ".join(
@@ -405,8 +408,8 @@ def chunk_texts(docs: DataFrame, size: int = 3000, overlap: int = 200) -> DataFr
         f"aggregate({steps}, named_struct('start', 0, 'done', false, 'out', cast(array() AS {kind})), "
         f"(a, i) -> {step}, a -> a.out)"
     )
-    whole = "array(named_struct('start', 0, 'end', length(text), 'text', text))"
-    chunks = f"if(length(text) <= {SINGLE_CHUNK}, cast({whole} AS {kind}), {walk})"
+    one = "array(named_struct('start', 0, 'end', length(text), 'text', text))"
+    chunks = f"if(length(text) <= {whole}, cast({one} AS {kind}), {walk})"
     return (
         docs.filter("length(text) > 0")
         .select("doc_id", F.posexplode(F.expr(chunks)).alias("chunk", "c"))

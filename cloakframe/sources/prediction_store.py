@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cloakframe.operators.sweep import carried
-from cloakframe.schema import PREDICTION_DDL
 
 # The runtime facts that a signature covers.
 RUNTIME_KEYS = (
@@ -123,7 +122,7 @@ def save_predictions(predictions: DataFrame, key: StoreKey, root: str, allowed:
     target = f"{root}/predictions/" + "/".join(f"{k}={v}" for k, v in path.items())
     out.write.mode("overwrite").parquet(target)
     # The hash is taken from what was written, not from a second run of the input plan.
-    stored = spark.read.schema(PREDICTION_DDL).parquet(target)
+    stored = spark.read.schema(out.schema).parquet(target)
     row = manifest.join(F.broadcast(content_hash(stored).withColumn("_k", F.lit(0))), F.expr("_k = 0")).drop("_k")
     row = row.withColumn("saved_at", F.current_timestamp())
     row.select(*[c.strip().split(" ")[0] for c in MANIFEST_DDL.replace("MAP<STRING, STRING>", "MAP").split(",")]).write.mode(
@@ -132,10 +131,12 @@ def save_predictions(predictions: DataFrame, key: StoreKey, root: str, allowed:
     return signature
 
 
-def _read_or_none(spark: SparkSession, path: str, ddl: str) -> DataFrame | None:
+def _read_or_none(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame | None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.schema(ddl).parquet(path) if fs.exists(hadoop) else None
+    if not fs.exists(hadoop):
+        return None
+    return (spark.read.schema(ddl) if ddl else spark.read).parquet(path)
 
 
 def load_predictions(
@@ -159,7 +160,7 @@ def load_predictions(
         if not found:
             raise FileNotFoundError(f"{root}/predictions/{base}")
         wanted = found[0]
-    predictions = _read_or_none(spark, f"{root}/predictions/{base}/signature={wanted}", PREDICTION_DDL)
+    predictions = _read_or_none(spark, f"{root}/predictions/{base}/signature={wanted}")  # document keys keep the type they were stored with
     if predictions is None:
         raise FileNotFoundError(f"{root}/predictions/{base}/signature={wanted}")
     manifest = _read_or_none(spark, f"{root}/manifest/{base}/signature={wanted}", MANIFEST_DDL)
