@@ -347,7 +347,7 @@ def negative_gate(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 #: Sub-buckets of a bucket in each step of ``nearest_rank``, and the number of steps.
-SPLIT, STEPS = 4096, 3
+SPLIT, STEPS = 65536, 2
 
 
 def nearest_rank(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -357,7 +357,7 @@ def nearest_rank(df: DataFrame, value: str, fractions: Sequence[float], by: Sequ
     the value order) tells which bucket holds a wanted rank; only its rows are split again, ``STEPS`` times into ``SPLIT``
     equal parts between their least and greatest value. Counts are combined before they are exchanged, and rows are not
     exchanged at all while the chosen buckets are small enough to be sent to them. What is ranked in the end are the distinct values of a
-    part too narrow for more than a few thousand doubles, whatever the table holds.
+    part too narrow for more than some ten thousand doubles, whatever the table holds.
     """
     v = f"cast({value} AS double)"
     # Sign, binary exponent and 1/64 steps of the mantissa, monotone in the value.
@@ -488,15 +488,18 @@ def _containment(forms: DataFrame) -> DataFrame:
     """``forms`` plus what each meets of the other side: ``claim`` (the first surface that contains a fragment, or is contained in it),
     ``met_red`` and ``met_public`` (fragments that a surface contains or is contained in).
 
-    One pass for both directions: a form is short (met by its first three characters) and long (by all its runs of up to three)
-    at once, and a pair of a fragment and a surface tells both; equal forms are one row already.
+    One pass for both directions: a form is short (met by its first three characters, or its first if it has no three) and long (by all
+    its runs of three, and its characters) at once. Keys name the side of the short form, so fragments meet surfaces
+    only, and a pair tells both; equal forms are one row already.
     """
     both = forms.withColumn("_me", F.struct("red", "public", "fragments", "sid"))
-    runs = "array_distinct(flatten(transform(sequence(1, 3), n -> transform(sequence(1, length(form)), i -> substring(form, i, n)))))"
-    short = both.filter("form <> ''").select("doc_id", F.col("form").alias("s"), F.col("_me").alias("a"), F.expr("substring(form, 1, 3)").alias("_k"))
-    long = both.filter("length(form) > 1").select("doc_id", F.col("form").alias("b"), F.col("_me").alias("z"), F.explode(F.expr(runs)).alias("_k"))
-    cross = "(a.fragments > 0 AND z.sid IS NOT NULL) OR (a.sid IS NOT NULL AND z.fragments > 0)"
-    pairs = short.join(long, ["doc_id", "_k"]).filter(f"s <> b AND ({cross}) AND contains(b, s)")
+    sides = lambda g, s: f"array_compact(array(if(fragments > 0, '{g}', NULL), if(sid IS NOT NULL, '{s}', NULL)))"
+    head = "if(length(form) > 2, substring(form, 1, 3), substring(form, 1, 1))"
+    runs = "array_distinct(concat(transform(sequence(1, length(form)), i -> substring(form, i, 3)), split(form, '')))"
+    keys = lambda names, of: f"flatten(transform({names}, n -> transform({of}, r -> xxhash64(n, r))))"
+    short = both.filter("form <> ''").select("doc_id", F.col("form").alias("s"), F.col("_me").alias("a"), F.explode(F.expr(keys(sides("g", "s"), f"array({head})"))).alias("_k"))
+    long = both.filter("length(form) > 1").select("doc_id", F.col("form").alias("b"), F.col("_me").alias("z"), F.explode(F.expr(keys(sides("s", "g"), runs))).alias("_k"))
+    pairs = short.join(long, ["doc_id", "_k"]).filter("s <> b AND contains(b, s)")
     told = pairs.select("doc_id", F.explode(F.array(F.struct(F.col("s").alias("form"), F.col("z").alias("o")), F.struct(F.col("b").alias("form"), F.col("a").alias("o")))).alias("x"))
     heard = told.select("doc_id", "x.form", F.col("x.o.sid").alias("claim"), F.col("x.o.red").alias("met_red"), F.col("x.o.public").alias("met_public"))
     kept = [c for c in forms.columns if c not in ("doc_id", "form")]

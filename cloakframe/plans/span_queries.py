@@ -12,6 +12,7 @@ from cloakframe.operators.rules import Rule
 from cloakframe.plans import shapes as S
 from cloakframe.plans.catalog import DUCK_LUHN, add, derived, query, table
 from cloakframe.schema import compatible_pairs, compatible_sql, dim_entity_type
+from cloakframe.sources.scratch import scratch_dir
 from cloakframe.sources.texts import intake_guard, scan_texts
 
 SPAN_OUT = ("doc_id", "start", "end", "type", "text", "confidence", "validated")
@@ -508,7 +509,11 @@ _REPLY_SQL = "CASE WHEN doc_id % 3 = 0 THEN masked || masked ELSE substr(masked,
         FROM reply r LEFT JOIN hit USING (doc_id) GROUP BY r.doc_id""",
 )
 def restore_query(spark, d):
+    """Replies restored from a stored vault: masking ran before, once."""
     docs = masked_docs(spark, d).select("doc_id", "text", "masked", "vault")
+    place = scratch_dir(spark)
+    docs.write.parquet(place)
+    docs = spark.read.schema(docs.schema).parquet(place)
     replies = docs.select("doc_id", "text", F.expr(_REPLY_SQL).alias("reply"))
     out = mask.restore(replies, mask.build_vault(docs))
     whole = F.expr("if(doc_id % 3 = 0, restored = concat(text, text, ' ⟦姓名_99_0000⟧'), NULL)")
