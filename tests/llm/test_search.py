@@ -19,8 +19,8 @@ def docs_of(spark, texts):
 def brute_top(vectors, queries, k):
     out = set()
     for q, v in queries:
-        s = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors if i != q and len(w) == len(v)))[:k]
-        out |= {(q, r + 1, i, -n) for r, (n, i) in enumerate(s)}
+        s = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i or 0) for i, w in vectors if i != q and len(w) == len(v)))[:k]
+        out |= {(q, r + 1, None if none else i, -n) for r, (n, none, i) in enumerate(s)}
     return out
 
 
@@ -31,8 +31,8 @@ def test_top_k_with_ties_nulls_and_a_hot_vector(spark):
     rows += [(2000, None), (2050, [1.0, None, 0.0, 0.0, 0.0]), (2100, [float("nan")] * 5), (2150, [float("inf")] * 5), (2200, [1.0, 2.0]), (2250, []), (None, [1.0] * 5)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit("clash"))
     got = {tuple(r) for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect()}
-    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    assert got == brute_top(ints, [(i, v) for i, v in ints if i % 50 == 0], 5)
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    assert got == brute_top(ints, [(i, v) for i, v in ints if i is not None and i % 50 == 0], 5)
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
     assert topk.top_k(df, df.limit(0), 5).count() == 0
 
@@ -205,3 +205,28 @@ def test_passages_are_found_with_edits(spark):
     assert len(set(got) & set(truth)) >= 0.9 * len(truth)
     assert decontaminate.find_items(docs_of(spark, []), table).count() == 0
     assert decontaminate.find_items(docs_of(spark, rows), table.limit(0)).count() == 0
+
+
+def test_top_k_of_like_vectors_in_many_runs(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("TILE_BLOCKS", 4), ("TILE_QUERIES", 5)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(7)
+    middle = rng.normal(0, 1, (9, 12))
+    rows = [(i, [float(x) for x in middle[i % 9] + rng.normal(0, 0.05, 12)]) for i in range(900)] + [(None, [0.4] * 12), (50, [0.2] * 12)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect()]
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    assert len(got) == 5 * 19 and set(got) == brute_top(ints, [(i, v) for i, v in ints if i is not None and i % 50 == 0], 5)  # id 50 is two queries
+
+
+def test_share_of_scored_pairs_on_like_vectors(spark):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(0, 1, (40, 32))
+    m = np.floor(256 * (middle[rng.integers(40, size=4000)] + rng.normal(0, 0.1, (4000, 32)))).astype(np.int64)
+    near = topk.nearest_centre(m.astype(float), 256 * middle)
+    order = np.argsort(near, kind="stable")
+    blocks = [m[order[k : k + 32]] for k in range(0, 4000, 32)]
+    top, low = np.array([b.max(0) for b in blocks]), np.array([b.min(0) for b in blocks])
+    q = m[::50]
+    kth = np.sort(q @ m.T, 1)[:, -6]
+    assert (topk.bounds(q, top.astype(float), low.astype(float)) >= kth[:, None]).mean() < 0.5
