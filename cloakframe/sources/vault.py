@@ -1,8 +1,8 @@
 """Encrypted export and import of the vault table.
 
-One key per export is derived on the driver from a password. It reaches the tasks in the
-closure of a small Arrow function that returns it as a column, so it shows neither in
-plans nor in the UI; encryption itself is Spark's AES-GCM with a random IV per row.
+One key per export is derived on the driver from a password. It reaches the tasks as the one row of a
+broadcast table, so it shows neither in plans nor in the UI and no row passes through Python;
+encryption itself is Spark's AES-GCM with a random IV per row.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ import base64
 import hashlib
 import os
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Container format.
@@ -31,12 +30,10 @@ def derive_key(password: str, salt: bytes, iterations: int = ITERATIONS) -> byte
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, iterations, 32)
 
 
-def _key_column(key: bytes, over: Column) -> Column:
-    @F.pandas_udf("binary")
-    def key_of(rows: pd.Series) -> pd.Series:
-        return pd.Series([key] * len(rows))
-
-    return key_of(over)
+def _keyed(rows: DataFrame, key: bytes) -> DataFrame:
+    """``rows`` with the key as ``_key``, from a table of one row that is broadcast: as data it shows in no plan, as a literal it would."""
+    one = rows.sparkSession.createDataFrame([(0, bytearray(key))], "_one int, _key binary")
+    return rows.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").drop("_one")
 
 
 def encrypt_vault(vault: DataFrame, password: str, *, aad: str = AAD) -> DataFrame:
@@ -53,7 +50,7 @@ def encrypt_vault(vault: DataFrame, password: str, *, aad: str = AAD) -> DataFra
         F.lit(base64.b64encode(salt).decode()).alias("salt"),
     )
     sealed = F.aes_encrypt("_plain", "_key", F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), F.lit(aad))
-    return packed.withColumn("_key", _key_column(key, F.col("doc_id"))).select(
+    return _keyed(packed, key).select(
         "doc_id", F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), kdf.alias("kdf"),
         F.lit("AES-256-GCM").alias("cipher"), sealed.alias("data"),
     )
@@ -73,7 +70,7 @@ def decrypt_vault(
     kdf = heads[0]["kdf"]
     key = derive_key(password, base64.b64decode(kdf["salt"]), kdf["iterations"])
     opened = F.try_aes_decrypt("data", "_key", F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad)).cast("string")
-    entries = container.withColumn("_key", _key_column(key, F.col("doc_id"))).select(
+    entries = _keyed(container, key).select(
         "doc_id", F.from_json(opened, f"array<{_ENTRY}>").alias("e")
     )
     checked = F.when(F.col("e").isNull(), F.raise_error(F.lit("vault cannot be opened"))).otherwise(F.col("e"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators import corpus, mask, registry, score
 from cloakframe.operators.rules import built_in_rules
-from cloakframe.sources import prediction_store as store
+from cloakframe.sources import prediction_store as store, vault
 from cloakframe.streaming import mask_stream as ms
 
 
@@ -154,3 +154,15 @@ def test_ranks_of_hashed_ids(spark):
     got = {r.doc_id: r["rank"] for r in corpus.ranked(df).collect()}
     assert got == {i: k for k, i in enumerate(sorted(got))} and len(got) == 5000
     assert corpus.stratified_subset(df, 6).count() == 834 and corpus.ranked(df.limit(0)).count() == 0
+
+
+def test_the_vault_key_shows_in_no_plan(spark, monkeypatch):
+    key = b"K" * 32
+    monkeypatch.setattr(vault, "derive_key", lambda *a, **k: key)
+    rows = spark.createDataFrame([(1, "t", "v", "EMAIL", "mail")], "doc_id bigint, token string, value string, type string, label string")
+    sealed = vault.encrypt_vault(rows, "a long pass phrase")
+    opened = vault.decrypt_vault(sealed, "a long pass phrase")
+    for df in (sealed, opened):
+        text = df._jdf.queryExecution().toString()
+        assert not any(x in text for x in ("KKKK", "4B4B", "4b4b", "75, 75", "Python", "Arrow"))
+    assert [tuple(r) for r in opened.collect()] == [(1, "t", "v", "EMAIL", "mail")]
