@@ -189,3 +189,67 @@ def test_language_model_of_odd_texts(spark):
     got = lm_score.score_texts(odd(spark), F.coalesce(F.col("doc_id") > 4, F.lit(True))).collect()
     assert len(got) == 2 * len(ODD) + 1 and all(math.isfinite(r["score"]) for r in got)
     assert lm_score.score_texts(odd(spark).limit(0), F.lit(False)).count() == 0
+
+
+def test_quality_equals_a_plain_convolution():
+    rng = np.random.default_rng(5)
+    net = quality.ConvNet(rng.normal(0, 0.5, (256, quality.DIM)), rng.normal(0, 0.3, (quality.WIDTH * quality.DIM, quality.FILTERS)),
+                          rng.normal(0, 0.2, quality.FILTERS), rng.normal(0, 0.4, quality.FILTERS), 0.3)
+    texts = ["", "short", "é" * 300, " ".join(f"word{k}" for k in range(400))]
+    got = quality.scores(net, *string_bytes(pa.array(texts)))
+    for text, score in zip(texts, got, strict=True):
+        data, means, at = text.encode(), [], 0
+        while True:  # chunks of 512 bytes that overlap by 64, up to the end of the text
+            chunk = data[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            best = [-math.inf] * quality.FILTERS
+            for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                x = np.concatenate([net.vectors[b] for b in chunk[p : p + quality.WIDTH]])
+                best = [max(b, float(x @ net.filters[:, f])) for f, b in enumerate(best)]
+            means.append(sum(max(0.0, b + c) * w for b, c, w in zip(best, net.bias, net.out, strict=True)))
+            if at + quality.CHUNK >= len(data):
+                break
+            at += quality.CHUNK - quality.OVERLAP
+        assert math.isclose(score, 1 / (1 + math.exp(-(sum(means) / len(means) + net.base))), rel_tol=1e-4)
+
+
+def test_grades_equal_plain_sums():
+    rng = np.random.default_rng(6)
+    texts = ["you absolute fool, fool!", "", "a fine day", "fools foolish (fool)", "nothing here at all"]
+    every = Words(pa.array(texts))
+    features = np.unique(toxicity.word_features(every))
+    features = features[features >= 0]
+    model = toxicity.Ordinal(features, rng.normal(0, 1, len(features)), np.array([-0.5, 0.4, 2.0]))
+    got = toxicity.grades_of(model, pa.array(texts))
+    weight = dict(zip(features.tolist(), model.weights.tolist(), strict=True))
+    for text, row in zip(texts, got, strict=True):
+        held = set()
+        for w in text.lower().split():
+            one = Words(pa.array([w]))
+            held |= {int(f) for f in toxicity.word_features(one).ravel() if f >= 0}
+        s = sum(weight[f] for f in held)
+        assert np.allclose(row, [1 / (1 + math.exp(-(s - t))) for t in model.thresholds])
+
+
+def test_language_model_score_equals_plain_sums(spark):
+    texts = ["the cat sat on the mat", "the dog", "", "a cat and a dog and the mat the cat", "unseen zebra the"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    learnt = docs.filter("doc_id < 4")
+    vocab = lm_score.vocabulary(learnt.select("text")).cache()
+    known = lm_score.gather(vocab)
+    flat = lm_score.train(learnt, known, rounds=1)
+    got = {r["doc_id"]: r for r in lm_score.score(docs, vocab, known, flat).collect()}
+    count = {r["word"]: r["c"] for r in vocab.collect()}
+    r, mats, q, b = lm_score.unpack(flat)[:4]
+    place = {w: k for k, w in enumerate(known.frequent.to_pylist())}
+    for i, t in enumerate(texts):
+        total, before = 0.0, [0] * lm_score.CONTEXT
+        for w in [*t.split(), lm_score.END]:
+            k = place.get(w, lm_score.HEAD)
+            k = k if k < lm_score.HEAD else lm_score.HEAD + zlib.crc32(w[-2:].encode()) % lm_score.TAIL
+            v = np.concatenate([r[c] for c in before]) @ mats
+            s = q @ v + b
+            total += (s[k] - np.log(np.exp(s).sum())) / math.log(10)
+            if k >= lm_score.HEAD:
+                total += math.log10((count.get(w, 0) + 1) / (known.class_tokens[k] + known.class_words[k] + 1))
+            before = [k, *before[:-1]]
+        assert math.isclose(got[i]["score"], total, rel_tol=1e-4), (t, got[i]["score"], total)
