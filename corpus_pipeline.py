@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakframe.llm import stages
+from cloakframe.llm.common import passing, stored
 
 STAGES = [
     ("language_id", stages.keep_languages),
@@ -16,13 +17,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
+    """All stages over ``documents``; each result is written as Parquet and read again, and what its stage wrote beside it is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stages.stored(docs)
-    return docs
+    *most, (_, last) = STAGES
+    for _, stage in most:
+        with passing(spark):
+            docs = stored(stage(spark, docs, sf_dir), keep=True)
+    return last(spark, docs, sf_dir)
 
 
 #: Models and similarity search are no SQL; tests compare the stages with brute force.
