@@ -32,8 +32,8 @@ PROBES = 16
 _SHIFT = 64 - (BINS - 1).bit_length()
 _TAIL = (1 << _SHIFT) - 1
 _PRIME = (1 << 31) - 1
-#: Rows between two bounds of ``with_next``, and the most bounds that reach the driver.
-RANGE_ROWS, MOST_BOUNDS = 2048, 32768
+#: Bytes of text between two bounds of ``with_next``, and the most bounds (besides one for each partition) that reach the driver.
+RANGE_BYTES, MOST_BOUNDS = 8 << 20, 32768
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -81,16 +81,19 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _bounds(rows: DataFrame) -> tuple[list[tuple], list[int]]:
-    """Keys that cut ``rows`` (none, id, h) into ranges of about as many rows, ascending from the least key; and how many ranges each starts.
+    """Keys that cut ``rows`` (none, id, h, text) into ranges of about as many bytes, ascending from the least key; and how many ranges each starts.
 
-    The keys alone are sorted into ranges of partitions, and every n-th of a partition is a bound: at most ``MOST_BOUNDS`` and one for
-    each partition.
+    The keys and lengths alone are sorted into ranges of partitions; where the bytes of a partition pass a multiple of the
+    step, there is a bound.
     """
     order = ["none", "id", "h"]
-    ranged = rows.select(*order).repartitionByRange(F.desc("none"), "id", "h").sortWithinPartitions(F.desc("none"), "id", "h")
-    placed = stored(ranged.withColumn("at", F.monotonically_increasing_id()))
-    step = max(RANGE_ROWS, -(-placed.count() // MOST_BOUNDS))
-    found = placed.filter(F.col("at").bitwiseAND((1 << 33) - 1) % step == 0).select(*order).collect()
+    ranged = rows.select(*order, (F.octet_length("text") + 64).cast("bigint").alias("n")).repartitionByRange(F.desc("none"), "id", "h")
+    ranged = ranged.sortWithinPartitions(F.desc("none"), "id", "h").withColumn("at", F.monotonically_increasing_id())
+    placed = stored(ranged.withColumn("p", F.shiftright("at", 33)))
+    step = max(RANGE_BYTES, -(-(placed.agg(F.sum("n")).first()[0] or 0) // MOST_BOUNDS))
+    so_far = F.sum("n").over(Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    cut = placed.withColumn("b", so_far).filter(F.col("b").isNull() | (F.floor(F.col("b") / step) < F.floor((F.col("b") + F.col("n")) / step)))
+    found = cut.select(*order).collect()
     keys, times = [], []
     for key in sorted((not r["none"], r["id"], r["h"]) for r in found):
         if keys and keys[-1] == key:

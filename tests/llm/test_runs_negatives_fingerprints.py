@@ -176,8 +176,8 @@ def test_every_row_meets_the_next_one(spark, monkeypatch):
     rows = [(rng.randrange(-500, 500) * 10**12, f"text {k}") for k in range(400)]
     rows += [(7, "copy")] * 300 + [(None, f"no id {k}") for k in range(50)] + [(None, None), (5, None), (6, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).withColumn("range", F.lit("clash")).withColumn("fp", F.lit(1))
-    for step in (2048, 20):
-        monkeypatch.setattr(fingerprints, "RANGE_ROWS", step)
+    for step in (8 << 20, 1400):
+        monkeypatch.setattr(fingerprints, "RANGE_BYTES", step)
         got = fingerprints.with_next(df).collect()
         assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t or "") for i, t in rows)
         after = {}
@@ -195,7 +195,7 @@ def test_every_row_meets_the_next_one(spark, monkeypatch):
 
 
 def test_fingerprint_query(spark, data, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 16)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 20_000)
     rows = sorted(((r["doc_id"], r["text"] or "") for r in queries.table(spark, data, "documents").collect()))
     got = {r["doc_id"]: r for r in queries.op11(spark, data).collect()}
     off = []
