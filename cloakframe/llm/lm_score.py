@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm.common import Words, in_batches, slices, stored
 
-HEAD, TAIL = 128, 128
+HEAD, TAIL = 384, 128
 CLASSES = HEAD + TAIL
 DIM, CONTEXT = 16, 3
 ROUNDS, BATCH, NOISE, RATIO, RATE = 4, 1024, 64, 24.0, 0.1
 FREQUENT = 1 << 17
+#: Tasks that sum up the partitions' parameters.
+GROUPS = 16
 #: The end of a text; no word holds a line feed.
 END = "\n"
 
@@ -145,6 +147,17 @@ def nce_step(params: list[np.ndarray], ctx: np.ndarray, y: np.ndarray, noise: np
         p -= RATE * d / np.sqrt(s)
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (sum of weights, weighted sum of parameters) of a task's rows."""
+    total, weight = None, 0.0
+    for batch in batches:
+        for w, p in zip(batch.column("w").to_pylist(), batch.column("p"), strict=True):
+            x = w * np.asarray(p.values)
+            total, weight = x if total is None else total + x, weight + w
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"w": pa.array([weight]), "p": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after all rounds; ``docs``: (doc_id, text)."""
     flat = start(counts)
@@ -172,11 +185,10 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"w": pa.array([float(seen)]), "p": pa.array([own.tolist()], pa.list_(pa.float64()))})
 
         turn = docs.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == k)
-        each = in_batches(turn, fit, "w double, p array<double>").select("w", F.posexplode("p"))
-        mean = each.groupBy("pos").agg((F.sum(F.col("w") * F.col("col")) / F.sum("w")).alias("x")).collect()
-        if mean:
-            flat = flat.copy()
-            flat[[r["pos"] for r in mean]] = [r["x"] for r in mean]
+        # Sums of whole parameter arrays, in two levels: in ``GROUPS`` tasks, then of their few results.
+        parts = in_batches(turn, fit, "w double, p array<double>").repartition(GROUPS).mapInArrow(_summed, "w double, p array<double>").collect()
+        if parts:
+            flat = sum(np.array(r["p"]) for r in parts) / sum(r["w"] for r in parts)
     return flat
 
 
@@ -190,8 +202,8 @@ def class_log10(flat: np.ndarray, y: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         v = sum(moved[k][c[:, k]] for k in range(CONTEXT))
         s = v @ q.T
         s += b
-        top = s.max(1, keepdims=True)
-        s -= top
+        if float(s.max()) > 60 or float(s.min()) < -60:  # beyond what single precision can sum up as it is
+            s -= s.max(1, keepdims=True)
         own = s[np.arange(len(c)), y[a : a + 8192]].copy()
         np.exp(s, out=s)
         out[a : a + 8192] = own - np.log(s.sum(1))
