@@ -11,10 +11,11 @@ hold too many edits): documents give one every ``stride(size)`` words, so that e
 kind of edit). Items give a window at every place. What meets is verified: the smallest number of word edits that turn the item into
 some run of the document's words must be at most ``1 - SIMILARITY`` of the item's length.
 
-A bitmap of fixed size (``BITMAP_BITS``) of the items' keys filters windows in the tasks; the rest meet the items in a join.
+A bitmap of the items' keys filters windows in the tasks; the rest meet the items in a join. Its size follows the number of keys, between
+2^``LEAST_BITS`` and 2^``MOST_BITS`` bits (32 MB).
 
 Defined results: null, empty or blank texts and items match nothing; repeated rows of an id count as one document, repeated items are found
-one by one; rows without an id are not reported; an empty table gives no rows. Extra columns are not read.
+one by one; rows without an id are told apart by their texts and reported with a null doc_id; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ WALKS, SAMPLES, PLACES = 4, 8, 6
 LONG = 28
 #: Words of a window, at most.
 WIDEST = 16
-BITMAP_BITS = 24
+LEAST_BITS, MOST_BITS = 24, 28
 _MARKS = ".,;:!?\"'()[]{}<>*#%&$-_/\\|"
 _PAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -153,17 +154,19 @@ def _bit(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def known_keys(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places in ``keys`` of those that the bitmap holds both bits of."""
-    top = np.uint64(64 - BITMAP_BITS)
+    size = len(bits).bit_length() + 5
+    top = np.uint64(64 - size)
     at = np.flatnonzero(_bit(bits, keys >> top))
-    return at[_bit(bits, (keys[at] << np.uint64(BITMAP_BITS)) >> top)]
+    return at[_bit(bits, (keys[at] << np.uint64(size)) >> top)]
 
 
 def key_bitmap(keys: DataFrame) -> np.ndarray:
-    """Two bits for each key in a bitmap of fixed size; at most 2 ** (BITMAP_BITS - 6) words reach the driver."""
-    place = [F.shiftrightunsigned("key", 64 - BITMAP_BITS), F.shiftrightunsigned(F.shiftleft("key", BITMAP_BITS), 64 - BITMAP_BITS)]
+    """Two bits for each key in a bitmap of about sixteen bits a key; at most 2 ** (MOST_BITS - 6) words reach the driver."""
+    size = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
+    place = [F.shiftrightunsigned("key", 64 - size), F.shiftrightunsigned(F.shiftleft("key", size), 64 - size)]
     bit = keys.select(F.explode(F.array(*place)).alias("p"))
     words = bit.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out = np.zeros(1 << (size - 6), np.int64)
     got = words.toPandas()
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
@@ -207,7 +210,7 @@ def suspects(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(t[k])), pa.array(lo), pc.binary_join(around, " "), own], names=["doc_id", "first", "region", "keys"])
 
-    return in_batches(docs, find, "doc_id bigint, first bigint, region string, keys array<bigint>")
+    return in_batches(docs, find, "doc_id string, first bigint, region string, keys array<bigint>")
 
 
 def best_match(item: np.ndarray, n: np.ndarray, region: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +258,7 @@ def verify(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 [batch.column("doc_id").take(rows), batch.column("item_id").take(rows), pa.array(edits[ok]), pa.array(base + first[ok]), pa.array(base + end[ok] - 1)],
                 names=["doc_id", "item_id", "edits", "first_word", "last_word"])
 
-    return in_batches(pairs, check, "doc_id bigint, item_id bigint, edits bigint, first_word bigint, last_word bigint")
+    return in_batches(pairs, check, "doc_id string, item_id bigint, edits bigint, first_word bigint, last_word bigint")
 
 
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -265,11 +268,14 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     asked = asked.filter("item_id IS NOT NULL AND text IS NOT NULL")
     keys = stored(item_keys(asked))
     sizes = sorted(r[0] for r in keys.select("w").distinct().collect())
-    plain = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    own = F.concat(F.lit("i"), F.col(key).cast("bigint").cast("string"))  # a row without an id goes by its text
+    own = F.coalesce(own, F.concat(F.lit("t"), F.xxhash64(text).cast("string")))
+    plain = docs.select(own.alias("doc_id"), F.col(text).cast("string").alias("text"))
     near = stored(suspects(plain, key_bitmap(keys), sizes).withColumn("hash", F.xxhash64("region")))
     met = near.select("doc_id", "first", "hash", F.explode("keys").alias("key")).join(keys.drop("w"), "key")
     met = met.select("doc_id", "first", "hash", "item_id").distinct()
     regions = near.select("doc_id", "first", "hash", "region").dropDuplicates(["doc_id", "first", "hash"])
     pairs = regions.join(met, ["doc_id", "first", "hash"]).join(asked.withColumnRenamed("text", "item"), "item_id")
     best = verify(pairs, similarity).groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word", "last_word")).alias("x"))
-    return best.select("doc_id", "item_id", "x.*")
+    ident = F.when(F.col("doc_id").startswith("i"), F.expr("cast(substring(doc_id, 2) AS bigint)")).alias("doc_id")
+    return best.select(ident, "item_id", "x.*")

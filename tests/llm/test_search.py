@@ -196,7 +196,7 @@ def test_passages_are_found_with_edits(spark):
     rows += [(5000, None), (5001, ""), (None, rows[0][1]), (5002, rows[40][1]), (5002, rows[40][1])]
     table = spark.createDataFrame([(i, " ".join(w) + ".", "clash") for i, w in items] + [(900, None, ""), (901, " ", "")], "item_id bigint, text string, key string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_items(docs_of(spark, rows), table).collect()}
-    words = {i: t.lower().split() for i, t in rows if t and i is not None}
+    words = {i: t.lower().split() for i, t in rows if t}
     truth = {(d, i): brute_edits(w, t) for d, t in words.items() for i, w in items}
     truth = {k: n for k, n in truth.items() if n <= 0.2 * len(items[k[1]][1]) + 1e-9}
     assert all(k in truth and got[k]["edits"] >= truth[k] for k in got)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from cloakframe.llm import decontaminate, jaccard_join, stages
 from cloakframe.llm.common import table
 
@@ -62,3 +64,21 @@ def test_stages_decide_about_rows_without_an_id_or_with_a_repeated_one(spark, da
     assert texts(stages.keep_one_of_each(spark, copies, data)) == sorted([(7, mine[0]), (0, mine[1]), (5, mine[2]), (5, mine[3])])
     leaks = rows((None, f"{mine[0]} {item}"), (5, f"{mine[1]} {item}"), (5, mine[2]), (None, mine[2]))
     assert texts(stages.drop_contaminated(spark, leaks, data)) == [(0, mine[2]), (5, mine[2])]
+
+
+def test_passages_of_rows_without_an_id(spark):
+    items = [(1, "the quick brown fox jumps over the lazy dog tonight"), (2, " ".join(f"w{k}" for k in range(60)))]
+    docs = [(None, f"before {items[0][1]} after"), (None, f"before {items[0][1]} after"), (None, f"{items[1][1]} more"), (None, "nothing"), (None, None), (7, items[0][1])]
+    got = decontaminate.find_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted(((r["doc_id"] or -1, r["item_id"], r["edits"], r["first_word"]) for r in got.collect())) == [(-1, 1, 0, 1), (-1, 2, 0, 0), (7, 1, 0, 0)]
+
+
+def test_the_bitmap_grows_with_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 8)
+    for n in (3, 5000):
+        keys = spark.range(n).selectExpr("xxhash64(id) AS key")
+        bits = decontaminate.key_bitmap(keys)
+        held = np.array([r["key"] for r in keys.collect()], np.int64).view(np.uint64)
+        assert len(decontaminate.known_keys(bits, held)) == n and 16 * n <= 64 * len(bits) <= max(256, 32 * n)
+        other = np.random.default_rng(1).integers(0, 1 << 63, 20000, dtype=np.uint64) * np.uint64(2)
+        assert len(decontaminate.known_keys(bits, other)) < 2000
