@@ -35,6 +35,8 @@ CLASSES = HEAD + TAIL
 DIM, CONTEXT = 16, 3
 ROUNDS, BATCH, NOISE, RATIO, RATE = 4, 1024, 64, 24.0, 0.1
 FREQUENT = 1 << 17
+#: Tokens whose products with all classes are made at once; they fit a core's cache.
+AT_ONCE = 512
 #: Tasks that sum up the partitions' parameters.
 GROUPS = 16
 #: The end of a text; no word holds a line feed.
@@ -195,18 +197,23 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
 def class_log10(flat: np.ndarray, y: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     """log10 P(class | context) of every token, normalised over all classes."""
     r, mats, q, b = (x.astype(np.float32) for x in unpack(flat)[:4])
-    moved = [r @ mats[k * DIM : (k + 1) * DIM] for k in range(CONTEXT)]
+    # A column of ones carries the biases through the product.
+    moved = [np.ascontiguousarray(np.pad(r @ mats[k * DIM : (k + 1) * DIM], ((0, 0), (0, 1)), constant_values=1 / CONTEXT)) for k in range(CONTEXT)]
+    classes = np.ascontiguousarray(np.concatenate([q, b[:, None]], 1).T)
+    ones = np.ones(CLASSES, np.float32)
     out = np.empty(len(y))
-    for a in range(0, len(y), 8192):
-        c = ctx[a : a + 8192]
+    for a in range(0, len(y), AT_ONCE):
+        c, own = ctx[a : a + AT_ONCE], y[a : a + AT_ONCE]
         v = sum(moved[k][c[:, k]] for k in range(CONTEXT))
-        s = v @ q.T
-        s += b
-        if float(s.max()) > 60 or float(s.min()) < -60:  # beyond what single precision can sum up as it is
-            s -= s.max(1, keepdims=True)
-        own = s[np.arange(len(c)), y[a : a + 8192]].copy()
-        np.exp(s, out=s)
-        out[a : a + 8192] = own - np.log(s.sum(1))
+        s = v @ classes
+        mine = s[np.arange(len(c)), own].copy()
+        with np.errstate(over="ignore"):
+            total = np.exp(s, out=s) @ ones
+        if not (total.min() > 1e-30 and total.max() < 1e37):  # beyond what single precision sums up as it is
+            s = v @ classes
+            top = s.max(1)
+            mine, total = mine - top, np.exp(s - top[:, None]) @ ones
+        out[a : a + AT_ONCE] = mine - np.log(total)
     return out / np.log(10)
 
 
