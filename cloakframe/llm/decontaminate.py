@@ -37,6 +37,8 @@ LONG = 28
 #: Words of a window, at most.
 WIDEST = 16
 LEAST_BITS, MOST_BITS = 24, 28
+#: Windows whose walks are made at once; they fit a core's cache.
+AT_ONCE = 1 << 13
 _MARKS = ".,;:!?\"'()[]{}<>*#%&$-_/\\|"
 _PAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -96,13 +98,20 @@ def _plan(w: int) -> list[tuple[int, list[list[int]]]]:
 
 
 def window_keys(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """key × window: hashes of sampled places of the CGK strings of h[start : start + width(size)]."""
+    """key × window: hashes of sampled places of the CGK strings of h[start : start + width(size)]; starts ascend."""
+    parts = [_window_keys(h, starts[a : a + AT_ONCE], size) for a in range(0, len(starts), AT_ONCE)] or [_window_keys(h, starts, size)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts, 1)
+
+
+def _window_keys(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     w = width(size)
     plan = _plan(w)
     out = np.zeros((sum(len(samples) for _, samples in plan), len(starts)), np.uint64)
     if not len(starts):
         return out
     prime = np.uint64(0x9E3779B97F4A7C15)
+    low = int(starts[0])
+    h, starts = h[low : int(starts[-1]) + w], starts - low
     end = starts + w
     for k, (seed, samples) in enumerate(plan):
         used = [[s for s, places in enumerate(samples) if j in places] for j in range(2 * w)]
@@ -112,12 +121,12 @@ def window_keys(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
                 bits = mix(h ^ np.uint64((seed + j * 0x9E3779B97F4A7C15) & (1 << 64) - 1)).view(np.int64)
             spot = at if j < w else np.minimum(at, end - 1)  # a pointer is at most j words on
             if used[j]:
-                symbol = h[spot] if j < w else np.where(at < end, h[spot], _PAD)
+                symbol = h.take(spot) if j < w else np.where(at < end, h.take(spot), _PAD)
                 for s in used[j]:
                     row = out[k * len(samples) + s]
                     row *= prime
                     row += symbol
-            step = (bits[spot] >> (j % 64)) & 1
+            step = (bits.take(spot) >> (j % 64)) & 1
             at += step if j < w else step * (at < end)
     salt = mix(np.arange(len(out), dtype=np.uint64) + np.uint64(size << 20))
     return mix(out ^ salt[:, None])
