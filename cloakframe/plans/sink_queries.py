@@ -26,7 +26,8 @@ def mask_stream_query(spark, d):
     """The three sinks of the masking stream over the documents; every eleventh text is blank and goes to quarantine with its text."""
     root = scratch_dir(spark)
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    # A pattern: a stream takes no plain path of a single file, and the table may be a file or a folder of files.
+    stream = spark.readStream.schema(schema).parquet(f"{d}/{{documents.parquet}}")
     rows = stream.select("doc_id", F.expr(f"if({_QUARANTINED}, ' ', text)").alias("text"))
     paths = [f"{root}/{name}" for name in ("masked", "vault", "quarantine")]
     mask_stream(rows, *paths, f"{root}/checkpoint").awaitTermination()

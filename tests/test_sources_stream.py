@@ -118,3 +118,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {r.doc_id: r.masked for r in batch.filter("status = 'ok'").collect()} and len(got) == 30
     assert spark.read.parquet(paths[1]).count() == mask.build_vault(batch).count() == 60
     assert [r.status for r in spark.read.parquet(paths[2]).collect()] == ["blank_text"]
+
+
+def test_stream_reads_a_folder_of_files(spark, data, tmp_path):
+    from cloakframe.plans import load
+
+    spark.read.parquet(f"{data}/documents.parquet").limit(40).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    held = load.QUERIES["mask_stream"](spark, str(tmp_path)).filter("sink <> 'vault'")
+    assert held.select("doc_id").distinct().count() == 40
