@@ -252,20 +252,38 @@ def composition_gates(docs: DataFrame, spans: DataFrame, floors: dict[str, int])
     return row.select(F.explode(F.expr(f"array({items})")).alias("g")).select("g.*", F.expr("g.n >= g.floor").alias("ok"))
 
 
+#: Rows of a range of ``ranked``, about, and the most ranges; bounds are every ``_SAMPLED``-th value of a sample.
+_PER_RANGE, _RANGES, _SAMPLED = 1 << 16, 1 << 12, 64
+
+
 def ranked(docs: DataFrame, order: str = "doc_id", out: str = "rank") -> DataFrame:
     """``docs`` with their rank from 0 in the order of a column, dense over the whole table; ties in no order.
 
     Rows are dealt to ranges of the order and numbered inside their range; a range starts where the counts of those before it end.
-    Only one count for each range is summed up in one place, so ids may be sparse or hashed.
+    The ranges' bounds are values chosen by their hash, so a row's range follows from its value alone: counts and rows agree however
+    often and with whatever partitions each of them is made. Only the number of rows reaches the driver, and only one count for each
+    range is summed up in one place, so ids may be sparse or hashed.
     """
-    ranged = docs.repartitionByRange(F.col(order).asc_nulls_first()).sortWithinPartitions(F.col(order).asc_nulls_first())
-    # The number holds the partition above bit 33 and the row inside it below; it is fixed here, before anything is joined.
-    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.withColumn("_p", F.shiftright("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND((1 << 33) - 1))
-    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    total = docs.count()
+    ranges = min(_RANGES, total // _PER_RANGE + 1)
+    share = F.lit(min(1.0, _SAMPLED * ranges / max(total, 1)))
+    chosen = F.shiftrightunsigned(F.xxhash64(order), 11).cast("double") / F.lit(float(1 << 53)) < share
+    sample = docs.filter(chosen if ranges > 1 else F.lit(False)).agg(F.array_sort(F.collect_set(order)).alias("_all"))
+    bounds = sample.select(F.expr(f"filter(_all, (x, i) -> i % {_SAMPLED} = {_SAMPLED - 1})").alias("_bounds"))
+    bounds = bounds.select("_bounds", F.expr(f"filter(_bounds, (x, i) -> i % {_SAMPLED} = 0)").alias("_firsts"))
+
+    def in_ranges(rows: DataFrame) -> DataFrame:
+        up_to = lambda values: f"size(filter({values}, b -> b <= `{order}`))"
+        block = F.expr(f"greatest({up_to('_firsts')} - 1, 0) * {_SAMPLED}").alias("_block")
+        held = rows.crossJoin(F.broadcast(bounds)).withColumn("_block", block)
+        return held.withColumn("_p", F.expr(f"_block + {up_to(f'slice(_bounds, _block + 1, {_SAMPLED})')}")).drop("_bounds", "_firsts", "_block")
+
+    counts = in_ranges(docs.select(order)).groupBy("_p").agg(F.count("*").alias("_n"))
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return placed.join(starts, F.col("_p") == F.col("_q")).withColumn(out, F.col("_off") + F.col("_i")).drop("_at", "_p", "_i", "_q", "_off")
+    inside = F.row_number().over(W.partitionBy("_p").orderBy(F.col(order).asc_nulls_first())) - 1
+    placed = in_ranges(docs).withColumn("_i", inside)
+    return placed.join(F.broadcast(starts), F.col("_p") == F.col("_q")).withColumn(out, F.col("_off") + F.col("_i")).drop("_p", "_i", "_q", "_off")
 
 
 def stratified_subset(docs: DataFrame, every: int = 6, always: str | None = None) -> DataFrame:

@@ -166,3 +166,12 @@ def test_the_vault_key_shows_in_no_plan(spark, monkeypatch):
         text = df._jdf.queryExecution().toString()
         assert not any(x in text for x in ("KKKK", "4B4B", "4b4b", "75, 75", "Python", "Arrow"))
     assert [tuple(r) for r in opened.collect()] == [(1, "t", "v", "EMAIL", "mail")]
+
+
+def test_ranks_of_wide_rows(spark):
+    # The counts read one narrow column, the rows all of them: both must cut the order in the same places.
+    df = spark.range(300_000).select(F.col("id").alias("doc_id"), F.expr("concat(md5(cast(id AS string)), repeat(sha2(cast(id AS string), 256), 3))").alias("text"))
+    got = corpus.ranked(df).filter("length(text) > 9").agg(F.count("*"), F.count_if(F.col("rank") == F.col("doc_id"))).first()
+    assert tuple(got) == (300_000, 300_000)
+    odd = spark.createDataFrame([(None,), ("b",), ("a",), ("b",)], "doc_id string")
+    assert sorted((r["rank"], r.doc_id) for r in corpus.ranked(odd).collect()) == [(0, None), (1, "a"), (2, "b"), (3, "b")]
