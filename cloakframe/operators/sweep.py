@@ -17,6 +17,14 @@ from cloakframe.functions.spans import q
 from cloakframe.schema import _map, compatible_pairs
 
 BLOCK = 4096
+#: Parts that many small rows are dealt to, at least. Exchanged rows are packed tightly, and parts joined by their packed size would hold more
+#: unpacked rows than a task has memory for.
+PARTS = 192
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt by ``by`` to at least ``PARTS`` parts; windows and groups by these columns (and more) need no further exchange."""
+    return rows.repartition(max(PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def _families() -> tuple[dict[str, str], dict[str, int], dict[str, tuple[int, ...]]]:

@@ -163,3 +163,17 @@ def test_bioes(spark):
     tokens = spark.createDataFrame([(1, i, i * 2, i * 2 + 2, x) for i, x in enumerate(labels)], "doc_id bigint, tok int, start int, `end` int, label string")
     got = sorted((r.start, r.end, r.label) for r in predictions.decode_bioes(tokens).collect())
     assert got == [(2, 12, "A"), (12, 14, "A"), (14, 16, "B"), (16, 22, "C"), (18, 20, "D"), (22, 24, "C")]
+
+
+def test_surfaces_in_a_row_and_by_keys_agree(spark, monkeypatch):
+    rnd = random.Random(3)
+    word = lambda: " ".join(rnd.choice(["a", "ab", "Abc", "bc d", "x", ""]) for _ in range(rnd.randint(1, 3)))
+    gold = [(d, "PERSON", word(), rnd.random() < 0.6, rnd.choice(["quasi_identifier", "explicit"])) for d in range(30) for _ in range(rnd.randint(0, 6))]
+    surf = [(d, i, word()) for d in range(30) for i in range(rnd.randint(0, 6))]
+    args = (spark.createDataFrame(gold, "doc_id bigint, type string, text string, should_redact boolean, context_class string"),
+            spark.createDataFrame(surf, "doc_id bigint, sid bigint, surface string"))
+    both = lambda: (sorted(map(str, score.score_surfaces(*args).collect())), sorted(map(str, score.category_recall(*args).collect())))
+    in_row = both()
+    for forms in (0, 3):  # all by keys; some by keys
+        monkeypatch.setattr(score, "ROW_FORMS", forms)
+        assert both() == in_row
