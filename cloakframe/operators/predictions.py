@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 from cloakframe import fixed
 from cloakframe.functions.checks import strip
 from cloakframe.functions.spans import literal_spans, once, overlapping_starts, q
+from cloakframe.operators.sweep import spread
 from cloakframe.schema import PREDICTION_DDL, _map, level_sql
 
 # --- occurrences --------------------------------------------------------------------
@@ -458,7 +459,7 @@ def decode_bioes(tokens: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     close a span.
     """
     doc = W.partitionBy("doc_id").orderBy("tok")
-    tagged = tokens.filter("start < end AND label <> 'O'").select(
+    tagged = spread(tokens.filter("start < end AND label <> 'O'"), "doc_id").select(
         "doc_id", "tok", "start", "end",
         F.expr("if(rlike(label, '^[BIES]-'), substring(label, 1, 1), 'S')").alias("tag"),
         F.expr("if(rlike(label, '^[BIES]-'), substring(label, 3), label)").alias("body"),

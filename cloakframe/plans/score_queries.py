@@ -8,6 +8,7 @@ from cloakframe import fixed
 from cloakframe.functions.spans import q
 from cloakframe.operators import arbitrate, corpus, detect, mask, predictions, registry, score
 
+from cloakframe.operators.sweep import spread
 from cloakframe.plans import shapes as S
 from cloakframe.plans.catalog import add, derived, query, table
 from cloakframe.schema import compatible_pairs
@@ -297,7 +298,7 @@ def bioes_query(spark, d):
     from pyspark.sql.window import Window as W
 
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    li = table(spark, d, "lineitem").withColumn("r", F.row_number().over(order))
+    li = spread(table(spark, d, "lineitem"), "l_orderkey").withColumn("r", F.row_number().over(order))
     tokens = S._named(li.selectExpr("l_orderkey AS doc_id", "r AS tok", "r * 4 AS s", "r * 4 + 3 AS e", f"{_TOK} AS label"))
     return predictions.decode_bioes(tokens).select("doc_id", "start", "end", "label")
 
