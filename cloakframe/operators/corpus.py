@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from cloakframe.functions.spans import let, literal_spans, q, utf16_length
 from cloakframe.operators import detect
 from cloakframe.operators.rules import EXACT_AND_CONTEXT
-from cloakframe.operators.sweep import overlap_runs
+from cloakframe.operators.sweep import overlap_runs, spread
 
 # Length bands and the notice that pads long documents.
 BANDS = ((100, "short"), (500, "medium"), (3000, "long"), (None, "very_long"))
@@ -171,14 +171,14 @@ def corpus_summary(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def gold_integrity(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Violations: spans out of bounds or not equal to their text, and repeated document ids."""
-    texts = docs.select("doc_id", F.col("text").alias("_doc"))
+    texts = spread(docs.select("doc_id", F.col("text").alias("_doc")), "doc_id")
     why = (
         "CASE WHEN _doc IS NULL THEN 'unknown_document' "
         "WHEN start < 0 OR end <= start OR end > length(_doc) THEN 'out_of_bounds' "
         "WHEN substring(_doc, start + 1, end - start) <> text THEN 'text_mismatch' END"
     )
     bad = (
-        spans.join(texts, "doc_id", "left").withColumn("violation", F.expr(why)).filter("violation IS NOT NULL")
+        spread(spans, "doc_id").join(texts, "doc_id", "left").withColumn("violation", F.expr(why)).filter("violation IS NOT NULL")
         .select("doc_id", "start", "end", "violation")
     )
     again = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1")

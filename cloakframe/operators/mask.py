@@ -14,7 +14,7 @@ from cloakframe import fixed
 from cloakframe.functions.spans import cut, grouped, let, once, pieces, q
 from cloakframe.operators import detect
 from cloakframe.operators.arbitrate import arbitrate, merge_array, runs_array
-from cloakframe.operators.sweep import block_numbers
+from cloakframe.operators.sweep import block_numbers, spread
 from cloakframe.schema import SPAN_T, label_sql
 
 OK, COLLISION, OVERLAP, BAD_SPAN = "ok", "token_collision", "overlap", "bad_span"
@@ -316,16 +316,17 @@ def roundtrip_gate(masked: DataFrame) -> DataFrame:
 def stability_check(first: DataFrame, second: DataFrame) -> DataFrame:
     """Documents whose set of normalised surfaces differs between two runs.
 
-    Both inputs hold (doc_id, text) surfaces. A full outer join of distinct rows, so no
-    set is ever gathered in one row.
+    Both inputs hold (doc_id, text) surfaces, which are exchanged once, side by side; no set is ever gathered in one row.
+    Null ids and surfaces equal none of the other side.
     """
     norm = "lower(trim(regexp_replace(text, '(?U)\\\\s+', ' ')))"
-    a = first.select("doc_id", F.expr(norm).alias("surface")).distinct().withColumn("_a", F.lit(1))
-    b = second.select("doc_id", F.expr(norm).alias("surface")).distinct().withColumn("_b", F.lit(1))
+    side = lambda df, own: df.select("doc_id", F.expr(norm).alias("surface"), F.lit(own).alias("_first"))
+    both = spread(side(first, True).unionByName(side(second, False)), "doc_id", "surface")
+    met = both.groupBy("doc_id", "surface").agg(F.bool_or("_first").alias("_a"), F.bool_or(~F.col("_first")).alias("_b"))
+    lone = "if(doc_id IS NULL OR surface IS NULL, int(_a) + int(_b), int(_a <> _b))"
     return (
-        a.join(b, ["doc_id", "surface"], "full_outer")
-        .groupBy("doc_id")
-        .agg(F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("differences"))
+        met.groupBy("doc_id")
+        .agg(F.sum(F.expr(lone)).cast("long").alias("differences"))
     )
 
 

@@ -177,3 +177,22 @@ def test_surfaces_in_a_row_and_by_keys_agree(spark, monkeypatch):
     for forms in (0, 3):  # all by keys; some by keys
         monkeypatch.setattr(score, "ROW_FORMS", forms)
         assert both() == in_row
+
+
+def test_many_small_rows_are_dealt_to_many_parts(spark):
+    from cloakframe.operators import corpus, mask, predictions
+    from cloakframe.operators.sweep import PARTS
+
+    tokens = spark.range(10).selectExpr("id AS doc_id", "1 AS tok", "0 AS start", "3 AS `end`", "'S-A' AS label")
+    docs = spark.range(10).selectExpr("id AS doc_id", "'abc' AS text")
+    spans = docs.selectExpr("doc_id", "0 AS start", "9 AS `end`", "text")
+    for df in (predictions.decode_bioes(tokens), mask.stability_check(docs, docs), corpus.gold_integrity(docs, spans)):
+        assert f", {PARTS}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stability_counts_nulls_of_each_side(spark):
+    from cloakframe.operators import mask
+
+    a = spark.createDataFrame([(1, "X  y"), (1, None), (2, "q"), (None, "z")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, "x y"), (1, None), (2, "r"), (None, "z")], "doc_id bigint, text string")
+    assert {r.doc_id: r.differences for r in mask.stability_check(a, b).collect()} == {1: 2, 2: 2, None: 2}
