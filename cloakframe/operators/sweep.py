@@ -102,12 +102,14 @@ def met_compatible(events: DataFrame, by: Sequence[str], asks: str, asks_type: s
     return out.drop("_family", "_rank", "_slot", "_mask", *[f"_{n}{k}" for n in "az" for k in range(SLOTS)])
 
 
-def carried(rows: DataFrame, by: Sequence[str], summary: Column, total: Column) -> DataFrame:
+def carried(rows: DataFrame, by: Sequence[str], summary: Column, total: Column, every: DataFrame | None = None) -> DataFrame:
     """``rows`` plus ``_carry``: ``total`` of the blocks' ``summary`` over all earlier blocks (``_b``) of the same ``by``; null in the first.
 
+    ``every``: the rows of all blocks, where ``rows`` are those of some.
+
     Only one small row for each block is ordered inside ``by``; the rows themselves stay where their block is.
     """
-    parts = rows.groupBy(*by, "_b").agg(summary.alias("_part"))
+    parts = (rows if every is None else every).groupBy(*by, "_b").agg(summary.alias("_part"))
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     own = [f"_k{i}" for i in range(len(by))]
     parts = parts.select(*by, "_b", total.over(before).alias("_carry")).toDF(*own, "_kb", "_carry")
@@ -122,18 +124,26 @@ def overlap_runs(spans: DataFrame, by: Sequence[str] = ("doc_id",), out: str = "
 
     A segmented running maximum of ``end``. Spans go to the block of their start, and one that reaches into later blocks leaves its
     end there too, so a block knows from itself which of its spans open a run. The last opening of each block, one small row, is
-    carried over the blocks of a text; a block's spans before its first opening belong to the run carried in.
+    carried over the blocks of a text; a block's spans before its first opening belong to the run carried in. Nothing is carried into
+    the first block, so its spans, all of a short text, stay where they lie; only spans that reach beyond it meet what is carried.
     """
-    home = f"floor(start / {block})"
-    rows = spans.withColumn("_x", F.explode(F.expr(
-        f"transform(sequence({home}, floor(greatest(`end` - 1, start) / {block})), b -> named_struct('b', b, 'own', b = {home}))")))
-    rows = rows.withColumn("_b", F.col("_x.b")).withColumn("_own", F.col("_x.own")).drop("_x")
+    home = f"greatest(floor(start / {block}), 0L)"
     local = W.partitionBy(*by, "_b").orderBy(F.col("_own"), "start", "end")
-    reach = F.max("end").over(local.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_open", F.when(F.col("_own") & (reach.isNull() | (F.col("start") >= reach)), F.col("start")))
-    rows = rows.withColumn("_run", F.max("_open").over(local.rowsBetween(W.unboundedPreceding, W.currentRow))).filter("_own")
-    joined = carried(rows, by, F.max("_open"), F.max("_part")).withColumn(out, F.coalesce("_run", "_carry"))
-    return joined.drop("_b", "_own", "_open", "_run", "_carry")
+
+    def placed(some: DataFrame) -> DataFrame:
+        rows = some.withColumn("_x", F.explode(F.expr(
+            f"transform(sequence({home}, greatest(floor(greatest(`end` - 1, start) / {block}), 0L)), b -> named_struct('b', b, 'own', b = {home}))")))
+        rows = rows.withColumn("_b", F.col("_x.b")).withColumn("_own", F.col("_x.own")).drop("_x")
+        reach = F.max("end").over(local.rowsBetween(W.unboundedPreceding, -1))
+        rows = rows.withColumn("_open", F.when(F.col("_own") & (reach.isNull() | (F.col("start") >= reach)), F.col("start")))
+        return rows.withColumn("_run", F.max("_open").over(local.rowsBetween(W.unboundedPreceding, W.currentRow))).filter("_own")
+
+    helpers = ("_b", "_own", "_open", "_run", "_carry")
+    known = placed(spans)
+    first = known.filter("_b = 0").withColumn(out, F.col("_run"))
+    later = placed(spans.filter(f"start >= {block} OR `end` > {block}")).filter("_b > 0")
+    later = carried(later, by, F.max("_open"), F.max("_part"), known).withColumn(out, F.coalesce("_run", "_carry"))
+    return first.drop(*helpers).unionByName(later.drop(*helpers))
 
 
 def block_numbers(rows: DataFrame, by: Sequence[str], at: str, order: Sequence[str], out: str, block: int = BLOCK) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakframe.operators import score
+from cloakframe.operators import score, sweep
 
 GOLD = "doc_id bigint, start int, `end` int, type string, should_redact boolean"
 PRED = "doc_id bigint, start int, `end` int, type string, score double"
@@ -24,3 +24,14 @@ def test_sweep_matches_kinds_of_places(spark):
     for t, hits in ((0.4, 40), (0.5, 31), (0.6, 21)):
         r = rows[t]
         assert (r["tp"], r["fp"], r["fn"], r["redactable_fn"], r["pii_free_flagged"]) == (hits, 1, 51 - hits, 50 - hits, 1)
+
+
+def test_runs_of_short_texts_stay_where_they_lie(spark):
+    """Rows dealt by document are not exchanged for their runs: block 0 meets nothing that is carried."""
+    spans = spark.createDataFrame([(d, s, s + 7, "PERSON") for d in range(40) for s in range(0, 50, 5)] + [(3, 90, 9000, "EMAIL"), (3, 8000, 8005, "EMAIL")],
+                                  "doc_id bigint, start int, `end` int, type string")
+    runs = sweep.overlap_runs(sweep.spread(spans, "doc_id"))
+    first = runs._jdf.queryExecution().sparkPlan().children().apply(0).toString()
+    assert "Join" not in first
+    assert {(r.doc_id, r.start): r.run for r in runs.filter("doc_id = 3 AND start >= 90").collect()} == {(3, 90): 90, (3, 8000): 90}
+    assert runs.filter("start < 90").count() == 400 and runs.filter("start < 90 AND run = 0").count() == 400
