@@ -59,6 +59,7 @@ def allocate_tokens(spans: DataFrame) -> DataFrame:
     Values find their first start by themselves, are numbered inside blocks of positions, and blocks carry how many values the
     earlier ones hold; so a document with very many spans spreads over tasks. The plan behind ``spans`` runs once.
     """
+    spans = spread(spans, "doc_id", "type", "text")  # read by the numbers and by their sums: what is behind is not run again
     first = F.min("start").over(W.partitionBy("doc_id", "type", "text"))
     label = label_sql() if "label" not in spans.columns else "label"
     return (

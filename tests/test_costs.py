@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakframe.operators import score, sweep
+from cloakframe.operators import mask, score, sweep
 
 GOLD = "doc_id bigint, start int, `end` int, type string, should_redact boolean"
 PRED = "doc_id bigint, start int, `end` int, type string, score double"
@@ -35,3 +35,12 @@ def test_runs_of_short_texts_stay_where_they_lie(spark):
     assert "Join" not in first
     assert {(r.doc_id, r.start): r.run for r in runs.filter("doc_id = 3 AND start >= 90").collect()} == {(3, 90): 90, (3, 8000): 90}
     assert runs.filter("start < 90").count() == 400 and runs.filter("start < 90 AND run = 0").count() == 400
+
+
+def test_tokens_read_their_spans_once(spark):
+    """The numbers and their sums over earlier blocks read one exchange of the spans."""
+    spans = spark.createDataFrame([(d, s, s + 3, "EMAIL", f"v{s % 4}") for d in range(5) for s in range(0, 40, 4)],
+                                  "doc_id bigint, start int, `end` int, type string, text string")
+    out = mask.allocate_tokens(spans)
+    assert plan(out).count("RepartitionByExpression [doc_id") == 2 and out.count() == 50
+    assert plan(out).count("Window") >= 2
