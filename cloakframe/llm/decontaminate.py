@@ -6,7 +6,7 @@ distance. A key hashes a few sampled places of that string.
 
 An item of L words may lose ``most_edits(L)`` of them, and its windows are chosen by what is left then (``size_class``). Below
 ``LONG`` words the edits leave a run of ``intact(L)`` words as it was, wherever they fall: windows are no longer than that run, documents
-give one at every word, and one key hashes the whole string, so no such item is missed. Longer items are met by windows of 8 or 16 words (longer ones
+give one at every word, and one key hashes the whole string and window, so no such item is missed. Longer items are met by windows of 8 or 16 words (longer ones
 hold too many edits): documents give one every ``stride(size)`` words, so that even the shortest occurrence holds several whole ones, and ``WALKS`` × ``SAMPLES`` keys per window reach the target recall (measured by the tests for each length and
 kind of edit). Items give a window at every place. What meets is verified: the smallest number of word edits that turn the item into
 some run of the document's words must be at most ``1 - SIMILARITY`` of the item's length.
@@ -37,10 +37,9 @@ LONG = 28
 #: Words of a window, at most.
 WIDEST = 16
 LEAST_BITS, MOST_BITS = 24, 28
-#: Windows whose walks are made at once; they fit a core's cache.
+#: Windows whose walks are made at once, a power of two; they fit a core's cache.
 AT_ONCE = 1 << 13
 _MARKS = ".,;:!?\"'()[]{}<>*#%&$-_/\\|"
-_PAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def most_edits(length: int, similarity: float = SIMILARITY) -> int:
@@ -99,37 +98,46 @@ def _plan(w: int) -> list[tuple[int, list[list[int]]]]:
 
 def window_keys(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """key × window: hashes of sampled places of the CGK strings of h[start : start + width(size)]; starts ascend."""
-    parts = [_window_keys(h, starts[a : a + AT_ONCE], size) for a in range(0, len(starts), AT_ONCE)] or [_window_keys(h, starts, size)]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts, 1)
-
-
-def _window_keys(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     w = width(size)
     plan = _plan(w)
-    out = np.zeros((sum(len(samples) for _, samples in plan), len(starts)), np.uint64)
-    if not len(starts):
-        return out
-    prime = np.uint64(0x9E3779B97F4A7C15)
-    low = int(starts[0])
+    out = np.empty((sum(len(samples) for _, samples in plan), len(starts)), np.uint64)
+    out[:] = mix(np.arange(len(out), dtype=np.uint64) + np.uint64(size << 20))[:, None]
+    table, spot, symbol = (np.empty(n * AT_ONCE, np.int64) for n in (w + 1, 1, 1))
+    for a in range(0, len(starts), AT_ONCE):
+        _add_walks(h, starts[a : a + AT_ONCE], w, plan, out[:, a : a + AT_ONCE], table, spot, symbol)
+    return out
+
+
+def _add_walks(h: np.ndarray, starts: np.ndarray, w: int, plan: list, out: np.ndarray, table: np.ndarray, spot: np.ndarray, symbol: np.ndarray) -> None:
+    """Add to each key of ``out`` the copied symbols at its places, each times an odd number of the place.
+
+    ``table`` holds word p of window i at p * AT_ONCE + i, so a pointer moves on by adding AT_ONCE, a bit of the symbol where it stands. A
+    symbol is mixed with the walk's seed: its bits are the random bits of the steps. Below the words lie zeros, where a pointer stays.
+    Windows that are looked for whole add all their words too: a walk that rests on a frequent word copies few others.
+    """
+    n, low = len(starts), int(starts[0])
     h, starts = h[low : int(starts[-1]) + w], starts - low
-    end = starts + w
+    rows, at, symbol = table.reshape(w + 1, AT_ONCE), spot[:n], symbol[:n]
+    rows[w] = 0
     for k, (seed, samples) in enumerate(plan):
-        used = [[s for s, places in enumerate(samples) if j in places] for j in range(2 * w)]
-        at = starts.copy()
-        for j in range(2 * w):
-            if j % 64 == 0:
-                bits = mix(h ^ np.uint64((seed + j * 0x9E3779B97F4A7C15) & (1 << 64) - 1)).view(np.int64)
-            spot = at if j < w else np.minimum(at, end - 1)  # a pointer is at most j words on
-            if used[j]:
-                symbol = h.take(spot) if j < w else np.where(at < end, h.take(spot), _PAD)
-                for s in used[j]:
-                    row = out[k * len(samples) + s]
-                    row *= prime
-                    row += symbol
-            step = (bits.take(spot) >> (j % 64)) & 1
-            at += step if j < w else step * (at < end)
-    salt = mix(np.arange(len(out), dtype=np.uint64) + np.uint64(size << 20))
-    return mix(out ^ salt[:, None])
+        walked = mix(h ^ np.uint64(seed)).view(np.int64)
+        for p in range(w):
+            walked.take(starts + p if p else starts, out=rows[p, :n], mode="clip")
+        at[:] = np.arange(n)
+        factors = mix(np.arange(3 * w, dtype=np.uint64) + np.uint64(seed)) | np.uint64(1)
+        if w <= 4:
+            for p in range(w):
+                out[k] += rows[p, :n].view(np.uint64) * factors[2 * w + p]
+        for j in range(max(max(places) for places in samples) + 1):
+            table.take(at, out=symbol, mode="clip")
+            used = [s for s, places in enumerate(samples) if j in places]
+            if used:
+                term = symbol.view(np.uint64) * factors[j]
+                for s in used:
+                    out[k * len(samples) + s] += term
+            symbol >>= j
+            symbol &= AT_ONCE
+            at += symbol
 
 
 def _starts(counts: np.ndarray, w: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +166,12 @@ def item_keys(items: DataFrame) -> DataFrame:
 
 
 def _bit(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+    """Whether the bitmap holds the bits; ``place`` is used up."""
+    octet = bits.view(np.uint8).take((place >> np.uint64(3)).view(np.int64), mode="clip")
+    place &= np.uint64(7)
+    octet >>= place.astype(np.uint8)
+    octet &= np.uint8(1)
+    return octet.view(bool)
 
 
 def known_keys(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

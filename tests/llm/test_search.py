@@ -161,6 +161,35 @@ def brute_edits(item, region):
     return min(prev)
 
 
+def test_walks_of_many_windows_are_those_of_each():
+    """Keys made in blocks from one mixed word a step are those of plain walks, whatever block a window falls into."""
+    words = decontaminate.mix(np.arange(40_000, dtype=np.uint64) % np.uint64(700))
+    for size in (3, 8, 32):
+        w, step = decontaminate.width(size), decontaminate.stride(size)
+        starts = np.arange(0, len(words) - w + 1, step)
+        keys = decontaminate.window_keys(words, starts, size)
+        salts = decontaminate.mix(np.arange(len(keys), dtype=np.uint64) + np.uint64(size << 20)).tolist()
+        for i in (0, 1, decontaminate.AT_ONCE - 1, decontaminate.AT_ONCE, len(starts) - 1):
+            if i >= len(starts):
+                continue
+            plain = []
+            for seed, samples in decontaminate._plan(w):
+                own = decontaminate.mix(words[starts[i] : starts[i] + w] ^ np.uint64(seed)).tolist()
+                factors = (decontaminate.mix(np.arange(3 * w, dtype=np.uint64) + np.uint64(seed)) | np.uint64(1)).tolist()
+                at, copied = 0, []
+                for j in range(2 * w):
+                    symbol = own[at] if at < w else 0
+                    copied.append(symbol * factors[j])
+                    at += symbol // (decontaminate.AT_ONCE << j) % 2
+                whole = sum(x * f for x, f in zip(own, factors[2 * w :], strict=True)) if w <= 4 else 0
+                plain += [whole + sum(copied[j] for j in places) for places in samples]
+            assert keys[:, i].tolist() == [(a + b) % (1 << 64) for a, b in zip(plain, salts, strict=True)]
+        assert keys[:, :0].shape == decontaminate.window_keys(words, starts[:0], size).shape
+    windows = decontaminate.mix(np.arange(12_000, dtype=np.uint64))
+    windows[::4] = windows[0]  # windows of one first word: no key of a whole window is shared by others
+    assert len(np.unique(decontaminate.window_keys(windows, np.arange(0, 12_000, 4), 4))) == 3000
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(8)
     for _ in range(60):
