@@ -63,7 +63,8 @@ def register_functions(
     columns = "start INT, `end` INT, type STRING, text STRING, confidence DOUBLE, validated BOOLEAN, privacy_level STRING"
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION pii_scan(body STRING) RETURNS TABLE({columns}) RETURN "
-        "SELECT s.start, s.`end`, s.type, s.text, s.confidence, s.validated, s.privacy_level FROM (SELECT explode(found) AS s FROM (SELECT pii_spans(body) AS found) f) t")
+        "SELECT s.start, s.`end`, s.type, s.text, s.confidence, s.validated, s.privacy_level "
+        "FROM (SELECT explode_outer(found) AS s FROM (SELECT pii_spans(body) AS found) f) t WHERE s IS NOT NULL")  # a plain explode would scan again in its filters
     names = ["pii_spans", "pii_scan", "pii_mask", "pii_restore"]
     for detector in reg.plan(slots)[0]:
         if detector.batch:

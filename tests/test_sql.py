@@ -37,3 +37,14 @@ def test_policy_rules_and_plug_ins(spark):
     rows = spark.sql("SELECT * FROM pii_semantic_privacy(TABLE(SELECT doc_id, text, 'more' AS clash FROM plug_texts))").collect()
     assert sorted((r.doc_id, r.end, r.warning) for r in rows) == [(1, 3, None), (2, None, "detector_failed:first:ValueError")]
     register_functions(spark)
+
+
+def test_the_table_function_scans_a_text_once(spark):
+    """No filter on the spans holds a copy of the scan, also where a text has none or repeats."""
+    register_functions(spark)
+    spark.createDataFrame([(1, "mail a.b@c.org now"), (2, "nothing"), (3, "mail a.b@c.org now")], "doc_id bigint, text string").createOrReplaceTempView("once_docs")
+    found = spark.sql("SELECT d.doc_id, s.start, s.type FROM once_docs d, LATERAL pii_scan(d.text) s")
+    plain = spark.sql("SELECT doc_id, pii_spans(text) AS s FROM once_docs")
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("[0-9a-f]{8}$")
+    assert scans(found) == scans(plain) > 0
+    assert sorted(map(tuple, found.collect())) == [(1, 5, "EMAIL"), (3, 5, "EMAIL")]
