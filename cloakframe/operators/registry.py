@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.spans import q
@@ -130,18 +130,13 @@ class Registry:
         return run, [NOT_READY] if missing else []
 
 
-def detected(docs: DataFrame, registry: Registry, slots: Sequence[str] | None = None, use_model: bool = False) -> DataFrame:
-    """``docs`` plus ``spans`` (raw spans of all active detectors on the original text), ``engines`` and ``warnings`` of each document.
+def _texts(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
-    One pass: a ``batch`` plug-in sees each text once and gives spans and warning together, inside the row. A plug-in that maps
-    tables is joined by document. An engine is listed for the documents it did not fail on; a plug-in whose plan cannot
-    be built costs a warning everywhere, not the job. Built-in spans come first in tie order.
-    """
-    plugins, warnings = registry.plan(slots, use_model)
-    extraction = CHINESE_IE in registry.active_slots(slots, use_model)
-    out = detect.scan(docs, registry.rules, extraction=extraction)
-    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
-    spans, engines, told = [F.col("spans")], [texts([ENGINE[BUILT_IN], *([ENGINE[CHINESE_IE]] if extraction else [])])], []
+
+def _plugged(out: DataFrame, docs: DataFrame, plugins: Sequence[Detector]) -> tuple[DataFrame, dict[Detector, tuple[Column, Column, Column, list[str]]]]:
+    """``out`` plus a column of each plug-in, and for each its spans, engines and warnings, and the warning if its plan cannot be built."""
+    none, told = F.array().cast(f"array<{SPAN_T}>"), {}
     for k, d in enumerate(plugins):
         name = q(d.name)
         if d.batch:
@@ -149,20 +144,62 @@ def detected(docs: DataFrame, registry: Registry, slots: Sequence[str] | None =
             made = ", ".join(f"'{c}', {v}" for c, v in {
                 **{c: f"x.{c}" for c in SPAN_COLUMNS}, "confidence": "coalesce(x.confidence, 1D)", "sources": f"array({name})", "validated": "false",
                 "privacy_level": "cast(NULL AS string)", "semantic_type": "cast(NULL AS string)", "ord": "5000"}.items())
-            spans.append(F.expr(f"cast(transform(_p{k}.spans, x -> named_struct({made})) AS array<{SPAN_T}>)"))
-            engines.append(F.expr(f"if(_p{k}.warning IS NULL, array({name}), array())"))
-            told.append(F.expr(f"if(_p{k}.warning IS NULL, array(), array(_p{k}.warning))"))
+            told[d] = (
+                F.expr(f"cast(transform(_p{k}.spans, x -> named_struct({made})) AS array<{SPAN_T}>)"),
+                F.expr(f"if(_p{k}.warning IS NULL, array({name}), array())"), F.expr(f"if(_p{k}.warning IS NULL, array(), array(_p{k}.warning))"), [])
             continue
         try:
             rows = d.run(docs).select("doc_id", F.struct(*SPAN_COLUMNS).cast(SPAN_T).alias("_s"))
         except Exception as err:  # a plug-in whose plan cannot be built must not lose the documents
-            warnings.append(f"detector_failed:{d.name}:{type(err).__name__}")
+            told[d] = (none, _texts([]), _texts([]), [f"detector_failed:{d.name}:{type(err).__name__}"])
             continue
         out = out.join(rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("_s")).alias(f"_p{k}")), "doc_id", "left")
-        spans.append(F.coalesce(f"_p{k}", F.array().cast(f"array<{SPAN_T}>")))
-        engines.append(texts([d.name]))
+        told[d] = (F.coalesce(f"_p{k}", none), _texts([d.name]), _texts([]), [])
+    return out, told
+
+
+def _side_by_side(spans: Sequence[Column], extraction: bool, warnings: Sequence[str], told: Sequence[tuple]) -> list[Column]:
+    """The columns ``spans``, ``engines`` and ``warnings`` from those of the built-in detectors and of the plug-ins."""
+    engines = _texts([ENGINE[BUILT_IN], *([ENGINE[CHINESE_IE]] if extraction else [])])
+    early = _texts([*warnings, *(w for t in told for w in t[3])])
+    return [F.concat(*spans, *(t[0] for t in told)).alias("spans"), F.concat(engines, *(t[1] for t in told)).alias("engines"),
+            F.concat(early, *(t[2] for t in told)).alias("warnings")]
+
+
+def detected(docs: DataFrame, registry: Registry, slots: Sequence[str] | None = None, use_model: bool = False) -> DataFrame:
+    """``docs`` plus ``spans`` (raw spans of all active detectors on the original text), ``engines`` and ``warnings`` of each document.
+
+    One pass: a ``batch`` plug-in sees each text once and gives spans and warning together, inside the row. A plug-in that maps
+    tables is joined by document. An engine is listed for the documents it did not fail on; a plug-in whose plan cannot
+    be built costs a warning everywhere, not the job. Built-in spans come first in tie order.
+    """
+    plugins, warnings = registry.plan(slots, use_model)
+    extraction = CHINESE_IE in registry.active_slots(slots, use_model)
+    out, told = _plugged(detect.scan(docs, registry.rules, extraction=extraction), docs, plugins)
     kept = [c for c in docs.columns if c not in ("spans", "engines", "warnings")]
-    return out.select(*kept, F.concat(*spans).alias("spans"), F.concat(*engines).alias("engines"), F.concat(texts(warnings), *told).alias("warnings"))
+    return out.select(*kept, *_side_by_side([F.col("spans")], extraction, warnings, [told[d] for d in plugins]))
+
+
+def detected_each(docs: DataFrame, states: dict[str, tuple[Registry, Sequence[str] | None]]) -> DataFrame:
+    """``detected`` for each of ``states`` (name -> registry and slots), named by the column ``state``.
+
+    One pass for all of them: a rule list, the extraction and a plug-in that several states share run once for each document.
+    """
+    plans = {name: (reg.rules, CHINESE_IE in reg.active_slots(slots), *reg.plan(slots)) for name, (reg, slots) in states.items()}
+    lists = list(dict.fromkeys(rules for rules, *_ in plans.values()))
+    out = docs
+    for k, rules in enumerate(lists):
+        out = detect.scan(out, rules, extraction=False, out=f"_r{k}")
+    if any(extraction for _, extraction, *_ in plans.values()):
+        out = detect.scan(out, [], extraction=True, out="_x")
+    out, told = _plugged(out, docs, list(dict.fromkeys(d for *_, plugins, _ in plans.values() for d in plugins)))
+    each = [
+        F.struct(F.lit(name).alias("state"), *_side_by_side(
+            [F.col(f"_r{lists.index(rules)}"), *([F.col("_x")] if extraction else [])], extraction, warnings, [told[d] for d in plugins]))
+        for name, (rules, extraction, plugins, warnings) in plans.items()
+    ]
+    kept = [c for c in docs.columns if c not in ("state", "spans", "engines", "warnings")]
+    return out.select(*kept, F.explode(F.array(*each)).alias("_e")).select(*kept, "_e.*")
 
 
 def combine_detectors(

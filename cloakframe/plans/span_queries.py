@@ -153,15 +153,14 @@ def detector_failing_query(spark, d):
     ('no extraction', 'multilingual_rules'), ('named', 'multilingual_rules|chinese_ie|stub')) v(switch, engines) CROSS JOIN (SELECT count(*) AS docs FROM documents) n""")
 def detector_switches_query(spark, d):
     """The engines that run for each state of the switches, over the same documents."""
-    docs, out = S.documents(spark, d), None
+    states = {}
     for name, on, extraction, slots in (("on", True, True, None), ("off", False, True, None), ("no extraction", False, False, None), ("named", False, True, [registry.SEMANTIC])):
         reg = registry.Registry()
         reg.register(registry.Detector(registry.SEMANTIC, "stub", _stub), enabled=on)
         reg.set_enabled(registry.CHINESE_IE, extraction)
-        row = registry.detected(docs, reg, slots=slots).groupBy(F.array_join("engines", "|").alias("engines")).agg(F.count("*").alias("docs"))
-        row = row.select(F.lit(name).alias("switch"), "engines", "docs")
-        out = row if out is None else out.unionByName(row)
-    return out
+        states[name] = (reg, slots)
+    rows = registry.detected_each(S.documents(spark, d), states)
+    return rows.groupBy(F.col("state").alias("switch"), F.array_join("engines", "|").alias("engines")).agg(F.count("*").alias("docs"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakframe.operators import mask, score, sweep
+from cloakframe.operators import mask, registry, score, sweep
 
 GOLD = "doc_id bigint, start int, `end` int, type string, should_redact boolean"
 PRED = "doc_id bigint, start int, `end` int, type string, score double"
@@ -44,3 +44,33 @@ def test_tokens_read_their_spans_once(spark):
     out = mask.allocate_tokens(spans)
     assert plan(out).count("RepartitionByExpression [doc_id") == 2 and out.count() == 50
     assert plan(out).count("Window") >= 2
+
+
+def test_states_of_the_switches_share_their_scans(spark):
+    """Each detector runs once for all states, and each state has the spans, engines and warnings that it has alone."""
+    texts = ["mail a@x.org, card 4111 1111 1111 1111", "nothing", "联系人：王小明，电话 13812345678", "gone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def word(texts):
+        if "gone" in texts:
+            raise ValueError("gone")
+        return [[{"start": 0, "end": 2, "type": "PERSON", "text": t[:2]}] for t in texts]
+
+    def lost(_):
+        raise KeyError("plan")
+
+    shaky, broken = registry.Detector(registry.SEMANTIC, "word", batch=word), registry.Detector(registry.GENERAL_PII, "lost", run=lost)
+    states = {}
+    for name, plugins, extraction in (("all", [shaky, broken], True), ("rules", [], False), ("one", [shaky], False)):
+        reg = registry.Registry()
+        for p in plugins:
+            reg.register(p, enabled=True)
+        reg.set_enabled(registry.CHINESE_IE, extraction)
+        states[name] = (reg, None)
+    together = registry.detected_each(docs, states)
+    assert plan(together).count("pythonUDF0#") and plan(together).count("ArrowEvalPython") == 1 and "Union" not in plan(together)
+    columns = ("doc_id", "text", "spans", "engines", "warnings")
+    for name, (reg, slots) in states.items():
+        alone = registry.detected(docs, reg, slots).select(*columns).orderBy("doc_id").collect()
+        assert together.filter(f"state = '{name}'").select(*columns).orderBy("doc_id").collect() == alone
+    assert sum(len(r.spans) for r in together.collect()) > 6
