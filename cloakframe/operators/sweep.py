@@ -53,9 +53,14 @@ def blocks_of(start: str = "start", end: str = "end", block: int = BLOCK) -> Col
     return F.expr(f"sequence(floor({start} / {block}), floor(greatest({end} - 1, {start}) / {block}))")
 
 
+def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A row for each piece of a span: ``_b`` (block)."""
+    return rows.withColumn("_b", F.explode(blocks_of(block=block)))
+
+
 def boundary_events(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Two rows for each piece of a span: ``_b`` (block), ``_at`` (position) and ``_d`` (+1 at its start, -1 at its end)."""
-    cut = rows.withColumn("_b", F.explode(blocks_of(block=block)))
+    cut = rows if "_b" in rows.columns else in_blocks(rows, block)
     ends = (f"array(named_struct('at', greatest(start, _b * {block}), 'd', 1), "
             f"named_struct('at', least(greatest(`end`, start), (_b + 1) * {block}), 'd', -1))")
     return cut.withColumn("_e", F.explode(F.expr(ends))).withColumn("_at", F.col("_e.at")).withColumn("_d", F.col("_e.d")).drop("_e")
@@ -79,27 +84,27 @@ def measured(events: DataFrame, by: Sequence[str], sides: dict[str, str]) -> Dat
     return out.drop("_gap", *[f"_{p}_{name}" for p in ("open", "len") for name in sides])
 
 
-def met_compatible(events: DataFrame, by: Sequence[str], asks: str, asks_type: str, holds: str, holds_type: str) -> DataFrame:
-    """``events`` plus ``_met``: summed over the events of a span that meets ``asks``, the number of overlapping spans (pieces)
-    that meet ``holds`` and are of a compatible type.
+def met_compatible(rows: DataFrame, by: Sequence[str], asks: str, asks_type: str, holds: str, holds_type: str) -> DataFrame:
+    """``rows`` (pieces of spans, or their events) plus ``_met``: 1 on a row that meets ``asks`` if a span that meets ``holds`` and is of
+    a compatible type overlaps its span in the row's block, else 0.
 
-    Overlaps are those that start before the span's end less those that end by its start, counted inside each family of types.
+    Of the spans that start before the asking one ends, the greatest end of each slot is kept, inside each family of types: one of them
+    overlaps if that end lies behind the asking span's start.
     """
     kind = f"if({asks}, {asks_type}, {holds_type})"
     family = F.expr(f"coalesce(element_at({_map(FAMILY)}, {kind}), {kind})")
-    rank = F.expr(f"if({holds}, if(_d < 0, 0, 2), 1)")  # ends up to a start, starts before an end
-    order = W.partitionBy(*by, "_b", "_family").orderBy("_at", "_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = events.withColumn("_family", family).withColumn("_rank", rank)
-    slot = F.expr(f"if({holds}, coalesce(element_at({_map(SLOT)}, {holds_type}), 0), -1)")
-    out = out.withColumn("_slot", slot)
+    place = F.expr(f"if({asks}, `end`, start)")
+    rank = F.expr(f"if({holds}, 1, 0)")  # a span that starts where another ends does not meet it
+    order = W.partitionBy(*by, "_b", "_family").orderBy("_place", "_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = rows.withColumn("_family", family).withColumn("_place", place).withColumn("_rank", rank)
+    out = out.withColumn("_slot", F.expr(f"if({holds}, coalesce(element_at({_map(SLOT)}, {holds_type}), 0), -1)"))
     for k in range(SLOTS):
-        for name, d in (("a", 1), ("z", -1)):
-            out = out.withColumn(f"_{name}{k}", F.count_if((F.col("_slot") == k) & (F.col("_d") == d)).over(order))
+        out = out.withColumn(f"_reach{k}", F.max(F.when(F.col("_slot") == k, F.col("end"))).over(order))
     masks = {t: sum(1 << k for k in mates) for t, mates in MATES.items()}
     out = out.withColumn("_mask", F.expr(f"coalesce(element_at({_map(masks)}, {asks_type}), 1)"))
-    count = lambda name: " + ".join(f"if((_mask & {1 << k}) <> 0, _{name}{k}, 0L)" for k in range(SLOTS))
-    out = out.withColumn("_met", F.expr(f"if({asks}, if(_d > 0, -({count('z')}), {count('a')}), 0L)"))
-    return out.drop("_family", "_rank", "_slot", "_mask", *[f"_{n}{k}" for n in "az" for k in range(SLOTS)])
+    behind = " OR ".join(f"((_mask & {1 << k}) <> 0 AND coalesce(_reach{k} > start, false))" for k in range(SLOTS))
+    out = out.withColumn("_met", F.expr(f"if({asks} AND ({behind}), 1L, 0L)"))
+    return out.drop("_family", "_place", "_rank", "_slot", "_mask", *[f"_reach{k}" for k in range(SLOTS)])
 
 
 def carried(rows: DataFrame, by: Sequence[str], summary: Column, total: Column, every: DataFrame | None = None) -> DataFrame:

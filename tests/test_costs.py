@@ -74,3 +74,16 @@ def test_states_of_the_switches_share_their_scans(spark):
         alone = registry.detected(docs, reg, slots).select(*columns).orderBy("doc_id").collect()
         assert together.filter(f"state = '{name}'").select(*columns).orderBy("doc_id").collect() == alone
     assert sum(len(r.spans) for r in together.collect()) > 6
+
+
+def test_compatible_overlaps_are_found_among_pieces(spark):
+    """One row of each span, not its two boundary events, is sorted by family, and one running value of each slot is kept."""
+    gold = [(1, 0, 5, "PERSON", True), (1, 10, 15, "EMAIL", True), (1, 20, 25, "CN_NAME", True), (2, 4090, 4100, "PERSON", False), (3, 3, 3, "PERSON", True)]
+    pred = [(1, 4, 8, "CN_NAME", 0.5), (1, 15, 18, "EMAIL", 0.5), (1, 8, 10, "EMAIL", 0.5), (1, 19, 30, "PHONE", 0.5), (2, 4096, 4098, "PERSON", 0.5), (3, 0, 9, "PERSON", 0.5)]
+    out = score.score_layered(spark.createDataFrame(gold, GOLD), spark.createDataFrame(pred, PRED))
+    lines = plan(out).splitlines()
+    family = [k for k, line in enumerate(lines) if "Window" in line and "_family" in line]
+    events = [k for k, line in enumerate(lines) if "Generate" in line and "_d" not in line and "named_struct(at" in line]
+    assert family and events and max(events) < min(family)
+    r = out.collect()[0]
+    assert (r.tp, r.fp, r.fn, r.relaxed_recall) == (0, 6, 5, 0.4)
