@@ -24,7 +24,7 @@ def q(value: str) -> str:
 
 def clean_text(text: Column) -> Column:
     """Replace the two fence characters by blanks (length is kept)."""
-    return F.translate(text, OPEN + CLOSE, "  ")
+    return F.replace(F.replace(text, F.lit(OPEN), F.lit(" ")), F.lit(CLOSE), F.lit(" "))
 
 
 def let(value: str, name: str, body: str) -> str:

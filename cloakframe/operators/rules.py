@@ -5,6 +5,8 @@ value), a confidence, an optional check and a gate. The gate is a set of literal
 substrings of which a matching text must contain at least one, so that a text
 without them is skipped by a plain substring search instead of a regex pass.
 ``digit`` says that every match holds a digit; texts without any skip all such rules.
+``signs`` are characters of which every match holds one, and ``caps`` says that it holds a
+capital letter A-Z followed by another or by a digit; each is looked for once in a text.
 ``foreign`` says the same of non-Latin script.
 ``order`` is the position in the list and the last tie-break of arbitration.
 """
@@ -44,6 +46,8 @@ class Rule:
     gate_regex: str | None = None
     digit: bool = False
     foreign: bool = False
+    signs: str = ""
+    caps: bool = False
     post: tuple[str, ...] = ()
     sources: tuple[str, ...] = ("rules",)
     order: int = field(default=0)
@@ -578,6 +582,14 @@ _WITH_DIGIT = (
     "B58", "B72a", "B72b", "B72c",
 )
 
+# Characters of which every match of these rules holds one.
+_WITH_SIGN = {
+    "B3": "-", "B5": "_", "B6": "_", "B7": "-", "B8": "-", "B9": "-", "B10": "_", "B11": "-", "B13": "_", "B15": ":", "B16": ":", "B18": "_",
+    "B22": "_", "B23": "-_", "B24": ":=", "B26": "-", "B32": ":", "B38": ":-", "B42": ":=：＝", "B51": ":-", "B53": ":=：", "B61": ":=：",
+}
+# Every match of these rules holds a capital letter followed by another or by a digit, whatever its other letters are.
+_WITH_CAPS = ("B3", "B4", "B7", "B8", "B9", "B19", "B20", "B21")
+
 
 def built_in_rules(surnames: str = LABELLED_SURNAMES, compound=COMPOUND + MORE_COMPOUND) -> tuple[Rule, ...]:
     """The whole deterministic list in arbitration order."""
@@ -589,7 +601,10 @@ def built_in_rules(surnames: str = LABELLED_SURNAMES, compound=COMPOUND + MORE_C
         + address_rules()
         + date_rules()
     )
-    return tuple(replace(r, order=i, digit=r.key in _WITH_DIGIT, foreign=r.key == "B37") for i, r in enumerate(rules))
+    return tuple(
+        replace(r, order=i, digit=r.key in _WITH_DIGIT, foreign=r.key == "B37", signs=_WITH_SIGN.get(r.key, ""), caps=r.key in _WITH_CAPS)
+        for i, r in enumerate(rules)
+    )
 
 
 # --- Chinese extraction (second built-in detector) ---------------------------

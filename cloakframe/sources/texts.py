@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.functions.spans import CLOSE, OPEN
+from cloakframe.functions.spans import clean_text
 
 _FIELD = {
     "documents": ("doc_id", "text", "lang", "source"),
@@ -55,5 +55,5 @@ def intake_guard(docs: DataFrame, limit: int | None = None) -> tuple[DataFrame,
     """
     judged = docs.withColumn("reason", F.expr(reject_reason("text", limit)))
     accepted = judged.filter("reason IS NULL").drop("reason")
-    accepted = accepted.withColumn("text", F.translate("text", OPEN + CLOSE, "  "))
+    accepted = accepted.withColumn("text", clean_text(F.col("text")))
     return accepted, judged.filter("reason IS NOT NULL")

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.operators import detect
 from cloakframe.operators.arbitrate import arbitrate
@@ -120,3 +121,22 @@ def test_negative_texts(spark):
 
 def test_conversations_hold_nothing(spark, data):
     assert detect.detect_rules(scan_texts(spark, data, "conversations")).count() == 0
+
+
+def test_signs_and_capitals_are_necessary(spark, corpus):
+    """A rule finds the same without what it says of signs and capitals, and texts without them never reach its literals."""
+    from dataclasses import replace
+
+    told = [r for r in built_in_rules() if r.signs or r.caps]
+    assert {"B42", "B38", "B21"} <= {r.key for r in told}
+    cases = [spark.range(0, 40).selectExpr("id AS o_orderkey").selectExpr(f"{_sql(CASES[r.key][0])} AS text") for r in told if r.key in CASES]
+    docs = corpus.select("text")
+    for case in cases:
+        docs = docs.unionByName(case)
+    docs = docs.selectExpr("xxhash64(text) AS doc_id", "text").distinct().cache()
+    find = lambda rules: {tuple(r) for r in detect.explode_spans(detect.scan(docs, rules, extraction=False)).select("doc_id", "ord", "start", "text").collect()}
+    found = find(told)
+    assert found == find([replace(r, signs="", caps=False) for r in told]) and len({x[1] for x in found}) > 15
+    plain = spark.createDataFrame([("the password is a secret token of the account",), ("Key ARN",)], "text string")
+    open_ = [[r.key for r in told if x[r.key]] for x in plain.select(*[F.expr(detect.bound("text", detect.gate(r, "g.text"))).alias(r.key) for r in told]).collect()]
+    assert open_ == [[], []]
