@@ -50,7 +50,13 @@ def running(values: str, join: str, zero: str = "0") -> str:
     )
     inner = fold("rb", f"if(ri = 0, {zero}, element_at(rp, greatest(ri, 1)))")
     total = fold(f"transform(rw, rb -> {whole})", zero)
-    return let(values, "rv", let(blocks, "rw", let(total, "rp", f"flatten(transform(rw, (rb, ri) -> {inner}))")))
+    long = let(blocks, "rw", let(total, "rp", f"flatten(transform(rw, (rb, ri) -> {inner}))"))
+    return let(values, "rv", f"if(size(rv) <= {_RUN}, {fold('rv', zero)}, {long})")
+
+
+def all_differ(array: str, key: str) -> str:
+    """Whether ``key`` (SQL over ``ax``, a number or a string) differs for all elements; time grows with their number only."""
+    return f"size(array_distinct(transform({array}, ax -> {key}))) = size({array})"
 
 
 def grouped(ordered: str, differs: str, element: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe import fixed
-from cloakframe.functions.spans import grouped, let, once, running, utf16_length
+from cloakframe.functions.spans import all_differ, grouped, let, once, running, utf16_length
 from cloakframe.operators.sweep import overlap_runs
 from cloakframe.schema import SPAN_COLUMNS, SPAN_T, label_sql, level_sql, priority_sql, rank_sql
 
@@ -83,7 +83,8 @@ def runs_array(ordered: str) -> str:
 
 def merge_array(spans: str) -> str:
     """Duplicates joined, then overlaps resolved run by run (a run: spans chained by overlap)."""
-    runs = runs_array(_by_position(dedupe_array(spans)))
+    place = "shiftleft(cast(ax.start AS bigint), 32) + ax.end"  # spans that all have places of their own are no duplicates
+    runs = runs_array(_by_position(f"if({all_differ(spans, place)}, {spans}, {dedupe_array(spans)})"))
     pick = f"transform({runs}, run -> if(size(run) = 1, run, {_by_position(_greedy('run'))}))"
     return f"if(size({spans}) = 0, {spans}, flatten({pick}))"
 
@@ -112,8 +113,7 @@ def arbitrate(docs: DataFrame, policy: str | None = None, spans: str = "spans")
     The policy comes last on purpose: a low-level winner may suppress an overlapping
     high-level loser.
     """
-    merged = once(docs, **{spans: merge_array(spans)})
-    return once(merged, **{spans: policy_array(level_array(spans), policy)})
+    return once(docs, **{spans: policy_array(level_array(merge_array(spans)), policy)})
 
 
 def counts_array(spans: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cloakframe import fixed
-from cloakframe.functions.spans import cut, grouped, let, once, pieces, q
+from cloakframe.functions.spans import all_differ, cut, grouped, let, once, pieces, q
 from cloakframe.operators import detect
 from cloakframe.operators.arbitrate import arbitrate, merge_array, runs_array
 from cloakframe.operators.sweep import block_numbers, spread
@@ -43,11 +43,13 @@ def items_array(spans: str) -> str:
     # One group per value, values by first appearance, one group of values per type: a value's place there is its number.
     values = grouped(f"array_sort({spans}, {by('@.type', '@.text', '@.start')})", "gl.type <> gr.type OR gl.text <> gr.text", SPAN_T)
     types = grouped(f"array_sort({values}, {by('@[0].type', '@[0].start', '@[0].text')})", "gl[0].type <> gr[0].type", f"array<{SPAN_T}>")
-    item = (
+    item = lambda number: (
         f"named_struct('start', x.start, 'end', x.end, 'type', x.type, 'text', x.text, "
-        f"'label', {label_sql('x.type')}, 'token', {token_sql('x.type', label_sql('x.type'), 'x.text', '(n + 1)')})"
+        f"'label', {label_sql('x.type')}, 'token', {token_sql('x.type', label_sql('x.type'), 'x.text', number)})"
     )
-    made = f"flatten(transform({types}, t -> flatten(transform(t, (g, n) -> transform(g, x -> {item})))))"
+    made = f"flatten(transform({types}, t -> flatten(transform(t, (g, n) -> transform(g, x -> {item('(n + 1)')})))))"
+    # Where no type occurs twice, each value is the first of its type.
+    made = f"if({all_differ(spans, 'ax.type')}, transform({spans}, x -> {item('1')}), {made})"
     return (
         f"if(size({spans}) = 0, cast(array() AS {ITEM_T}), cast(array_sort({made}, {by('@.start', '@.end', '@.type')}) AS {ITEM_T}))"
     )
@@ -99,19 +101,25 @@ def vault_array(items: str) -> str:
     by = "(l, r) -> CASE WHEN l.token < r.token THEN -1 WHEN l.token > r.token THEN 1 WHEN l.start < r.start THEN -1 WHEN l.start > r.start THEN 1 ELSE 0 END"
     item = ITEM_T.removeprefix("array<").removesuffix(">")
     first = f"transform({grouped(f'array_sort({items}, {by})', 'gl.token <> gr.token OR gl.text <> gr.text', item)}, g -> g[0])"
+    first = f"if({all_differ(items, 'ax.token')}, {items}, {first})"
     placed = f"array_sort({first}, (l, r) -> CASE WHEN l.start < r.start THEN -1 WHEN l.start > r.start THEN 1 ELSE 0 END)"
     return f"transform({placed}, x -> named_struct('token', x.token, 'value', x.text, 'type', x.type, 'label', x.label))"
 
 
+def mask_items(docs: DataFrame, spans: str = "spans") -> DataFrame:
+    """Add ``items`` to documents with merged spans."""
+    return once(docs, items=items_array(spans))
+
+
 def mask_spans(docs: DataFrame, spans: str = "spans") -> DataFrame:
-    """Add ``items``, ``status``, ``masked`` (null unless ok) and ``vault`` to documents with merged spans."""
-    made = once(docs, items=items_array(spans))
-    judged = once(made, status=status_array("text", "items"))
-    return once(
-        judged,
-        masked=f"if(status = '{OK}', {mask_array('text', 'items')}, NULL)",
-        vault=f"filter({vault_array('items')}, v -> status = '{OK}')",
-    )
+    """Add ``items``, ``status``, ``masked`` (null unless ok) and ``vault`` to documents with merged spans.
+
+    The vault is a plain column: a reader that leaves it out does not pay for it.
+    """
+    masked = f"named_struct('status', ms, 'masked', if(ms = '{OK}', {mask_array('text', 'items')}, NULL))"
+    made = once(mask_items(docs, spans), _m=let(status_array("text", "items"), "ms", masked))
+    done = made.withColumn("status", F.col("_m.status")).withColumn("masked", F.col("_m.masked")).drop("_m")
+    return done.withColumn("vault", F.expr(f"filter({vault_array('items')}, v -> status = '{OK}')"))
 
 
 def protect(docs: DataFrame, policy: str | None = None, **scan_options) -> DataFrame:
