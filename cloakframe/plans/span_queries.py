@@ -448,7 +448,7 @@ def tokens_query(spark, d):
           FROM ({S.DOCS_SQL}) d LEFT JOIN (SELECT doc_id, max(e) AS m FROM t GROUP BY doc_id) l USING (doc_id) WHERE coalesce(m, 0) < length(d.text)""",
 )
 def segments_query(spark, d):
-    return mask.redacted_segments(masked_docs(spark, d)).select("doc_id", "kind", "text", "source_start", "source_end")
+    return mask.redacted_segments(mask.mask_items(arbitrate.arbitrate(packed_docs(spark, d)))).select("doc_id", "kind", "text", "source_start", "source_end")
 
 
 @query("mask", f"{S.MERGED_CTE} SELECT doc_id, 'ok' AS status, masked FROM masked")
