@@ -35,8 +35,10 @@ CLASSES = HEAD + TAIL
 DIM, CONTEXT = 16, 3
 ROUNDS, BATCH, NOISE, RATIO, RATE = 4, 1024, 64, 24.0, 0.1
 FREQUENT = 1 << 17
-#: Tokens whose products with all classes are made at once; they fit a core's cache.
+#: Contexts whose products with all classes are made at once; they fit a core's cache.
 AT_ONCE = 512
+#: Bytes of text scored together; contexts repeat more in longer runs of texts.
+SCORED = 4 << 20
 #: Tasks that sum up the partitions' parameters.
 GROUPS = 16
 #: The end of a text; no word holds a line feed.
@@ -135,10 +137,15 @@ def nce_step(params: list[np.ndarray], ctx: np.ndarray, y: np.ndarray, noise: np
     x = r[ctx].reshape(n, -1)
     v = x @ mats
     good = (v * q[y]).sum(1) + b[y] - np.log(RATIO) - log_noise[y]
-    bad = v @ q[noise].T + b[noise] - np.log(RATIO) - log_noise[noise]
+    few = q[noise]
+    h = v @ few.T
+    h += b[noise] - np.log(RATIO) - log_noise[noise]
     g = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / n
-    h = (1 / (1 + np.exp(-np.clip(bad, -30, 30)))) * (RATIO / len(noise) / n)
-    dv = g[:, None] * q[y] + h @ q[noise]
+    np.clip(h, -30, 30, out=h)
+    np.exp(np.negative(h, out=h), out=h)  # the largest array of a step: filled in place
+    h += 1
+    np.divide(RATIO / len(noise) / n, h, out=h)
+    dv = g[:, None] * q[y] + h @ few
     dim = np.arange(DIM)
     add = lambda rows, values: np.bincount((rows[:, None] * DIM + dim).ravel(), weights=values.ravel(), minlength=CLASSES * DIM).reshape(CLASSES, DIM)
     dq = add(y, g[:, None] * v) + add(noise, h.T @ v)
@@ -201,19 +208,30 @@ def class_log10(flat: np.ndarray, y: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     moved = [np.ascontiguousarray(np.pad(r @ mats[k * DIM : (k + 1) * DIM], ((0, 0), (0, 1)), constant_values=1 / CONTEXT)) for k in range(CONTEXT)]
     classes = np.ascontiguousarray(np.concatenate([q, b[:, None]], 1).T)
     ones = np.ones(CLASSES, np.float32)
+    # The sum over all classes is the same for all tokens behind the same classes, so it is made once for each context.
+    key = np.zeros(len(y), np.int64)
+    for k in range(CONTEXT):
+        key = key * CLASSES + ctx[:, k]
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(y)])
+    contexts, stops = ctx[order[first]], np.append(first, len(y))
     out = np.empty(len(y))
-    for a in range(0, len(y), AT_ONCE):
-        c, own = ctx[a : a + AT_ONCE], y[a : a + AT_ONCE]
+    for a in range(0, len(contexts), AT_ONCE):
+        c = contexts[a : a + AT_ONCE]
+        times = np.diff(stops[a : a + len(c) + 1])
+        tokens, at = order[stops[a] : stops[a + len(c)]], np.repeat(np.arange(len(c)), times)
+        own = y[tokens]
         v = sum(moved[k][c[:, k]] for k in range(CONTEXT))
         s = v @ classes
-        mine = s[np.arange(len(c)), own].copy()
+        mine = s[at, own]
         with np.errstate(over="ignore"):
             total = np.exp(s, out=s) @ ones
         if not (total.min() > 1e-30 and total.max() < 1e37):  # beyond what single precision sums up as it is
             s = v @ classes
             top = s.max(1)
-            mine, total = mine - top, np.exp(s - top[:, None]) @ ones
-        out[a : a + AT_ONCE] = mine - np.log(total)
+            mine, total = mine - top[at], np.exp(s - top[:, None]) @ ones
+        out[tokens] = mine - np.log(total)[at]
     return out / np.log(10)
 
 
@@ -227,7 +245,7 @@ def score(docs: DataFrame, vocab: DataFrame, counts: Counts, flat: np.ndarray) -
         spare = np.where(np.arange(CLASSES) < HEAD, 0.0, np.log10(known.class_tokens + known.class_words + 1))
         part = TaskContext.get()
         row = (part.partitionId() if part else 0) << 40
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SCORED):
             n = batch.num_rows
             words = Words(batch.column("text"))
             kinds, place = classify(words, known)

@@ -253,3 +253,21 @@ def test_language_model_score_equals_plain_sums(spark):
                 total += math.log10((count.get(w, 0) + 1) / (known.class_tokens[k] + known.class_words[k] + 1))
             before = [k, *before[:-1]]
         assert math.isclose(got[i]["score"], total, rel_tol=1e-4), (t, got[i]["score"], total)
+
+
+def test_equal_contexts_share_their_sum(monkeypatch):
+    """The sum over all classes is made once for each context, and every token has the value that it has alone."""
+    rng = np.random.default_rng(5)
+    sizes = [int(np.prod(s)) for s in lm_score.SHAPES]
+    ctx = rng.integers(0, lm_score.CLASSES, (700, lm_score.CONTEXT))[rng.integers(0, 700, 5000)]
+    y = rng.integers(0, lm_score.CLASSES, 5000)
+    for scale in (0.5, 200.0):  # the second goes beyond single precision
+        flat = np.concatenate([rng.normal(0, scale, sum(sizes)), np.ones(sum(sizes))])
+        alone = np.concatenate([lm_score.class_log10(flat, y[k : k + 1], ctx[k : k + 1]) for k in range(0, 5000, 10)])
+        rows = []
+        monkeypatch.setattr(np, "exp", lambda x, *a, _exp=np.exp, **kw: rows.append(len(x)) or _exp(x, *a, **kw))
+        together = lm_score.class_log10(flat, y, ctx)
+        monkeypatch.undo()
+        assert np.allclose(together[::10], alone, rtol=1e-4, atol=1e-4) and len(together) == 5000
+        assert sum(rows) <= 2 * len({tuple(c) for c in ctx}) < 5000
+    assert len(lm_score.class_log10(flat, y[:0], ctx[:0])) == 0
