@@ -82,11 +82,11 @@ def runs_array(ordered: str) -> str:
 
 
 def merge_array(spans: str) -> str:
-    """Duplicates joined, then overlaps resolved run by run (a run: spans chained by overlap)."""
+    """Empty spans dropped, duplicates joined, then overlaps resolved run by run (a run: spans chained by overlap)."""
     place = "shiftleft(cast(ax.start AS bigint), 32) + ax.end"  # spans that all have places of their own are no duplicates
-    runs = runs_array(_by_position(f"if({all_differ(spans, place)}, {spans}, {dedupe_array(spans)})"))
+    runs = runs_array(_by_position(f"if({all_differ('full', place)}, full, {dedupe_array('full')})"))
     pick = f"transform({runs}, run -> if(size(run) = 1, run, {_by_position(_greedy('run'))}))"
-    return f"if(size({spans}) = 0, {spans}, flatten({pick}))"
+    return let(f"filter({spans}, x -> x.end > x.start)", "full", f"if(size(full) = 0, full, flatten({pick}))")
 
 
 def level_array(spans: str) -> str:
@@ -180,8 +180,8 @@ def dedupe_spans(spans: DataFrame) -> DataFrame:
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
-    """Table form: duplicates joined, then the greedy choice inside each overlap run."""
-    runs = overlap_runs(dedupe_spans(spans))
+    """Table form: empty spans dropped, duplicates joined, then the greedy choice inside each overlap run."""
+    runs = overlap_runs(dedupe_spans(spans.filter(F.col("end") > F.col("start"))))
     packed = runs.groupBy("doc_id", "run").agg(F.collect_list(F.struct(*SPAN_COLUMNS)).cast(_SPANS).alias("s"))
     kept = packed.withColumn("s", F.expr(f"if(size(s) = 1, s, {_greedy('s')})"))
     return kept.select("doc_id", F.explode_outer("s").alias("s")).select("doc_id", "s.*")

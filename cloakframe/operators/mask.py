@@ -309,7 +309,7 @@ def idempotence_gate(docs: DataFrame, rules=None) -> DataFrame:
     again = detect.scan(twice, rules, extraction=False, text="masked", out="_again")
     return again.select(
         "doc_id",
-        (F.col("masked") == F.col("masked_again")).alias("idempotent"),
+        F.col("masked").eqNullSafe(F.col("masked_again")).alias("idempotent"),
         F.size("_again").alias("redetected"),
         F.expr("exists(_again, x -> contains(x.text, '⟦'))").alias("placeholder_hit"),
     )

@@ -498,7 +498,7 @@ def infer(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[list[di
     """Run a caller-given model over documents; ``load`` is called once per Python worker task.
 
     The loaded function maps a batch of texts to lists of dicts with label, start, end,
-    text and score.
+    text and score. Documents without a text are not handed to it.
     """
 
     def run(batches: Iterator):
@@ -514,4 +514,4 @@ def infer(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[list[di
             yield pd.DataFrame(rows, columns=["doc_id", "model_id", "label", "start", "end", "text", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, PREDICTION_DDL.replace("doc_id BIGINT", f"doc_id {kind}"))
+    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, PREDICTION_DDL.replace("doc_id BIGINT", f"doc_id {kind}"))

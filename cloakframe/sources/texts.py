@@ -29,8 +29,8 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(wanted)) if wanted else df
 
 
-def scan_texts(spark: SparkSession, directory: str, name: str = "documents") -> DataFrame:
-    """Canonical (doc_id, text, lang, source) rows of a table or JSON-lines file; blank texts skipped."""
+def read_texts(spark: SparkSession, directory: str, name: str = "documents") -> DataFrame:
+    """Canonical (doc_id, text, lang, source) rows of a table or JSON-lines file, those with a blank text or none among them."""
     base = os.path.join(directory, name)
     key, text, lang, source = _FIELD.get(name, _FIELD["documents"])
     if name.endswith((".jsonl", ".json")):
@@ -38,7 +38,12 @@ def scan_texts(spark: SparkSession, directory: str, name: str = "documents") ->
         key, lang = "coalesce(doc_id, id)", "coalesce(lang, language)"
     else:
         raw = spark.read.parquet(base if name.endswith(".parquet") else base + ".parquet")
-    rows = raw.selectExpr(f"{key} AS doc_id", f"{text} AS text", f"{lang} AS lang", f"{source} AS source")
+    return raw.selectExpr(f"{key} AS doc_id", f"{text} AS text", f"{lang} AS lang", f"{source} AS source")
+
+
+def scan_texts(spark: SparkSession, directory: str, name: str = "documents") -> DataFrame:
+    """``read_texts`` without blank texts."""
+    rows = read_texts(spark, directory, name)
     return rows.filter(F.col("text").isNotNull() & ~F.col("text").rlike(_BLANK))
 
 
