@@ -201,16 +201,17 @@ def marked_ngrams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...],
     marked[inner] = data
     marked[ends - 1] = 2
     spread = mix(marked)
-    words, features = [], []
-    for size in sizes:
-        if len(marked) < size:
+    counts = [int(np.maximum(lens + 3 - size, 0).sum()) for size in sizes]
+    words, features = np.empty(sum(counts), np.int64), np.empty(sum(counts), np.int64)
+    at = 0
+    for size, count in zip(sizes, counts, strict=True):
+        if not count:
             continue
         h = np.zeros(len(marked) - size + 1, np.uint64)
         for k in range(size):
             h = h * _PRIME + spread[k : k + len(h)]
         ok = word[: len(h)] == word[size - 1 :]
-        words.append(word[: len(h)][ok])
-        features.append((mix(h[ok] + np.uint64(size)) >> np.uint64(64 - bits)).astype(np.int64))
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(words), np.concatenate(features)
+        words[at : at + count] = word[: len(h)][ok]
+        features[at : at + count] = mix(h[ok] + np.uint64(size)) >> np.uint64(64 - bits)
+        at += count
+    return words, features

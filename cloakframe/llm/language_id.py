@@ -33,6 +33,8 @@ NGRAMS = (2, 3, 4)
 SEGMENT = 64
 SEQUENCE = 32
 ROUNDS = 30
+#: Sequences that are passed over at once in training; memory of the driver grows with it.
+AT_ONCE = 1024
 
 
 @dataclass
@@ -67,6 +69,29 @@ def _spans(counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.concatenate([np.arange(first[i], last[i]) for i in order]) if len(first) else np.zeros(0, np.int64)
 
 
+def _passes(e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(label) of each word of sequences, and the expected transitions, by one pass forwards and one back."""
+    n, length, size = e.shape
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    x = np.full((n, size), 1.0 / size)
+    for t in range(length):
+        x = (x @ a) * e[:, t]
+        x /= x.sum(1, keepdims=True)
+        alpha[:, t] = x
+    b, pairs = np.ones((n, size)), np.zeros((size, size))
+    for t in range(length - 1, -1, -1):
+        beta[:, t] = b
+        right = e[:, t] * b
+        if t:
+            both = alpha[:, t - 1, :, None] * a * right[:, None, :]
+            pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
+        b = right @ a.T
+        b /= b.sum(1, keepdims=True)
+    gamma = alpha * beta
+    gamma /= gamma.sum(2, keepdims=True)
+    return gamma, pairs
+
+
 def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 7) -> Crf:
     labels = sorted(set(langs))
     size = len(labels)
@@ -87,25 +112,14 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 7)
     sums, sums_t = np.full(weights.shape, 1e-3), np.full(trans.shape, 1e-3)
     for _ in range(rounds):
         em = emissions(word, feature, m, weights)
-        e, a = np.exp(em - em.max(1, keepdims=True))[code], np.exp(trans)
-        alpha, beta = np.empty_like(e), np.empty_like(e)
-        x = np.full((n, size), 1.0 / size)
-        for t in range(SEQUENCE):
-            x = (x @ a) * e[:, t]
-            x /= x.sum(1, keepdims=True)
-            alpha[:, t] = x
-        b, pairs = np.ones((n, size)), np.zeros((size, size))
-        for t in range(SEQUENCE - 1, -1, -1):
-            beta[:, t] = b
-            right = e[:, t] * b
-            if t:
-                both = alpha[:, t - 1, :, None] * a * right[:, None, :]
-                pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
-            b = right @ a.T
-            b /= b.sum(1, keepdims=True)
-        gamma = alpha * beta
-        gamma /= gamma.sum(2, keepdims=True)
-        expected = np.stack([np.bincount(code.ravel(), weights=gamma[:, :, k].ravel(), minlength=m) for k in range(size)], 1)
+        em, a = np.exp(em - em.max(1, keepdims=True)), np.exp(trans)
+        expected, pairs = np.zeros((m, size)), np.zeros((size, size))
+        for first in range(0, n, AT_ONCE):
+            held = code[first : first + AT_ONCE]
+            gamma, both = _passes(em[held], a)
+            pairs += both
+            for k in range(size):
+                expected[:, k] += np.bincount(held.ravel(), weights=gamma[:, :, k].ravel(), minlength=m)
         gap = (expected - seen) / (n * SEQUENCE)
         grad = np.stack([np.bincount(feature, weights=gap[word, k], minlength=1 << BITS) for k in range(size)], 1) + 1e-8 * weights
         grad_t = (pairs - seen_t) / (n * SEQUENCE)
